@@ -6,16 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as dc
-from . import mixing, quality_fm, simhash
+from . import html_tree, huffman_ids, lattice_lm, mixing, mpeg_media, quality_fm, simhash, url_filter
 from .common import crc_of_id, table
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = quality_fm.score_documents(docs, quality_fm.train(docs, labels))
     return scored.select("doc_id", (crc_of_id("doc_id") % 3 == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op3_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -50,6 +61,24 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(
 """
 
 
+def op5_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman_ids.id_digests(*huffman_ids.write_ids(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages"), vocabulary("word_bpe_49k.json"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return mpeg_media.media_round_trip(table(spark, sf_dir, "documents")).select(*names)
+
+
+def op9_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dc.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -76,7 +105,7 @@ FROM d LEFT JOIN marked m ON d.doc_id = m.doc_id LEFT JOIN items t ON d.doc_id =
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_fm, op3_simhash_pigeonring, op4_source_mixing, op10_decontamination)}
+    return {f.__name__: f for f in (op1_quality_fm, op2_lattice_lm, op3_simhash_pigeonring, op4_source_mixing, op5_huffman_ids, op6_url_filter, op8_mpeg_media, op9_html_tree, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
