@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as dc
-from . import html_tree, huffman_ids, lattice_lm, mixing, mpeg_media, quality_fm, simhash, url_filter
+from . import html_tree, huffman_ids, lattice_lm, mixing, mpeg_media, quality_fm, recompress, simhash, url_filter
 from .common import crc_of_id, table
 
 
@@ -70,6 +70,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     return mpeg_media.media_round_trip(table(spark, sf_dir, "documents")).select(*names)
@@ -105,7 +109,7 @@ FROM d LEFT JOIN marked m ON d.doc_id = m.doc_id LEFT JOIN items t ON d.doc_id =
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_fm, op2_lattice_lm, op3_simhash_pigeonring, op4_source_mixing, op5_huffman_ids, op6_url_filter, op8_mpeg_media, op9_html_tree, op10_decontamination)}
+    return {f.__name__: f for f in (op1_quality_fm, op2_lattice_lm, op3_simhash_pigeonring, op4_source_mixing, op5_huffman_ids, op6_url_filter, op7_recompression, op8_mpeg_media, op9_html_tree, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
