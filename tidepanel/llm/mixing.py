@@ -39,9 +39,9 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...], share: float, m
         .withColumn("weights_from", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("total", F.sum("source_size").over(everything))
         .withColumn("level", (F.col("total") * F.lit(float(share)) - F.coalesce("caps_before", F.lit(0.0))) / F.col("weights_from"))
-        .withColumn("water", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
+        .withColumn("water", F.max("level").over(everything))  # the level rises while sources are clamped, then falls
     )
-    target = F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("water") * F.col("weight")))
+    target = F.least(F.col("cap"), F.col("water") * F.col("weight"))
     out = level.select("source", "source_size", target.alias("target"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     out = out.withColumn("whole", whole.cast("long"))

@@ -48,8 +48,8 @@ levels AS (
   SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5 - coalesce(sum(cap) OVER (ORDER BY cap / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(w) OVER (ORDER BY cap / w, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl
   FROM capped),
-water AS (SELECT min(lvl) AS water FROM levels WHERE lvl * w <= cap),
-targets AS (SELECT src, source_size, least(cap, coalesce(water * w, cap)) AS target FROM levels CROSS JOIN water),
+water AS (SELECT max(lvl) AS water FROM levels),
+targets AS (SELECT src, source_size, least(cap, water * w) AS target FROM levels CROSS JOIN water),
 parts AS (
   SELECT src, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets),
 running AS (

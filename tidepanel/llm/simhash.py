@@ -165,22 +165,29 @@ def fingerprint_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return links.distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, fp and component_id: the smallest doc_id reachable by links, itself included."""
-    rows = stage(fingerprints(docs, shingle, ("doc_id",)), "fingerprints")
-    first = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+def _groups(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """The documents as doc_id, row, fp (row: the place in the scan); and for each fp its group's smallest doc_id and first row."""
+    rows = stage(fingerprints(docs.withColumn("__row", F.monotonically_increasing_id()), shingle, ("doc_id", "__row")), "fingerprints")
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
+    first = stage(rows.groupBy("fp").agg(lead.alias("lead")), "distinct-fingerprints")
     joined = components(fingerprint_links(first.select("fp")))
     rooted = joined.join(first.withColumnRenamed("fp", "node"), "node")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component")), "root").select(F.col("node").alias("fp"), "component")
-    names = first.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return rows.join(names, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("lead").alias("group")), "root").select(F.col("node").alias("fp"), "group")
+    return rows, first.join(named, "fp", "left").select("fp", F.coalesce("group", "lead").alias("group"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, fp and component_id: the smallest doc_id reachable by links, itself included."""
+    rows, groups = _groups(docs, shingle)
+    return rows.join(groups, "fp").select("doc_id", "fp", F.col("group.doc_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The documents whose id names their group: one of each group of near copies. Repeated rows of that id: one is kept."""
-    keepers = near_duplicates(docs, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(keepers, docs["doc_id"].eqNullSafe(keepers["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One document of each group of near copies: the one with the smallest id (of repeated rows, the first). docs must be
+    read from files, so that its rows keep their places when read again."""
+    _, groups = _groups(docs, shingle)
+    keepers = groups.select(F.col("group.__row").alias("__row")).distinct()
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(keepers, "__row", "left_semi").select(docs.columns)
 
 
 def as_hex(fp: Column) -> Column:
