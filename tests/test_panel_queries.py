@@ -128,4 +128,4 @@ def test_streaming_bars_equal_batch_bars(spark, tmp_path):
     run.stop()
     columns = ["ts", "market", "open", "high", "low", "close", "n_ticks"]
     got = sorted(spark.table("bars_out").select(columns).collect())
-    assert got == sorted(bars(source, "ts", "event_type", "value", "60 minutes", "event_id").select(columns).collect()) and got
+    assert got == sorted(bars(source.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value", "60 minutes", "event_id").select(columns).collect()) and got

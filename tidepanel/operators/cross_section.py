@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-AT = Window.partitionBy("ts")
+def at() -> WindowSpec:
+    return Window.partitionBy("ts")
 
 
 def rank(x: Column, by: tuple[str, ...] = ("ts",), descending: bool = False) -> Column:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-RUN = Window.partitionBy("run_id").orderBy("ts")
+def run() -> WindowSpec:
+    return Window.partitionBy("run_id").orderBy("ts")
 
 
 def with_returns(curves: DataFrame) -> DataFrame:
     """ret (0 at the first row) and drawdown from the running high."""
-    high = F.max("value").over(RUN.rowsBetween(Window.unboundedPreceding, 0))
-    before = F.lag("value").over(RUN)
+    high = F.max("value").over(run().rowsBetween(Window.unboundedPreceding, 0))
+    before = F.lag("value").over(run())
     return curves.withColumn("ret", F.coalesce(F.col("value") / before - 1, F.lit(0.0))).withColumn("drawdown", F.col("value") / high - 1)
 
 
@@ -41,7 +42,7 @@ def performance(curves: DataFrame, per_year: int) -> DataFrame:
 def drawdown_episodes(curves: DataFrame) -> DataFrame:
     """One row for each stretch below a high: peak, depth and length in rows."""
     r = with_returns(curves)
-    peaks = F.sum((F.col("drawdown") >= 0).cast("int")).over(RUN.rowsBetween(Window.unboundedPreceding, 0))
+    peaks = F.sum((F.col("drawdown") >= 0).cast("int")).over(run().rowsBetween(Window.unboundedPreceding, 0))
     return r.withColumn("peak_no", peaks).where("drawdown < 0").groupBy("run_id", "peak_no").agg(F.min("ts").alias("onset"), F.max("ts").alias("last_ts"), F.count("*").alias("bars"), F.min("drawdown").alias("depth"))
 
 

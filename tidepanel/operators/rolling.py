@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_TIME = Window.partitionBy("market").orderBy("ts")
+def by_time() -> WindowSpec:
+    return Window.partitionBy("market").orderBy("ts")
 
 
 def last(n: int) -> WindowSpec:
-    return BY_TIME.rowsBetween(-(n - 1), 0)
+    return by_time().rowsBetween(-(n - 1), 0)
 
 
 def full(x: Column, value: Column, n: int) -> Column:
@@ -21,7 +22,7 @@ def full(x: Column, value: Column, n: int) -> Column:
 
 
 def shift(x: Column, n: int) -> Column:
-    return F.lag(x, n).over(BY_TIME) if n >= 0 else F.lead(x, -n).over(BY_TIME)
+    return F.lag(x, n).over(by_time()) if n >= 0 else F.lead(x, -n).over(by_time())
 
 
 def delta(x: Column, n: int) -> Column:
@@ -49,13 +50,13 @@ def zscore(x: Column, n: int) -> Column:
 
 
 def expanding_std(x: Column, min_periods: int) -> Column:
-    w = BY_TIME.rowsBetween(Window.unboundedPreceding, 0)
+    w = by_time().rowsBetween(Window.unboundedPreceding, 0)
     return F.when(F.count(x).over(w) >= min_periods, F.stddev_pop(x).over(w))
 
 
 def wma(x: Column, n: int) -> Column:
     """Linear weights 1..n: from the sums of i x and x, with i the row number."""
-    i = F.row_number().over(BY_TIME)
+    i = F.row_number().over(by_time())
     first = i - n
     return full(x, (F.sum(x * i).over(last(n)) - first * F.sum(x).over(last(n))) / (n * (n + 1) / 2), n)
 
@@ -77,7 +78,7 @@ def downside_vol(x: Column, n: int) -> Column:
 
 
 def age_days(x: Column, ts: Column) -> Column:
-    return F.datediff(ts, F.min(F.when(x.isNotNull(), ts)).over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0)))
+    return F.datediff(ts, F.min(F.when(x.isNotNull(), ts)).over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def beta(x: Column, ref: Column, n: int) -> Column:
@@ -89,8 +90,8 @@ def beta(x: Column, ref: Column, n: int) -> Column:
 def ewma(x: Column, n: int) -> Column:
     """alpha = 2/(n+1), seeded with the mean of the first n rows: an exponential sum in closed form over the running window."""
     keep = 1 - 2 / (n + 1)
-    i = F.row_number().over(BY_TIME)
-    so_far = BY_TIME.rowsBetween(Window.unboundedPreceding, 0)
+    i = F.row_number().over(by_time())
+    so_far = by_time().rowsBetween(Window.unboundedPreceding, 0)
     seed = F.sum(F.when(i <= n, x)).over(so_far) / n
     older = F.array_sort(F.collect_list(F.when(i > n, F.struct(i.alias("i"), x.alias("x")))).over(so_far.rowsBetween(-40 * n, 0)))
     first = F.when(F.size(older) > 0, F.element_at(older, 1)["i"])
@@ -118,6 +119,6 @@ def worst_drawdown(x: Column, n: int) -> Column:
 
 def path_ahead(x: Column, n: int) -> tuple[Column, Column, Column]:
     """Return, lowest and highest relative value over the n rows ahead; null unless all are there."""
-    w = BY_TIME.rowsBetween(1, n)
+    w = by_time().rowsBetween(1, n)
     ok = F.count(x).over(w) == n
-    return F.when(ok, F.lead(x, n).over(BY_TIME) / x - 1), F.when(ok, F.min(x).over(w) / x - 1), F.when(ok, F.max(x).over(w) / x - 1)
+    return F.when(ok, F.lead(x, n).over(by_time()) / x - 1), F.when(ok, F.min(x).over(w) / x - 1), F.when(ok, F.max(x).over(w) / x - 1)

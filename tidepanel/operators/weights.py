@@ -19,13 +19,13 @@ def rebalance_rows(df: DataFrame, unit: str) -> DataFrame:
 
 
 def equal(gross: float = 1.0) -> Column:
-    return gross / F.count("*").over(xs.AT)
+    return gross / F.count("*").over(xs.at())
 
 
 def rank_weighted(position: str, weights: tuple[float, ...]) -> Column:
     """Weights by position, scaled to those that are there."""
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.col(position).cast("int"))
-    return w / F.sum(w).over(xs.AT)
+    return w / F.sum(w).over(xs.at())
 
 
 def long_short(df: DataFrame, score: str, n: int, gross: float) -> DataFrame:
@@ -47,8 +47,8 @@ def redistribute(df: DataFrame, weight: str, cap: str) -> DataFrame:
     order = Window.partitionBy("ts").orderBy(c / w, F.col("market"))
     capped_before = F.coalesce(F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rest = F.sum(w).over(order.rowsBetween(0, Window.unboundedFollowing))
-    scale = (F.sum(w).over(xs.AT) - capped_before) / rest
-    out = df.withColumn("__scale", scale).withColumn("__scale", F.max("__scale").over(xs.AT))
+    scale = (F.sum(w).over(xs.at()) - capped_before) / rest
+    out = df.withColumn("__scale", scale).withColumn("__scale", F.max("__scale").over(xs.at()))
     return out.withColumn("final", F.least(c, w * F.col("__scale"))).drop("__scale")
 
 
@@ -56,5 +56,5 @@ def changes_only(df: DataFrame, weight: str) -> DataFrame:
     """Rows of the times at which any market's target differs from its one before; the first time always."""
     before = F.lag(weight).over(Window.partitionBy("market").orderBy("ts"))
     first = F.col("ts") == F.min("ts").over(Window.partitionBy("market"))
-    changed = F.max((first | ~F.col(weight).eqNullSafe(before)).cast("int")).over(xs.AT)
+    changed = F.max((first | ~F.col(weight).eqNullSafe(before)).cast("int")).over(xs.at())
     return df.withColumn("__c", changed).where("__c = 1").drop("__c")

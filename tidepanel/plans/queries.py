@@ -123,7 +123,7 @@ def seeded_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT ts, market, round(CASE WHEN count(*) OVER w = 30 AND var_pop(ref) OVER w > 0 THEN covar_pop(price, ref) OVER w / var_pop(ref) OVER w END, 6) AS beta30
 FROM j WINDOW w AS ({WM} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""")
 def rolling_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = panel.build_panel(spark, sf_dir, "type").withColumn("ref", F.avg("price").over(xs.AT))
+    p = panel.build_panel(spark, sf_dir, "type").withColumn("ref", F.avg("price").over(xs.at()))
     return p.select("ts", "market", _r(rolling.beta(F.col("price"), F.col("ref"), 30), "beta30"))
 
 
@@ -215,7 +215,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY price DESC, market)
 s AS (SELECT ts, market, CASE WHEN best <= 3 THEN 1 WHEN worst <= 3 THEN -1 END AS side FROM k)
 SELECT ts, market, side, round(side * 1.0 / 2 / count(*) OVER (PARTITION BY ts, side), 6) AS weight FROM s WHERE side IS NOT NULL""")
 def long_short_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = panel.build_panel(spark, sf_dir, "size").withColumn("n", F.count("*").over(xs.AT)).where("n >= 8")
+    p = panel.build_panel(spark, sf_dir, "size").withColumn("n", F.count("*").over(xs.at())).where("n >= 8")
     return weights.long_short(p, "price", 3, 1.0).select("ts", "market", "side", _r("weight", "weight"))
 
 
@@ -290,7 +290,7 @@ k AS (SELECT *, rank() OVER (PARTITION BY ts ORDER BY factor) + (count(*) OVER (
 SELECT ts, count(*) AS n, round(corr(factor, label), 6) AS ic, round(corr(rf, rl), 6) AS rank_ic FROM k GROUP BY ts HAVING count(*) >= 6""")
 def information_coefficient(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel.build_panel(spark, sf_dir, "size")
-    f = p.select("ts", "market", F.round(rolling.simple_return(F.col("price"), 3), 8).alias("factor"), F.round(F.lead("price").over(rolling.BY_TIME) / F.col("price") - 1, 8).alias("label"))
+    f = p.select("ts", "market", F.round(rolling.simple_return(F.col("price"), 3), 8).alias("factor"), F.round(F.lead("price").over(rolling.by_time()) / F.col("price") - 1, 8).alias("label"))
     return research.row_ic(f, "factor", "label", 6).select("ts", "n", _r("ic", "ic"), _r("rank_ic", "rank_ic"))
 
 
@@ -299,7 +299,7 @@ k AS (SELECT *, CAST(1 + floor((row_number() OVER (PARTITION BY ts ORDER BY fact
 SELECT bucket, count(*) AS n, round(avg(label), 6) AS mean_label, round(quantile_cont(label, 0.5), 6) AS median_label FROM k GROUP BY bucket""")
 def factor_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel.build_panel(spark, sf_dir, "size")
-    f = p.select("ts", "market", F.round(rolling.simple_return(F.col("price"), 3), 8).alias("factor"), F.round(F.lead("price").over(rolling.BY_TIME) / F.col("price") - 1, 8).alias("label"))
+    f = p.select("ts", "market", F.round(rolling.simple_return(F.col("price"), 3), 8).alias("factor"), F.round(F.lead("price").over(rolling.by_time()) / F.col("price") - 1, 8).alias("label"))
     return research.bucket_returns(f, "factor", "label", 4).select("bucket", "n", _r("mean_label", "mean_label"), _r("median_label", "median_label"))
 
 
@@ -325,7 +325,7 @@ def cscv_overfitting(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o.market, a.ts AS gap_start, b.ts AS gap_end, nxt - o.i - 1 AS bars FROM o JOIN cal a ON a.i = o.i + 1 JOIN cal b ON b.i = nxt - 1 WHERE nxt > o.i + 1""")
 def price_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = panel.dense_grid(panel.build_panel(spark, sf_dir, "brand").select("ts", "market", "price"))
-    w = rolling.BY_TIME
+    w = rolling.by_time()
     seen = F.count("price").over(w.rowsBetween(Window.unboundedPreceding, 0))
     later = F.count("price").over(w.rowsBetween(1, Window.unboundedFollowing))
     g = grid.withColumn("island", seen).withColumn("later", later).where("price is null and island > 0 and later > 0")
