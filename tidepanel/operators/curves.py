@@ -56,3 +56,17 @@ def against_benchmark(curves: DataFrame, benchmark: str, per_year: int) -> DataF
         F.count("*").alias("n"), (F.avg("excess") / F.stddev_pop("excess") * per_year**0.5).alias("information_ratio"), beta.alias("beta"),
         ((F.avg("ret") - beta * F.avg("bench")) * per_year).alias("alpha"), F.pow(F.corr("ret", "bench"), 2).alias("r2"),
     )
+
+
+def annual_returns(curves: DataFrame) -> DataFrame:
+    """By run and calendar year: the last value over the last one of the year before; the first year starts at its first value."""
+    y = curves.groupBy("run_id", F.year("ts").alias("yr")).agg(F.max_by("value", "ts").alias("last_value"), F.min_by("value", "ts").alias("first_value"))
+    before = F.lag("last_value").over(Window.partitionBy("run_id").orderBy("yr"))
+    return y.withColumn("year_ret", F.col("last_value") / F.coalesce(before, "first_value") - 1)
+
+
+def excess(returns: DataFrame) -> DataFrame:
+    """excess: ret less the mean of all runs at that time; relative: the product of 1 + excess so far. Rows at -1 or below are left out."""
+    mean = returns.groupBy("ts").agg(F.avg("ret").alias("bench"))
+    out = returns.join(mean, "ts").withColumn("excess", F.col("ret") - F.col("bench")).where("excess > -1")
+    return out.withColumn("relative", F.exp(F.sum(F.log1p("excess")).over(run().rowsBetween(Window.unboundedPreceding, 0))))

@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from . import cross_section as xs
 
 
+def _correlation(x: str, y: str) -> Column:
+    """Null where a side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def row_ic(df: DataFrame, factor: str, label: str, min_count: int) -> DataFrame:
     """Pearson and rank correlation of factor and label across markets, by time."""
     both = df.where(F.col(factor).isNotNull() & F.col(label).isNotNull())
     ranked = both.withColumn("__f", xs.average_percent_rank(F.col(factor))).withColumn("__l", xs.average_percent_rank(F.col(label)))
-    out = ranked.groupBy("ts").agg(F.count("*").alias("n"), F.corr(factor, label).alias("ic"), F.corr("__f", "__l").alias("rank_ic"))
+    out = ranked.groupBy("ts").agg(F.count("*").alias("n"), _correlation(factor, label).alias("ic"), _correlation("__f", "__l").alias("rank_ic"))
     return out.where(F.col("n") >= min_count)
 
 

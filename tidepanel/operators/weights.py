@@ -58,3 +58,9 @@ def changes_only(df: DataFrame, weight: str) -> DataFrame:
     first = F.col("ts") == F.min("ts").over(Window.partitionBy("market"))
     changed = F.max((first | ~F.col(weight).eqNullSafe(before)).cast("int")).over(xs.at())
     return df.withColumn("__c", changed).where("__c = 1").drop("__c")
+
+
+def selection_statistics(selected: DataFrame) -> DataFrame:
+    """Over the times with a selection: how many there are, and the mean, least and most markets held."""
+    held = selected.groupBy("ts").agg(F.count("*").alias("held"))
+    return held.agg(F.count("*").alias("rebalances"), F.avg("held").alias("mean_held"), F.min("held").alias("least_held"), F.max("held").alias("most_held"))

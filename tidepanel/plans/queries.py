@@ -356,6 +356,43 @@ def yearly_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_registered(f"""WITH {CURVES}, y AS (SELECT run_id, year(ts) AS yr, arg_max(value, ts) AS last_value, arg_min(value, ts) AS first_value FROM cv GROUP BY 1, 2)
+SELECT run_id, yr, round(last_value / coalesce(lag(last_value) OVER (PARTITION BY run_id ORDER BY yr), first_value) - 1, 6) AS year_ret FROM y""")
+def annual_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = curves.annual_returns(_curves(spark, sf_dir))
+    return y.select("run_id", "yr", _r("year_ret", "year_ret"))
+
+
+@_registered(f"""WITH {CURVES}, b AS (SELECT ts, avg(ret) AS bench FROM r GROUP BY ts)
+SELECT run_id, r.ts, round(ret - bench, 6) AS excess, round(exp(sum(ln(1 + ret - bench)) OVER (PARTITION BY run_id ORDER BY r.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 5) AS relative FROM r JOIN b ON b.ts = r.ts WHERE ret - bench > -1""")
+def excess_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = curves.excess(curves.with_returns(_curves(spark, sf_dir)))
+    return c.select("run_id", "ts", _r("excess", "excess"), F.round("relative", 5).alias("relative"))
+
+
+@_registered(f"""WITH {SIZE}, k AS (SELECT ts, market, row_number() OVER (PARTITION BY ts ORDER BY price, market) AS up, count(*) OVER (PARTITION BY ts) AS n FROM panel),
+c AS (SELECT ts, market, CASE WHEN n = 1 THEN 1.0 ELSE (up - 1) / (n - 1) END AS pct FROM k), d AS (SELECT *, pct - lag(pct, 3) OVER ({WM}) AS change, lag(pct, 3) OVER ({WM}) AS old FROM c)
+SELECT ts, market, round(pct, 6) AS pct, round(change, 6) AS change3 FROM d""")
+def rank_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = panel.build_panel(spark, sf_dir, "size").select("ts", "market", xs.percentile(F.col("price")).alias("pct"))
+    return p.select("ts", "market", _r("pct", "pct"), _r(rolling.delta(F.col("pct"), 3), "change3"))
+
+
+@_registered(f"""WITH {SIZE}, k AS (SELECT ts, market, row_number() OVER (PARTITION BY ts ORDER BY price, market) AS up FROM panel), o AS (SELECT *, lag(up) OVER ({WM}) AS old FROM k),
+b AS (SELECT ts, rank() OVER (PARTITION BY ts ORDER BY up) AS a, rank() OVER (PARTITION BY ts ORDER BY old) + (count(*) OVER (PARTITION BY ts, old) - 1) / 2.0 AS z FROM o WHERE old IS NOT NULL)
+SELECT ts, count(*) AS n, round(CASE WHEN min(a) < max(a) AND min(z) < max(z) THEN corr(a, z) END, 6) AS autocorrelation FROM b GROUP BY ts HAVING count(*) >= 6""")
+def rank_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = panel.build_panel(spark, sf_dir, "size").select("ts", "market", xs.rank(F.col("price")).cast("double").alias("up")).withColumn("old", rolling.shift(F.col("up"), 1))
+    return research.row_ic(p, "up", "old", 6).select("ts", "n", _r("rank_ic", "autocorrelation"))
+
+
+@_registered(f"""WITH {SIZE}, d AS (SELECT min(ts) AS ts FROM panel GROUP BY date_trunc('month', ts)), h AS (SELECT ts, count(*) FILTER (volume >= 30) AS held FROM panel JOIN d USING (ts) GROUP BY ts)
+SELECT count(*) AS rebalances, round(avg(held), 6) AS mean_held, min(held) AS least_held, max(held) AS most_held FROM h WHERE held > 0""")
+def selection_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = weights.rebalance_rows(panel.build_panel(spark, sf_dir, "size"), "month").where("volume >= 30")
+    return weights.selection_statistics(rows).withColumn("mean_held", F.round("mean_held", DIGITS))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
