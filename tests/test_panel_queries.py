@@ -129,3 +129,25 @@ def test_streaming_bars_equal_batch_bars(spark, tmp_path):
     columns = ["ts", "market", "open", "high", "low", "close", "n_ticks"]
     got = sorted(spark.table("bars_out").select(columns).collect())
     assert got == sorted(bars(source.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value", "60 minutes", "event_id").select(columns).collect()) and got
+
+
+def test_holding_state_counts_rows_and_waits(spark):
+    n = None
+    entry = [0.0, 1.0, 1.0, n, 1.0, 1.0, 0.0, 1.0, 1.0, 0.0]
+    leave = [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0]
+    df = spark.createDataFrame([("a", t, e, x) for t, (e, x) in enumerate(zip(entry, leave))], "market string, ts int, entry double, leave double")
+
+    def held(**how):
+        return [r.held for r in rolling.holding_state(df, "entry", "leave", **how).orderBy("ts").collect()]
+
+    assert held() == [0.0, 1.0, 1.0, n, 1.0, 1.0, 1.0, 1.0, 0.0, 0.0]
+    # the end at row 4 comes with the entry flag still set: it must be 0 once (row 6) before row 7 enters
+    assert held(longest=3) == [0.0, 1.0, 1.0, n, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0]
+    # three known rows (5 to 7) pass after the end; an entry counts before an exit where nothing is held
+    assert held(longest=3, cooldown=3) == [0.0, 1.0, 1.0, n, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0]
+
+
+def test_intervals_that_touch_a_window_exclude_their_market(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "market string, ts int")
+    gaps = spark.createDataFrame([("a", 5, 9), ("b", 1, 3), ("b", 2, 2)], "market string, gap_start int, gap_end int")
+    assert sorted(r.market for r in weights.without_overlaps(df, gaps, F.lit(4), F.lit(5)).collect()) == ["b", "c"]

@@ -65,3 +65,45 @@ def weighted_sum(parts: list[tuple[Column, float]]) -> Column:
     for c, w in parts:
         total = total + c * w
     return total
+
+
+def stepped_cap(x: Column, start: float, end: float, least: float, steps: int) -> Column:
+    """1 up to start, then down to least at end in equal steps."""
+    step = clip(F.ceil((x - start) / ((end - start) / steps)).cast("double"), 0.0, float(steps))
+    return 1 - step / steps * (1 - least)
+
+
+def hump_steps(x: Column, entry: float, peak: float, end: float, least: float, last: float, steps: int) -> Column:
+    """0 up to entry, steps up from least towards peak, steps down from 1 to last at end, and last beyond."""
+    up, down = F.floor((x - entry) / ((peak - entry) / steps)), F.floor((x - peak) / ((end - peak) / steps))
+    falls = 1 - down / steps * (1 - last)
+    return F.when(x <= entry, 0.0).when(x < peak, least + up / steps * (1 - least)).when(x < end, falls).when(x >= end, F.lit(last))
+
+
+def true_range(high: Column, low: Column, close_before: Column) -> Column:
+    """The widest of high - low and both distances from the close before; unknown ones are skipped."""
+    return F.greatest(high - low, F.abs(high - close_before), F.abs(low - close_before))
+
+
+def by_state(state: Column, values: dict[float, Column], default: Column | None = None) -> Column:
+    """The column of the state's value; a null state is null, an unlisted one takes the default."""
+    out = F.when(state.isNull(), None)
+    for key, value in values.items():
+        out = out.when(state == key, value)
+    return out if default is None else out.otherwise(default)
+
+
+def safe_ratio(a: Column, b: Column) -> Column:
+    """Over positive denominators only."""
+    return F.when(b > 0, a / b)
+
+
+def market_score(market: Column, rules: dict[str, list[tuple[Column, float]]], otherwise: list[tuple[Column, float]]) -> Column:
+    """A weighted sum of flags under the market's own rule; a missing flag counts as 0."""
+    def total(parts: list[tuple[Column, float]]) -> Column:
+        return weighted_sum([(F.coalesce(c, F.lit(0.0)), w) for c, w in parts])
+
+    out = F.when(F.lit(False), F.lit(0.0))
+    for name, parts in rules.items():
+        out = out.when(market == name, total(parts))
+    return out.otherwise(total(otherwise))

@@ -45,3 +45,17 @@ def dispersion(df: DataFrame, x: str, min_count: int) -> DataFrame:
     c = F.col(x)
     out = df.groupBy("ts").agg(F.count(c).alias("n"), F.percentile(c, 0.5).alias("med"), F.stddev_samp(c).alias("sd"), F.avg(F.when(c.isNotNull(), (c > 0).cast("double"))).alias("pos"))
     return out.where(F.col("n") >= min_count)
+
+
+def percentile_bucket(pct: Column, n: int) -> Column:
+    return F.greatest(F.least(F.ceil(pct * n), F.lit(n)), F.lit(1)).cast("int")
+
+
+def breadth(driver: Column, signal: Column, n: int | None = None, quantiles: int = 0, buckets: tuple[int, ...] = (), descending: bool = True) -> Column:
+    """Share with a signal other than 0 among the n best by the driver, or among those in the given quantile buckets; the
+    same for every market of that time. None selected: 0; no market with both known: null."""
+    both = F.when(signal.isNotNull(), driver)
+    place, known = rank(both, descending=descending), size(both)
+    chosen = place <= n if n else (1 + F.floor((place - 1) * quantiles / known)).isin(*buckets)
+    share = F.avg(F.when(chosen, (signal != 0).cast("double"))).over(at())
+    return F.when(known > 0, F.coalesce(share, F.lit(0.0)))

@@ -70,3 +70,39 @@ def excess(returns: DataFrame) -> DataFrame:
     mean = returns.groupBy("ts").agg(F.avg("ret").alias("bench"))
     out = returns.join(mean, "ts").withColumn("excess", F.col("ret") - F.col("bench")).where("excess > -1")
     return out.withColumn("relative", F.exp(F.sum(F.log1p("excess")).over(run().rowsBetween(Window.unboundedPreceding, 0))))
+
+
+def rolling_information_ratio(excess_returns: DataFrame, n: int, per_year: int) -> DataFrame:
+    """information_ratio over the last n rows of excess."""
+    w = run().rowsBetween(-(n - 1), 0)
+    std = F.stddev_pop("excess").over(w)
+    ratio = F.when((F.count("excess").over(w) == n) & (std > 1e-12), F.avg("excess").over(w) / std * per_year**0.5)
+    return excess_returns.withColumn("information_ratio", ratio)
+
+
+def summarize(df: DataFrame, x: str) -> DataFrame:
+    """By run: mean, deviation, quartiles, share above zero and extremes of x."""
+    return df.where(F.col(x).isNotNull()).groupBy("run_id").agg(
+        F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.percentile(x, 0.25).alias("q25"), F.percentile(x, 0.5).alias("median"),
+        F.percentile(x, 0.75).alias("q75"), F.avg((F.col(x) > 0).cast("double")).alias("positive"), F.min(x).alias("least"), F.max(x).alias("most"),
+    )
+
+
+def window_returns(curves: DataFrame, start: str, end: str) -> DataFrame:
+    """Last over first value inside the dates, both included, in percent."""
+    inside = curves.where(F.col("ts").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
+    return inside.groupBy("run_id").agg(F.count("*").alias("n"), ((F.max_by("value", "ts") / F.min_by("value", "ts") - 1) * 100).alias("return_pct"))
+
+
+def recovery(curves: DataFrame) -> DataFrame:
+    """By run, over its stretches below a high: how many, their mean, longest and 90th percentile length, and the share of rows under water."""
+    lengths = drawdown_episodes(curves).groupBy("run_id").agg(F.count("*").alias("episodes"), F.avg("bars").alias("mean_bars"), F.max("bars").alias("longest"), F.percentile("bars", 0.9).alias("p90"), F.sum("bars").alias("__b"))
+    rows = curves.groupBy("run_id").agg(F.count("*").alias("__n"))
+    return rows.join(lengths, "run_id", "left").select("run_id", "episodes", "mean_bars", "longest", "p90", (F.coalesce("__b", F.lit(0)) / F.col("__n")).alias("under_water"))
+
+
+def group_benchmark(prices: DataFrame) -> DataFrame:
+    """Equal cash in every market, held; cash until a market's first price, its last price where it has none. Rows: a dense grid."""
+    w = Window.partitionBy("market").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    grown = F.last("price", ignorenulls=True).over(w) / F.first("price", ignorenulls=True).over(w)
+    return prices.withColumn("__g", F.coalesce(grown, F.lit(1.0))).groupBy("ts").agg(F.avg("__g").alias("value"))

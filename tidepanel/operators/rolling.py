@@ -6,8 +6,15 @@ Windows are full or null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
 
 def by_time() -> WindowSpec:
     return Window.partitionBy("market").orderBy("ts")
@@ -122,3 +129,121 @@ def path_ahead(x: Column, n: int) -> tuple[Column, Column, Column]:
     w = by_time().rowsBetween(1, n)
     ok = F.count(x).over(w) == n
     return F.when(ok, F.lead(x, n).over(by_time()) / x - 1), F.when(ok, F.min(x).over(w) / x - 1), F.when(ok, F.max(x).over(w) / x - 1)
+
+
+def residual(x: Column, ref: Column, n: int) -> Column:
+    """x less its window beta (sample moments) times ref; rows must hold both."""
+    var = F.var_samp(ref).over(last(n))
+    return full(x, F.when(var != 0, x - F.covar_samp(x, ref).over(last(n)) / var * ref), n)
+
+
+def median_return(x: Column, n: int) -> Column:
+    r = simple_return(x)
+    held = F.sort_array(F.collect_list(r).over(last(n)))
+    return full(r, (F.get(held, F.lit((n - 1) // 2)) + F.get(held, F.lit(n // 2))) / 2, n)
+
+
+def win_rate(x: Column, n: int, threshold: float = 0.0) -> Column:
+    """Share of the window's rows with a return over the threshold; a row without a return is none."""
+    wins = F.coalesce((simple_return(x) > threshold).cast("double"), F.lit(0.0))
+    return F.when(F.count(F.lit(1)).over(last(n)) == n, F.avg(wins).over(last(n)))
+
+
+def consistency(x: Column, n: int, least: float = 1e-12) -> Column:
+    """Median return over the size of the mean return."""
+    mean = F.abs(rolling(simple_return(x), n, "mean"))
+    return F.when(mean > least, median_return(x, n) / mean)
+
+
+def trend_quality(x: Column, n: int) -> Column:
+    """Slope of the log of x by row, times the fit's R2."""
+    y, i, w = F.when(x > 0, F.log(x)), F.row_number().over(by_time()).cast("double"), last(n)
+    both, vi, vy = F.covar_pop(y, i).over(w), (n * n - 1) / 12, F.var_pop(y).over(w)
+    return full(y, F.when(F.min(y).over(w) < F.max(y).over(w), both / vi * both * both / (vi * vy)), n)
+
+
+def sample_beta(r: Column, ref: Column, n: int) -> Column:
+    pair = F.when(r.isNotNull() & ref.isNotNull(), 1)
+    return full(pair, F.try_divide(F.covar_samp(r, ref).over(last(n)), F.var_samp(ref).over(last(n))), n)
+
+
+def weighted_momentum(x: Column, turnover: Column, n: int) -> Column:
+    """Sum of returns weighted by turnover, over the turnover's sum."""
+    part, total = simple_return(x) * turnover, F.sum(turnover).over(last(n))
+    return full(part, F.when(total != 0, F.sum(part).over(last(n)) / total), n)
+
+
+def next_open_label(x: Column, horizon: int) -> Column:
+    """The return from the row after to horizon rows after that."""
+    return F.lead(x, horizon + 1).over(by_time()) / F.lead(x, 1).over(by_time()) - 1
+
+
+def mid_rank(x: Column, n: int, least: int) -> Column:
+    """Share of the window below the last value and half of that equal to it, once least values are there."""
+    held = F.collect_list(x).over(last(n))
+    less, equal = F.size(F.filter(held, lambda v: v < x)), F.size(F.filter(held, lambda v: v == x))
+    return F.when(F.size(held) >= least, (less + equal / 2) / F.size(held))
+
+
+def turnover_scores(x: Column, n: int) -> tuple[Column, Column]:
+    """Over the window's mean, and as a z-score with the sample deviation, of log1p of x."""
+    y = F.log1p(x)
+    mean, std = rolling(y, n, "mean"), full(y, F.stddev_samp(y).over(last(n)), n)
+    return F.when(mean != 0, y / mean), F.when(std > 0, (y - mean) / std)
+
+
+def _per_market(df: DataFrame, name: str, made: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
+    """A column made from one market's rows in time order; a market's rows are as many as the calendar's."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts", ignore_index=True)
+        return pdf.assign(**{name: made(pdf)})
+
+    return df.groupBy("market").applyInPandas(run, StructType([*df.schema.fields, StructField(name, DoubleType())]))
+
+
+def expanding_percentile(df: DataFrame, x: str, least: int) -> DataFrame:
+    """Average rank of x among the market's values so far, over their number, once least values are there."""
+    def made(pdf: pd.DataFrame) -> np.ndarray:
+        seen: list[float] = []
+        out = np.full(len(pdf), np.nan)
+        for k, v in enumerate(pdf[x].to_numpy(float)):
+            if not np.isnan(v):
+                left, right = bisect_left(seen, v), bisect_right(seen, v)
+                seen.insert(right, v)
+                if len(seen) >= least:
+                    out[k] = (left + right + 2) / 2 / len(seen)
+        return out
+
+    return _nan_to_null(_per_market(df, "percentile", made), "percentile")
+
+
+def holding_state(df: DataFrame, entry: str, leave: str, cooldown: int = 0, longest: int | None = None) -> DataFrame:
+    """held: 1 from an entry flag to an exit flag, else 0, over grid rows.
+
+    A row with an unknown flag is null and keeps the state. After an exit, cooldown known rows pass before an entry counts.
+    A holding of longest rows ends on its own; the entry flag must then have been 0 before it counts again.
+    """
+    def made(pdf: pd.DataFrame) -> np.ndarray:
+        out = np.full(len(pdf), np.nan)
+        since, wait, spent = None, 0, False
+        for k, (e, x) in enumerate(zip(pdf[entry].to_numpy(float), pdf[leave].to_numpy(float))):
+            if since is not None and longest is not None and k - since >= longest:
+                since, wait, spent, out[k] = None, cooldown, e != 0, 0.0
+                continue
+            spent = spent and e != 0
+            if np.isnan(e) or np.isnan(x):
+                continue
+            if since is not None:
+                since, wait = (None, cooldown) if x else (since, wait)
+            elif wait:
+                wait -= 1
+            elif e and not spent:
+                since = k
+            out[k] = float(since is not None)
+        return out
+
+    return _nan_to_null(_per_market(df, "held", made), "held")
+
+
+def _nan_to_null(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, F.when(~F.isnan(name), F.col(name)))

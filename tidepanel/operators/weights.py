@@ -64,3 +64,57 @@ def selection_statistics(selected: DataFrame) -> DataFrame:
     """Over the times with a selection: how many there are, and the mean, least and most markets held."""
     held = selected.groupBy("ts").agg(F.count("*").alias("held"))
     return held.agg(F.count("*").alias("rebalances"), F.avg("held").alias("mean_held"), F.min("held").alias("least_held"), F.max("held").alias("most_held"))
+
+
+def start_gate(df: DataFrame, eligible: Column, least: int) -> DataFrame:
+    """Rows from the first time on at which so many markets are eligible."""
+    first = df.where(eligible).groupBy("ts").agg(F.count("*").alias("n")).where(F.col("n") >= least).agg(F.min("ts").alias("__first"))
+    return df.join(F.broadcast(first), F.col("ts") >= F.col("__first")).drop("__first")  # one row
+
+
+def min_age(df: DataFrame, days: int) -> DataFrame:
+    """Rows at least so many days after their market's first."""
+    return df.withColumn("__age", F.datediff("ts", F.min("ts").over(Window.partitionBy("market")))).where(F.col("__age") >= days).drop("__age")
+
+
+def listed_fixed(listed: str = "ts", gross: float = 1.0) -> Column:
+    """The gross over the number of markets listed so far; rows need first_ts (the market's first time) on a dense grid."""
+    return F.when(F.col("first_ts") <= F.col(listed), gross / F.count(F.when(F.col("first_ts") <= F.col(listed), 1)).over(xs.at()))
+
+
+def feature_value(score: Column, scale: float, gross: float = 1.0) -> Column:
+    """Clipped score / scale, times the gross over the number of markets with a score."""
+    return F.greatest(F.least(score / scale, F.lit(1.0)), F.lit(-1.0)) * gross / xs.size(score)
+
+
+def target_average(df: DataFrame, target: str, k: int) -> DataFrame:
+    """average: mean of the market's last k targets; before the k-th, the first one stands in for those missing."""
+    w = Window.partitionBy("market").orderBy("ts")
+    held, first = w.rowsBetween(-(k - 1), 0), F.first(target).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    missing = k - F.count(target).over(held)
+    return df.withColumn("average", (F.sum(target).over(held) + missing * first) / k)
+
+
+def latest_targets(df: DataFrame, target: str, at: Column) -> DataFrame:
+    """Each market's last target at or before a time."""
+    return df.where(F.col("ts") <= at).groupBy("market").agg(F.max("ts").alias("ts"), F.max_by(target, "ts").alias(target))
+
+
+def monthly_union(df: DataFrame, score: str, n: int) -> DataFrame:
+    """Rows of the markets that were among a month's n best by mean score in any month; a month's best count from the next on."""
+    means = df.groupBy("market", F.trunc("ts", "month").alias("ts")).agg(F.round(F.avg(score), 8).alias("__s"))
+    chosen = means.withColumn("__r", xs.rank(F.col("__s"), descending=True)).where(F.col("__r") <= n)
+    since = chosen.groupBy("market").agg(F.add_months(F.min("ts"), 1).alias("__since"))
+    return df.join(since, "market").where(F.col("ts") >= F.col("__since")).drop("__since")
+
+
+def drop_idle_times(df: DataFrame, *activity: str) -> DataFrame:
+    """Without the times at which nothing was active in any market."""
+    total = sum((F.coalesce(F.sum(F.abs(c)).over(xs.at()), F.lit(0.0)) for c in activity), F.lit(0.0))
+    return df.withColumn("__a", total).where("__a > 0").drop("__a")
+
+
+def without_overlaps(df: DataFrame, intervals: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Without the markets that have an interval (market, gap_start, gap_end) touching the window from start to end."""
+    touching = intervals.where((F.col("gap_start") <= end) & (F.col("gap_end") >= start)).select("market").distinct()
+    return df.join(touching, "market", "left_anti")
