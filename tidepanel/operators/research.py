@@ -57,3 +57,22 @@ def cscv_selection(returns: DataFrame, blocks: int) -> DataFrame:
     best = F.row_number().over(at.orderBy(F.desc("inside"), F.asc("candidate")))
     picked = by_split.withColumn("oos_rank", place).withColumn("__b", best).where("__b = 1")
     return picked.select("split", "candidate", F.col("inside").alias("is_score"), F.col("outside").alias("oos_score"), "oos_rank", F.log(F.col("oos_rank") / (1 - F.col("oos_rank"))).alias("logit"))
+
+
+def bucket_matrix(df: DataFrame, x: str, y: str, label: str, q: int) -> DataFrame:
+    """Mean and median label, share above zero and count by the buckets of x and of y; empty cells are kept."""
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(label).isNotNull())
+    placed = both.withColumn("x_bucket", xs.quantile_bucket(F.col(x), q)).withColumn("y_bucket", xs.quantile_bucket(F.col(y), q))
+    cells = placed.groupBy("x_bucket", "y_bucket").agg(F.count("*").alias("n"), F.avg(label).alias("mean_label"), F.percentile(label, 0.5).alias("median_label"), F.avg((F.col(label) > 0).cast("double")).alias("positive"))
+    sides = df.sparkSession.range(1, q + 1).select(F.col("id").cast("int").alias("x_bucket"), F.explode(F.sequence(F.lit(1), F.lit(q))).alias("y_bucket"))
+    return sides.join(cells, ["x_bucket", "y_bucket"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def adjusted_p(df: DataFrame, p: str, family: list[str]) -> DataFrame:
+    """adjusted: Benjamini-Yekutieli within each family; ties by p share the same value."""
+    w = Window.partitionBy(*family)
+    m = F.count(p).over(w)
+    harmonic = F.aggregate(F.sequence(F.lit(1), m.cast("int")), F.lit(0.0), lambda a, k: a + 1 / k)
+    raw = F.col(p) * m * harmonic / F.row_number().over(w.orderBy(p))
+    placed = df.withColumn("__raw", raw)
+    return placed.withColumn("adjusted", F.least(F.lit(1.0), F.min("__raw").over(w.orderBy(p).rangeBetween(Window.currentRow, Window.unboundedFollowing)))).drop("__raw")

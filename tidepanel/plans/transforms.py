@@ -23,7 +23,7 @@ def _panel(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
 SELECT ts, market, round(1 - greatest(least(ceil((z - (-0.3)) / 0.125), 4.0), 0.0) / 4 * 0.75, 6) AS stepped,
   round(CASE WHEN z <= -0.3 THEN 0.0 WHEN z < 0.1 THEN 0.2 + floor((z - (-0.3)) / 0.1) / 4 * 0.8 WHEN z < 0.5 THEN 1 - floor((z - 0.1) / 0.1) / 4 * 0.7 ELSE 0.3 END, 6) AS hump,
   CASE WHEN volume > 100 THEN CASE CAST(floor(volume / 100) AS INTEGER) % 3 WHEN 0 THEN amount WHEN 1 THEN volume ELSE -1.0 END END AS by_state,
-  round(CASE WHEN volume > 50 THEN amount / (volume - 50) END, 2) AS safe, CASE WHEN market = (SELECT min(p_type) FROM part) THEN 2.0 * (z > 0)::INT ELSE 1.0 * (z > 0)::INT + 0.5 * (volume > 100)::INT END AS score FROM x""")
+  round(CASE WHEN volume > 50 THEN price / (volume - 50) END, 6) AS safe, CASE WHEN market = (SELECT min(p_type) FROM part) THEN 2.0 * (z > 0)::INT ELSE 1.0 * (z > 0)::INT + 0.5 * (volume > 100)::INT END AS score FROM x""")
 def state_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _panel(spark, sf_dir, "type").withColumn("z", F.round(F.col("price") / 1000 - 1.4, 8))
     first = panel.read(spark, sf_dir, "part").agg(F.min("p_type").alias("__m"))
@@ -32,7 +32,7 @@ def state_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     up, busy = ew.compare(z, F.lit(0.0), "gt"), ew.compare(v, F.lit(100.0), "gt")
     return x.join(F.broadcast(first)).select(  # one row
         "ts", "market", _r(ew.stepped_cap(z, -0.3, 0.2, 0.25, 4), "stepped"), _r(ew.hump_steps(z, -0.3, 0.1, 0.5, 0.2, 0.3, 4), "hump"), ew.by_state(state, {0: a, 1: v}, F.lit(-1.0)).alias("by_state"),
-        F.round(ew.safe_ratio(a, v - 50), 2).alias("safe"), F.when(F.col("market") == F.col("__m"), ew.market_score(F.lit("m"), {"m": [(up, 2.0)]}, [])).otherwise(ew.market_score(F.lit("o"), {}, [(up, 1.0), (busy, 0.5)])).alias("score"),
+        _r(ew.safe_ratio(F.col("price"), v - 50), "safe"), F.when(F.col("market") == F.col("__m"), ew.market_score(F.lit("m"), {"m": [(up, 2.0)]}, [])).otherwise(ew.market_score(F.lit("o"), {}, [(up, 1.0), (busy, 0.5)])).alias("score"),
     )
 
 
