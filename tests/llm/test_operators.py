@@ -364,6 +364,16 @@ def test_mpeg_reader_resynchronises():
     assert mpeg_media.crc16(b"123456789") == 0xAEE7
 
 
+def test_media_texts_that_read_as_a_tag():
+    for text in (b"a" * 89 + b"TAG", b"b" * 192 + b"a" * 89 + b"TAG" + b"c" * 100, b"d" * 192 + b"e" * 57 + b"APETAGEX" + b"f" * 24 + b"TAG"):
+        whole = mpeg_media.pad(text)
+        b = mpeg_media.build(whole, len(text))
+        s = mpeg_media.parse(b)
+        assert mpeg_media.payload_of(b, s) == whole and s.skipped == 0 and "TIT2" not in s.tags
+        tagged = mpeg_media.parse(b + b"TAG" + b"title".ljust(125, b"\0"))
+        assert tagged.tags["TIT2"] == "title" and len(tagged.offsets) == len(whole) // 192
+
+
 PAGE = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href=x>menu</a></li></ul></nav><!-- no --><div class='ad'>buy</div><article><h1>Head &amp; shoulders</h1><p><b>First\n para of a long text that goes on and on.<br><p>Second   one of a long text that goes on and on.</p></article><div class='comments'><p>first!</p></div><footer>&copy; us</footer></body></html>"
 
 

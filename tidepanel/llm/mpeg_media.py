@@ -4,7 +4,7 @@ Stored form: an ID3v2 tag naming the unpadded length, an Info frame (frame and b
 of 240 bytes (80 kbit/s, 48 kHz, mono, CRC-protected) for each 192 payload bytes. The frames' side information says that
 no audio is coded, so they play as silence, and the payload stands in what the format calls ancillary data.
 
-The reader skips ID3v2, ID3v1 and APE tags, resynchronises on frame headers (a header counts if another fits at the next
+The reader skips ID3v2, ID3v1 and APE tags (bytes that read as an ID3v1 tag are none if a frame from before them ends with the stream), resynchronises on frame headers (a header counts if another fits at the next
 frame's place, or the stream ends there), parses Xing, Info and VBRI tables, verifies each protected Layer III frame's
 CRC-16 over header and side information, and gives exact durations (samples over rate) and each frame's offset.
 
@@ -121,6 +121,7 @@ class Stream:
     bad_crc: int = 0
     checked: int = 0
     skipped: int = 0
+    end: int = 0  # of the last frame
     kbps: set[int] = field(default_factory=set)
 
 
@@ -169,9 +170,12 @@ def _even(b: bytes, at: int, end: int, h: Header) -> int:
     return int(differs[0]) if len(differs) else n
 
 
-def parse(b: bytes) -> Stream:
+def parse(b: bytes, id3v1: bool = True) -> Stream:
     out, at, end, first, offsets = Stream(), 0, len(b), True, []
-    if b[-128:-125] == b"TAG" and len(b) >= 128:
+    if id3v1 and b[-128:-125] == b"TAG" and len(b) >= 128:
+        inside = parse(b, id3v1=False)
+        if len(inside.offsets) and inside.offsets[-1] < end - 128 and inside.end == end:  # bytes of the last frame, no tag
+            return inside
         end -= 128
         out.tags["TIT2"] = out.tags.get("TIT2", b[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
     if b[end - 32 : end - 24] == b"APETAGEX":
@@ -201,6 +205,7 @@ def parse(b: bytes) -> Stream:
         n = max(1, _even(b, at, end, h))
         offsets.append(at + h.size * np.arange(n, dtype=np.int64))
         out.samples += n * h.samples
+        out.end = at + n * h.size
         out.kbps.add(h.kbps)
         if checks:
             out.checked += n
