@@ -233,6 +233,18 @@ def test_mixing_water_fill(docs, empty):
     assert mixing.mix_plan(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_the_pipeline_mixes_whole_texts(spark):
+    import corpus_pipeline as cp
+
+    texts = {k: "\n".join(f"w{k}x{i}" for i in range(n)) for k, n in enumerate((1000, 3, 40, 500, 7, 90, 11, 2000))}
+    docs = spark.createDataFrame([(k, f"s{k % 3}", t) for k, t in texts.items()], "doc_id long, source string, text string")
+    got = Counter(r.doc_id for r in cp.mix_sources(spark, docs, "").collect() if r.text == texts[r.doc_id])
+    plan = {r.doc_id: r for r in mixing.mix_plan(docs).collect()}
+    assert any(0 < r.part < r["size"] for r in plan.values())
+    assert got == Counter({k: n for k, r in plan.items() if (n := r.whole + (r.part > 0 and 2 * r.part >= r["size"]))})
+    assert cp.mix_sources(spark, docs, "").count() == sum(got.values())
+
+
 def test_huffman_codes():
     rng = random.Random(2)
     counts = {i: int(2 ** (i % 30)) + 1 for i in range(200)}

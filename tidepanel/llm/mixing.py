@@ -74,13 +74,17 @@ def mix_plan(
     return out.select("doc_id", "size", "source_size", "target", "whole", "part", "taken", *keep)
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document repeated as planned, the last repetition cut after `part` words; columns as in docs."""
+def mixed_documents(docs: DataFrame, whole_texts: bool = False, **options) -> DataFrame:
+    """The mix itself: each document repeated as planned; columns as in docs. The last repetition of the document on a source's
+    edge is cut after `part` words, or, with whole_texts, whole or left out, whichever ends nearer to the target."""
     columns = docs.columns
     kept = docs.withColumn("__row", F.struct(*[F.col(c) for c in columns]))
     plan = mix_plan(kept, keep=("__row",), **options)
-    times = F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0)
+    more = F.col("part") * 2 >= F.col("size") if whole_texts else F.lit(True)
+    times = F.col("whole") + F.when((F.col("part") > 0) & more, 1).otherwise(0)
     copies = plan.where(times > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), times.cast("int"))))
+    if whole_texts:
+        return copies.select(*[F.col(f"__row.`{c}`").alias(c) for c in columns])
     cut = (F.col("__copy") > F.col("whole")) & (F.col("part") < F.col("size"))
     words = F.filter(F.split(F.col("__row.text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     text = F.when(cut, F.array_join(F.slice(words, 1, F.col("part").cast("int")), " ")).otherwise(F.col("__row.text"))
