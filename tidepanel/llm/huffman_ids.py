@@ -5,12 +5,13 @@ The files are a Parquet dataset in the shared folder, a row for each block of ab
 more dataset holds the code lengths by id, from which the canonical codes follow. Blocks decode on their own, and within
 a block each checkpoint does, so decoding steps through all checkpoints' bits at once, one table look-up an id.
 
-Documents are dealt by ranges of doc_id (ties by text) and sorted within; a part's first id number comes from the parts'
+Documents are dealt by ranges of doc_id (ties by the text's hash) and sorted within; a part's first id number comes from the parts'
 totals, of which there is one row a part. Counts are summed by id over all documents: as many rows as ids.
 
 Ids fit 16 bits (the vocabulary must have at most 65,536 ids; more raise an error).
 
-Null and empty texts hold the end id alone. Null ids come first. Repeated rows are written each. An empty table gives
+doc_id must be an integer or cast to one (else Spark raises). Null and empty texts hold the end id alone. Null ids come
+first. A long text is encoded whole, in one slice of its own. Columns besides doc_id and text are not read. Repeated rows are written each. An empty table gives
 empty files and no rows. If one id alone occurs, its code is one bit long.
 """
 
@@ -20,54 +21,117 @@ import heapq
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, partitions, stage, text_of
+from .common import partitions, stage, text_of
 
 END_ID = 1
 BLOCK_IDS = 1 << 18
 CHECKPOINT = 256
 MAX_BITS = 20
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
+STRING_WORDS = 1000
+SLICE_BYTES = 1 << 24
 
-_words: dict[bytes, bytes] = {}
-_tokenizers: dict = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def encode_texts(texts: list[bytes], tokenizer_file: str, end_id: int = END_ID) -> list[bytes]:
-    """Ids of whole texts as little-endian 32-bit integers, each text's end id last. White space never joins tokens in this
-    vocabulary (it is dropped), so each run without ASCII white space is encoded once by the library and kept."""
-    tok = _tokenizers.get(tokenizer_file)
-    if tok is None:
+class Encoder:
+    """Ids of whole texts, word by word. White space never joins tokens in this vocabulary (it is dropped), and letters are
+    lower-cased by it, so each distinct lower-cased run without ASCII white space is encoded once by the library and kept in
+    a table, which Arrow looks the others up in. Texts that may hold a special token's string keep their capitals."""
+
+    def __init__(self, tokenizer_file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        _tokenizers.clear()
-        _words.clear()
-        tok = _tokenizers[tokenizer_file] = Tokenizer.from_file(tokenizer_file)
-        if tok.get_vocab_size() > 1 << 16:
+        self.whole = Tokenizer.from_file(tokenizer_file)
+        if self.whole.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-    split = [t.split() for t in texts]
-    if len(_words) > CACHE_WORDS:
-        _words.clear()
-    new = [w for w in set().union(*split) if w not in _words] if split else []
-    for k in range(0, len(new), 64):
-        part = new[k : k + 64]
-        names = [w.decode("utf-8", "replace") for w in part]
-        e = tok.encode(" ".join(names), add_special_tokens=False)
-        starts = np.cumsum([0] + [len(x) + 1 for x in names])
-        ids = np.array(e.ids, "<u4")
-        at = np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), starts) if len(ids) else np.zeros(len(starts), int)
-        for j, w in enumerate(part):
-            _words[w] = ids[at[j] : at[j + 1]].tobytes()
-    end = int(end_id).to_bytes(4, "little")
-    get = _words.__getitem__
-    return [b"".join(map(get, w)) + end for w in split]
+        self.letters = Tokenizer(self.whole.model)  # a word of a-z is one token run, whatever normalises or splits the rest
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.ends = np.zeros(1 << 16, bool)
+        for name, i in self.whole.get_vocab().items():
+            self.ends[i] = name.endswith("</w>")
+        self.bars = np.zeros(1 << 16, bool)
+        self.bars[self.whole.encode("|", add_special_tokens=False).ids] = True
+        self.words, self.flat, self.at = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and how many each text has."""
+        special = pc.match_substring(texts, "<|")
+        split = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
+        cuts, words = np.asarray(split.offsets, np.int64), split.values
+        place = pc.index_in(words, value_set=self.words)
+        if place.null_count:
+            self._learn(pc.unique(words.filter(pc.is_null(place))))
+            place = pc.index_in(words, value_set=self.words)
+        place = place.to_numpy()
+        ids, counts = self._gather(place)
+        if len(self.words) > CACHE_WORDS:
+            some = np.flatnonzero(np.bincount(place, minlength=len(self.words)) > 1)
+            self.words, (self.flat, kept) = self.words.take(pa.array(some)), self._gather(some)
+            self.at = np.r_[0, np.cumsum(kept)]
+        return ids, np.diff(np.r_[0, np.cumsum(counts)][cuts])
+
+    def _learn(self, words: pa.Array) -> None:
+        """A word's last mark, after a letter a-z, is a token run of its own; what is before it is a word itself."""
+        marked = pc.match_substring_regex(words, "[a-z][.,]$")
+        late, others = words.filter(marked), words.filter(pc.invert(marked))
+        stems = pc.utf8_slice_codeunits(late, 0, -1)
+        need = pc.unique(pa.concat_arrays([others, stems, pa.array([".", ","])]))
+        need = need.filter(pc.is_null(pc.index_in(need, value_set=self.words)))
+        plain = pc.match_substring_regex(need, "^[a-z]+$")
+        alone = pc.or_(pc.match_substring(need, "|"), pc.equal(pc.binary_length(need), 0))
+        some = need.filter(plain)
+        self._add(some, *self._parted(self.letters, some, " ", self.ends))
+        some = need.filter(pc.invert(pc.or_(plain, alone)))
+        self._add(some, *self._parted(self.whole, some, " | ", self.bars))
+        some = need.filter(alone)
+        each = [self.whole.encode(w, add_special_tokens=False).ids for w in some.to_pylist()]
+        self._add(some, np.array([i for ids in each for i in ids], np.uint32), np.array([len(ids) for ids in each], np.int64))
+        if len(late):
+            pair = [pc.index_in(x, value_set=self.words).to_numpy() for x in (stems, pc.utf8_slice_codeunits(late, -1))]
+            ids, counts = self._gather(np.stack(pair, 1).ravel())
+            self._add(late, ids, counts.reshape(-1, 2).sum(1))
+
+    def _add(self, words: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
+        self.flat = np.concatenate([self.flat, ids])
+        self.at = np.r_[self.at, self.at[-1] + np.cumsum(counts)]
+
+    def _gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at these places of the table, and their numbers."""
+        counts = np.diff(self.at)[place]
+        ends = np.cumsum(counts)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[place] - ends + counts, counts)], counts
+
+    @staticmethod
+    def _parted(tok, words: pa.Array, between: str, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of words that are encoded STRING_WORDS to a string. Those of a-z end where an id ends a token run;
+        others, which hold no bar, are parted by bars, whose ids go."""
+        cuts = np.r_[np.arange(0, len(words), STRING_WORDS), len(words)].astype(np.int32)
+        strings = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), words), between).to_pylist() if len(words) else []
+        inside = between == " "
+        found = [tok.encode_batch_fast([s if inside else s + " |"], add_special_tokens=False)[0].ids for s in strings]
+        ids = np.fromiter(chain.from_iterable(found), np.uint32)
+        last = ends[ids]
+        counts = np.diff(np.r_[-1, np.flatnonzero(last)]) - (not inside)
+        return (ids if inside else ids[~last]), counts
+
+
+def encode_texts(texts: pa.Array, tokenizer_file: str) -> tuple[np.ndarray, np.ndarray]:
+    if tokenizer_file not in _encoders:
+        _encoders.clear()
+        _encoders[tokenizer_file] = Encoder(tokenizer_file)
+    return _encoders[tokenizer_file](texts)
 
 
 def code_lengths(counts: dict[int, int], most: int = MAX_BITS) -> dict[int, int]:
@@ -170,23 +234,26 @@ def _chunks(tokenizer_file: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, sizes, held, total, block, part = [], [], [], 0, 0, None
+        end = np.array([end_id], np.uint16)
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "docs": pa.array([docs], pa.list_(pa.int64())),
-                "sizes": pa.array([sizes], pa.list_(pa.int64())), "ids": pa.array([np.frombuffer(b"".join(held), "<u4").astype("<u2").tobytes()], pa.binary()),
+                "sizes": pa.array([sizes], pa.list_(pa.int64())), "ids": pa.array([np.concatenate(held).astype("<u2").tobytes()], pa.binary()),
             })
 
         for batch in batches:
-            texts, ids = as_bytes(batch, "text"), batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            if part is None and len(ids):
+            texts, names = batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+            if part is None and len(names):
                 part = batch.column(batch.schema.get_field_index("part"))[0].as_py()
-            for k in range(0, len(ids), 256):
-                for i, x in zip(ids[k : k + 256], encode_texts(texts[k : k + 256], tokenizer_file, end_id), strict=True):
-                    docs.append(i)
-                    sizes.append(len(x) // 4)
-                    held.append(x)
-                    total += len(x) // 4
+            for lo, hi in _slices(texts):
+                ids, counts = encode_texts(texts.slice(lo, hi - lo), tokenizer_file)
+                cuts = np.r_[0, np.cumsum(counts)].tolist()
+                for k in range(hi - lo):
+                    docs.append(names[lo + k])
+                    sizes.append(cuts[k + 1] - cuts[k] + 1)
+                    held += [ids[cuts[k] : cuts[k + 1]].astype(np.uint16), end]
+                    total += sizes[-1]
                     if total >= BLOCK_IDS:
                         yield out()
                         docs, sizes, held, total, block = [], [], [], 0, block + 1
@@ -196,11 +263,22 @@ def _chunks(tokenizer_file: str, end_id: int):
     return run
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about SLICE_BYTES together, one text at least."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def write_ids(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID) -> tuple[DataFrame, DataFrame]:
     """Writes the files; returns them as read back: blocks (part, block, docs, sizes, before, offsets, bits) and code lengths (id, length)."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    ranged = source.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    spread = source.withColumn("tie", F.xxhash64("text"))  # rows of one id, or of none, need not go to one task
+    ranged = spread.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     chunks = stage(ranged.withColumn("part", F.spark_partition_id()).mapInArrow(_chunks(tokenizer_file, end_id), "part int, block int, docs array<long>, sizes array<long>, ids binary"), "token-ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
