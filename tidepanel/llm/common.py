@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +58,34 @@ def crc_of_id(col: str) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
 
 
+def text_slices(texts: pa.Array, size: int = 1 << 24) -> Iterator[tuple[pa.Array, int]]:
+    """Parts of a text column of about `size` bytes together, one text at least, and where each begins."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
+        yield texts.slice(lo, hi - lo), lo
+        lo = hi
+
+
 def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column's UTF-8 bytes, without decoding them."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
+
+
+def hot_keys(rows: DataFrame, key: str, share: int = 1000, least: int = 1000) -> list:
+    """The keys that hold more than a share-th of all rows, and more than `least` of them: fewer than `share` keys. rows is
+    counted once, so it should be a written table."""
+    total = rows.count()
+    return [r[0] for r in rows.groupBy(key).count().where(F.col("count") > max(least, total // share)).select(key).collect()]
+
+
+def salted_join(many: DataFrame, few: DataFrame, key: str, hot: list, salts: int = 64) -> DataFrame:
+    """An inner join on key in which the rows of hot keys are dealt to `salts` groups on the side of many, and repeated for
+    each on the other. Null keys join nothing."""
+    if not hot:
+        return many.join(few, key)
+    is_hot = F.broadcast(many.sparkSession.createDataFrame([(k,) for k in hot], many.select(F.col(key).alias("__hot")).schema))
+    a = many.join(is_hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*[c for c in many.columns]), F.lit(salts))).otherwise(0).cast("int")).drop("__hot")
+    b = few.join(is_hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.explode(F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+    return a.join(b, [key, "__salt"]).drop("__salt")

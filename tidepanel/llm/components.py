@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star rounds, each a pair of joins and a written table.
 
 Every round moves edges towards the smallest node of their neighbourhood; a hub's neighbours are never gathered, as its
-smallest neighbour is an aggregate that is joined back. The edges are as many as before or fewer after each round.
+smallest neighbour is an aggregate that is joined back, salted where the hub has many edges. The edges are as many as before or
+fewer after each round. Null ends are no edges. No edges give no rows.
 """
 
 from __future__ import annotations
@@ -9,19 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import hot_keys, salted_join, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return salted_join(both.where("b > a"), low, "a", hot_keys(both, "a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    down = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "down")
     low = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    moved = salted_join(down, low, "a", hot_keys(down, "a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
 

@@ -8,16 +8,18 @@ by the full Hamming distance.
 
 Equal fingerprints are one row from the start. Within a key only the links that join sets not yet joined are kept, so a
 group of n gives n-1 links, not n(n-1)/2. A key with more than BLOCK fingerprints is dealt as pairs of blocks, so no task
-holds an unbounded group.
+holds an unbounded group. The copies of one text are salted where their component is joined to them.
 
 Null and empty texts have fingerprint zero and link like any other. Fewer words than a shingle: the whole sequence is the
 shingle. Repeated rows keep one output row each. Null ids are kept as rows but give no component its name unless all ids
-of it are null (then null). An empty table gives no rows.
+of it are null (then null). A long text is hashed PART shingles at a time. Columns besides doc_id and text are not read by
+near_duplicates(); deduplicate() passes all on. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -26,13 +28,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, stage, text_of
+from .common import as_bytes, hot_keys, salted_join, stage, text_of
 from .components import components
 
 MAX_BITS = 3
 SEGMENTS = 16
 SEED = 42
 BLOCK = 2048
+PART = 4096
 _WIDTH = 64 // SEGMENTS
 
 
@@ -43,14 +46,16 @@ def fingerprint(text: bytes, shingle: int) -> int:
         return 0
     h = xxhash.xxh64_intdigest
     if len(w) < shingle:
-        hashes = [h(b" ".join(w), SEED)]
+        grams = iter([b" ".join(w)])
     elif shingle == 3:
-        hashes = [h(b"%b %b %b" % x, SEED) for x in zip(w, w[1:], w[2:])]
+        grams = (b"%b %b %b" % x for x in zip(w, w[1:], w[2:]))
     else:
-        hashes = [h(b" ".join(x), SEED) for x in zip(*(w[k:] for k in range(shingle)))]
-    bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    ones = bits.sum(0, dtype=np.int64) * 2 > len(hashes)
-    return int.from_bytes(np.packbits(ones).tobytes(), "big")
+        grams = (b" ".join(x) for x in zip(*(w[k:] for k in range(shingle))))
+    ones, n = np.zeros(64, np.int64), 0
+    while part := [h(g, SEED) for g in islice(grams, PART)]:  # a long text's hashes are never held all at once
+        ones += np.unpackbits(np.array(part, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        n += len(part)
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, shingle: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -171,15 +176,15 @@ def _groups(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
     first = stage(rows.groupBy("fp").agg(lead.alias("lead")), "distinct-fingerprints")
     joined = components(fingerprint_links(first.select("fp")))
-    rooted = joined.join(first.withColumnRenamed("fp", "node"), "node")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("lead").alias("group")), "root").select(F.col("node").alias("fp"), "group")
+    rooted = stage(joined.join(first.withColumnRenamed("fp", "node"), "node"), "rooted")
+    named = salted_join(rooted, rooted.groupBy("root").agg(F.min("lead").alias("group")), "root", hot_keys(rooted, "root")).select(F.col("node").alias("fp"), "group")
     return rows, first.join(named, "fp", "left").select("fp", F.coalesce("group", "lead").alias("group"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, fp and component_id: the smallest doc_id reachable by links, itself included."""
     rows, groups = _groups(docs, shingle)
-    return rows.join(groups, "fp").select("doc_id", "fp", F.col("group.doc_id").alias("component_id"))
+    return salted_join(rows, groups, "fp", hot_keys(rows, "fp")).select("doc_id", "fp", F.col("group.doc_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
