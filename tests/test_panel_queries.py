@@ -1,6 +1,7 @@
 """Every registered panel query against its SQL, over the smallest tables; and hand-made cases of single operators."""
 
 import math
+import random
 from datetime import date
 
 import duckdb
@@ -25,7 +26,7 @@ def rows(df: pd.DataFrame) -> list:
         return str(pd.Timestamp(x)) if hasattr(x, "isoformat") else str(x)
 
     frame = df[sorted(df.columns)].astype(object)
-    return sorted([tuple("~" if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)) else plain(float(v) if isinstance(v, int) else v) for v in r) for r in frame.itertuples(index=False)], key=str)
+    return sorted([tuple("~" if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)) else plain(float(v) if isinstance(v, int) else v) for v in r) for r in frame.itertuples(index=False)], key=str)
 
 
 @pytest.mark.parametrize("name", sorted(q.QUERIES))
@@ -52,7 +53,7 @@ def test_rolling_is_causal(spark):
     data = [("a", t, float((t * 7) % 11 + 1)) for t in range(40)]
 
     def run(n):
-        return [r[1] for r in frame(spark, data[:n]).select("ts", rolling.ewma(F.col("x"), 5)).orderBy("ts").collect()]
+        return [r[1] for r in rolling.ewma(frame(spark, data[:n]), "x", 5).select("ts", "ewma").orderBy("ts").collect()]
 
     assert run(40)[4:25] == pytest.approx(run(25)[4:])
 
@@ -64,7 +65,7 @@ def test_ewma_by_hand(spark):
     for v in x[3:]:
         state = state / 2 + v / 2
         want.append(state)
-    got = [r.e for r in frame(spark, [("a", t, v) for t, v in enumerate(x)]).select("ts", rolling.ewma(F.col("x"), 3).alias("e")).orderBy("ts").collect()]
+    got = [r.e for r in rolling.ewma(frame(spark, [("a", t, v) for t, v in enumerate(x)]), "x", 3, "e").orderBy("ts").collect()]
     assert got[:2] == [None, None] and got[2:] == pytest.approx(want[2:])
 
 
@@ -99,6 +100,10 @@ def test_long_short_overlap_raises(spark):
 def test_changes_only(spark):
     df = spark.createDataFrame([(1, "a", 0.5), (2, "a", 0.5), (3, "a", 0.6), (1, "b", 0.5), (2, "b", 0.5), (3, "b", 0.5)], "ts int, market string, w double")
     assert sorted((r.ts, r.market) for r in weights.changes_only(df, "w").collect()) == [(1, "a"), (1, "b"), (3, "a"), (3, "b")]
+    # a market that vanishes is an exit; a new one with the target 0 is no change
+    gone = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.5), (2, "a", 0.5), (3, "a", 0.5), (3, "c", 0.0)], "ts int, market string, w double")
+    assert sorted((r.ts, r.market, r.w) for r in weights.changes_only(gone, "w").collect() if r.ts > 1) == [(2, "a", 0.5), (2, "b", 0.0), (2, "c", 0.0)]
+    assert sorted((r.ts, r.market, r.w) for r in weights.changes_only(gone, "w", "asset").collect() if r.ts > 1) == [(2, "b", 0.0)]
 
 
 def test_asof_takes_latest_at_or_before(spark):
@@ -151,3 +156,48 @@ def test_intervals_that_touch_a_window_exclude_their_market(spark):
     df = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "market string, ts int")
     gaps = spark.createDataFrame([("a", 5, 9), ("b", 1, 3), ("b", 2, 2)], "market string, gap_start int, gap_end int")
     assert sorted(r.market for r in weights.without_overlaps(df, gaps, F.lit(4), F.lit(5)).collect()) == ["b", "c"]
+
+
+def test_flat_short_and_zero_inputs_give_nulls(spark):
+    c = spark.createDataFrame([("flat", t, 2.0) for t in range(4)] + [("one", 0, 1.0), ("zero", 0, 0.0), ("zero", 1, 1.0)], "run_id string, ts int, value double")
+    got = {r.run_id: r for r in curves.performance(c, 252).collect()}
+    assert got["flat"].cagr == 0 and got["flat"].sharpe is None and got["flat"].calmar is None and got["one"].cagr is None and got["zero"].cagr is None
+    bench = spark.createDataFrame([("flat",)], "run_id string")
+    assert {r.beta for r in curves.against_benchmark(c, bench, 252).collect()} == {None}
+    w = spark.createDataFrame([(1, "a", 0.0, 0.5), (1, "b", 1.0, 0.5), (1, "c", 0.5, 2.0)], "ts int, market string, w double, cap double")
+    assert {r.market: r.final for r in weights.redistribute(w, "w", "cap").collect()} == pytest.approx({"a": 0.0, "b": 0.5, "c": 1.0})
+    p = frame(spark, [("a", t, v) for t, v in enumerate([0.0, 1.0, 2.0])])
+    assert [r.f for r in p.select("ts", rolling.path_ahead(F.col("x"), 1)[0].alias("f")).orderBy("ts").collect()] == [None, 1.0, None]
+
+
+def test_recovery_counts_rows_between_highs(spark):
+    c = spark.createDataFrame([("r", t, v) for t, v in enumerate([1.0, 0.9, 1.0, 1.2, 0.6, 0.8, 1.3, 1.1])], "run_id string, ts int, value double")
+    r = curves.recovery(c).first()
+    assert (r.longest_completed, r.second_completed, r.longest, r.current_bars) == (3, 2, 3, 1) and r.under_water_pct == 50.0 and r.mean_top5 == 2.0
+
+
+def test_feature_values_share_by_positive_scores(spark):
+    df = spark.createDataFrame([(1, "a", 1.0, True), (1, "b", -3.0, True), (1, "c", 0.2, True), (1, "d", 9.0, False)], "ts int, market string, s double, sel boolean")
+    got = {r.market: r.w for r in df.select("market", weights.feature_value(F.col("s"), F.col("sel"), 1.0, -1.0, 0.5).alias("w")).collect()}
+    assert got == pytest.approx({"a": 0.25, "b": -0.5, "c": 0.1, "d": 0.0})
+
+
+def test_negative_volatility_raises(spark):
+    with pytest.raises(Exception, match="negative volatility"):
+        frame(spark, [("a", 1, -1.0)]).select(ew.target_vol(F.col("x"), 0.1, 252, 0.0, 2.0)).collect()
+
+
+def test_order_counts_equal_a_plain_count(spark):
+    rng = random.Random(1)
+    data = [(m, t, rng.choice([None, *map(float, range(40))])) for m in "ab" for t in range(90)]
+    for n in (None, 7):
+        got = {(r.market, r.ts): (r.less, r.equal, r.held) for r in rolling.order_counts(frame(spark, data), "x", n).collect()}
+        for m in "ab":
+            seen = []
+            for _, t, v in [d for d in data if d[0] == m]:
+                if v is not None:
+                    seen.append(v)
+                    held = seen[-(n or len(seen)) :]
+                    assert got[m, t] == (sum(h < v for h in held), held.count(v), len(held))
+                else:
+                    assert got[m, t] == (None, None, None)

@@ -23,11 +23,18 @@ def linear_ramp(x: Column, start: float, end: float, low: float, high: float) ->
 
 
 def target_vol(vol: Column, target_annual: float, per_year: int, low: float, high: float) -> Column:
-    return F.when(vol == 0, F.lit(high)).when(vol > 0, clip(F.lit(target_annual / per_year**0.5) / vol, low, high))
+    """The target over the volatility, inside the bounds; no volatility gives the highest, a negative one raises."""
+    per_row = F.lit(target_annual / per_year**0.5)
+    wrong = F.raise_error(F.lit("negative volatility")).cast("double")
+    return F.when(vol < 0, wrong).when(vol == 0, F.lit(high)).when(vol > 0, clip(F.try_divide(per_row, vol), low, high))
 
 
-def quantize(x: Column, step: float) -> Column:
-    return F.floor(x / step + 1e-12) * step
+def quantize(x: Column, step: float, rounding: str = "floor", low: float = 0.0, high: float | None = None) -> Column:
+    """x in steps from low; at or above high it is high itself."""
+    place = (x - low) / step
+    steps = {"floor": F.floor(place + 1e-12), "ceil": F.ceil(place - 1e-12), "nearest": F.floor(place + 0.5 + 1e-12)}[rounding]
+    out = low + steps * step
+    return out if high is None else F.when(x >= high - 1e-12, F.lit(high)).otherwise(F.least(out, F.lit(high)))
 
 
 def pair_min(a: Column, b: Column) -> Column:
@@ -98,6 +105,14 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b)
 
 
+def all_true(flags: list[Column]) -> Column:
+    """1 if every flag is known and not 0, else 0."""
+    out = F.lit(True)
+    for c in flags:
+        out = out & F.coalesce(c != 0, F.lit(False))
+    return out.cast("double")
+
+
 def market_score(market: Column, rules: dict[str, list[tuple[Column, float]]], otherwise: list[tuple[Column, float]]) -> Column:
     """A weighted sum of flags under the market's own rule; a missing flag counts as 0."""
     def total(parts: list[tuple[Column, float]]) -> Column:

@@ -6,8 +6,7 @@ Windows are full or null.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-from collections.abc import Callable
+import math
 
 import numpy as np
 import pandas as pd
@@ -69,7 +68,7 @@ def wma(x: Column, n: int) -> Column:
 
 
 def vwma(x: Column, volume: Column, n: int) -> Column:
-    both = x * volume
+    both = F.when(volume < 0, F.raise_error(F.lit("negative volume")).cast("double")).otherwise(x * volume)
     total = F.sum(F.when(both.isNotNull(), volume)).over(last(n))
     return F.when((F.count(both).over(last(n)) == n) & (total != 0), F.sum(both).over(last(n)) / total)
 
@@ -79,9 +78,10 @@ def efficiency_ratio(x: Column, n: int) -> Column:
     return F.when(path > 0, F.abs(delta(x, n)) / path)
 
 
-def downside_vol(x: Column, n: int) -> Column:
+def downside_vol(x: Column, n: int, per_year: float | None = None) -> Column:
+    """With per_year, annualised by its root."""
     r = F.when((x > 0) & (shift(x, 1) > 0), F.log(x / shift(x, 1)))
-    return full(r, F.sqrt(F.avg(F.least(r, F.lit(0.0)) * F.least(r, F.lit(0.0))).over(last(n))), n)
+    return full(r, F.sqrt(F.avg(F.least(r, F.lit(0.0)) * F.least(r, F.lit(0.0))).over(last(n))) * (per_year or 1.0) ** 0.5, n)
 
 
 def age_days(x: Column, ts: Column) -> Column:
@@ -94,24 +94,66 @@ def beta(x: Column, ref: Column, n: int) -> Column:
     return F.when(ok & (var > 0), F.covar_pop(x, ref).over(last(n)) / var)
 
 
-def ewma(x: Column, n: int) -> Column:
-    """alpha = 2/(n+1), seeded with the mean of the first n rows: an exponential sum in closed form over the running window."""
+def ewma(df: DataFrame, x: str, n: int, name: str = "ewma") -> DataFrame:
+    """alpha = 2 / (n + 1) over the known rows, seeded with the mean of the first n.
+
+    Within a block of rows the sum of q^-i x, times q^i, is one running window; blocks are short enough for q^-i to stay far from
+    overflow. From block to block one value is carried, which is folded over the market's blocks, one row each.
+    """
     keep = 1 - 2 / (n + 1)
-    i = F.row_number().over(by_time())
-    so_far = by_time().rowsBetween(Window.unboundedPreceding, 0)
-    seed = F.sum(F.when(i <= n, x)).over(so_far) / n
-    older = F.array_sort(F.collect_list(F.when(i > n, F.struct(i.alias("i"), x.alias("x")))).over(so_far.rowsBetween(-40 * n, 0)))
-    first = F.when(F.size(older) > 0, F.element_at(older, 1)["i"])
-    folded = F.aggregate(older, F.lit(0.0), lambda a, s: a * keep + s["x"] * (1 - keep))
-    # rows further back than 40 n weigh less than 1e-34
-    return F.when(i >= n, folded + F.when((first.isNull()) | (first == n + 1), seed * F.pow(F.lit(keep), F.greatest(i - n, F.lit(0)))).otherwise(0.0))
+    length = max(1, min(10_000, int(-50 / math.log(keep)))) if keep > 0 else 1
+    known = df.where(F.col(x).isNotNull()).select("ts", "market", F.col(x).cast("double").alias("__x")).withColumn("__j", F.row_number().over(by_time()) - n - 1)  # 0 after the seed
+    seed = known.where("__j < 0").groupBy("market").agg(F.avg("__x").alias("__seed"), F.count("*").alias("__c"), F.max("ts").alias("__last")).where(F.col("__c") == n)
+    rows = known.where("__j >= 0").withColumn("__b", F.floor(F.col("__j") / length).cast("long")).withColumn("__k", (F.col("__j") % length).cast("double"))
+    within = Window.partitionBy("market", "__b").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__own", F.sum((1 - keep) * F.pow(F.lit(keep), -F.col("__k") - 1) * F.col("__x")).over(within) * F.pow(F.lit(keep), F.col("__k") + 1))
+    ends = rows.groupBy("market", "__b").agg(F.max_by("__own", "__k").alias("own"), F.max("__k").alias("k")).groupBy("market").agg(F.array_sort(F.collect_list(F.struct(F.col("__b").alias("b"), "own", "k"))).alias("blocks"))
+    start = F.struct(F.col("__seed").alias("carry"), F.expr("cast(array() as array<struct<b:bigint,carry:double>>)").alias("out"))
+
+    def step(a, r):
+        return F.struct((a["carry"] * F.pow(F.lit(keep), r["k"] + 1) + r["own"]).alias("carry"), F.concat(a["out"], F.array(F.struct(r["b"].alias("b"), a["carry"].alias("carry")))).alias("out"))
+
+    carried = ends.join(seed, "market").select("market", F.explode(F.aggregate("blocks", start, step)["out"]).alias("c")).select("market", F.col("c.b").alias("__b"), F.col("c.carry").alias("__carry"))
+    later = rows.join(carried, ["market", "__b"]).select("market", "ts", (F.col("__own") + F.col("__carry") * F.pow(F.lit(keep), F.col("__k") + 1)).alias(name))
+    return df.join(later.unionByName(seed.select("market", F.col("__last").alias("ts"), F.col("__seed").alias(name))), ["market", "ts"], "left")
 
 
-def percentile_of_last(x: Column, n: int) -> Column:
-    """Average rank of the last value among the window's n, over n."""
-    held = F.collect_list(x).over(last(n))
-    less, equal = F.size(F.filter(held, lambda v: v < x)), F.size(F.filter(held, lambda v: v == x))
-    return full(x, (less + (equal + 1) / 2) / n, n)
+DIGITS, BASE = 5, 16
+
+
+def order_counts(df: DataFrame, x: str, n: int | None = None) -> DataFrame:
+    """Adds less, equal and held: how many of the market's known values so far (or of the last n) are below x, equal to it, and in
+    all; null where x is null.
+
+    Values become dense ranks, written in DIGITS digits of BASE. Those below a rank share its first digits up to one, where they
+    are lower: for each digit, one running count by lower digit over the rows that share the digits before it. A value that
+    leaves a window of n counts -1 from then on. So nothing is gathered, and the work is n log n.
+    """
+    known = df.where(F.col(x).isNotNull()).select("market", "ts", F.col(x).alias("__x"))
+    by_value = Window.partitionBy("market").orderBy("__x")
+    rank = F.dense_rank().over(by_value) - 1
+    rows = known.withColumn("__r", F.when(rank >= BASE**DIGITS, F.raise_error(F.lit("too many distinct values in a market")).cast("int")).otherwise(rank)).withColumn("__i", F.row_number().over(by_time())).withColumn("__add", F.lit(1))
+    if n is not None:
+        rows = rows.unionByName(rows.withColumn("__i", F.col("__i") + n).withColumn("__add", F.lit(-1)))
+    so_far = Window.partitionBy("market").orderBy("__i", "__add").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("held", F.sum("__add").over(so_far)).withColumn("less", F.lit(0).cast("long"))
+    for place in range(DIGITS - 1, -1, -1):
+        unit = BASE**place
+        digit = F.floor(F.col("__r") / unit).cast("int") % BASE
+        shared = Window.partitionBy("market", F.floor(F.col("__r") / (unit * BASE))).orderBy("__i", "__add").rowsBetween(Window.unboundedPreceding, 0)
+        counts = [F.sum(F.when(F.col("__d") == d, F.col("__add")).otherwise(0)).over(shared) for d in range(BASE)]
+        rows = rows.withColumn("__d", digit).withColumn("__c", F.array(*counts))
+        rows = rows.withColumn("less", F.col("less") + F.aggregate(F.slice("__c", 1, F.col("__d")), F.lit(0).cast("long"), lambda a, c: a + c))
+        if place == 0:
+            rows = rows.withColumn("equal", F.get("__c", F.col("__d")))
+    found = rows.where("__add = 1").select("market", "ts", "less", "equal", "held")
+    return df.join(found, ["market", "ts"], "left")
+
+
+def percentile_of_last(df: DataFrame, x: str, n: int, name: str = "percentile") -> DataFrame:
+    """Average rank of x among the last n known values, over n; null until they are n."""
+    out = order_counts(df, x, n)
+    return out.withColumn(name, F.when(F.col("held") == n, (F.col("less") + (F.col("equal") + 1) / 2) / n)).drop("less", "equal", "held")
 
 
 def worst_drawdown(x: Column, n: int) -> Column:
@@ -128,7 +170,7 @@ def path_ahead(x: Column, n: int) -> tuple[Column, Column, Column]:
     """Return, lowest and highest relative value over the n rows ahead; null unless all are there."""
     w = by_time().rowsBetween(1, n)
     ok = F.count(x).over(w) == n
-    return F.when(ok, F.lead(x, n).over(by_time()) / x - 1), F.when(ok, F.min(x).over(w) / x - 1), F.when(ok, F.max(x).over(w) / x - 1)
+    return tuple(F.when(ok, F.try_divide(value, x) - 1) for value in (F.lead(x, n).over(by_time()), F.min(x).over(w), F.max(x).over(w)))
 
 
 def residual(x: Column, ref: Column, n: int) -> Column:
@@ -175,14 +217,13 @@ def weighted_momentum(x: Column, turnover: Column, n: int) -> Column:
 
 def next_open_label(x: Column, horizon: int) -> Column:
     """The return from the row after to horizon rows after that."""
-    return F.lead(x, horizon + 1).over(by_time()) / F.lead(x, 1).over(by_time()) - 1
+    return F.try_divide(F.lead(x, horizon + 1).over(by_time()), F.lead(x, 1).over(by_time())) - 1
 
 
-def mid_rank(x: Column, n: int, least: int) -> Column:
-    """Share of the window below the last value and half of that equal to it, once least values are there."""
-    held = F.collect_list(x).over(last(n))
-    less, equal = F.size(F.filter(held, lambda v: v < x)), F.size(F.filter(held, lambda v: v == x))
-    return F.when(F.size(held) >= least, (less + equal / 2) / F.size(held))
+def mid_rank(df: DataFrame, x: str, n: int, least: int, name: str = "mid") -> DataFrame:
+    """Share of the last n known values below x and half of those equal to it, once least values are there."""
+    out = order_counts(df, x, n)
+    return out.withColumn(name, F.when(F.col("held") >= least, F.try_divide(F.col("less") + F.col("equal") / 2, "held"))).drop("less", "equal", "held")
 
 
 def turnover_scores(x: Column, n: int) -> tuple[Column, Column]:
@@ -192,57 +233,51 @@ def turnover_scores(x: Column, n: int) -> tuple[Column, Column]:
     return F.when(mean != 0, y / mean), F.when(std > 0, (y - mean) / std)
 
 
-def _per_market(df: DataFrame, name: str, made: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
-    """A column made from one market's rows in time order; a market's rows are as many as the calendar's."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", ignore_index=True)
-        return pdf.assign(**{name: made(pdf)})
-
-    return df.groupBy("market").applyInPandas(run, StructType([*df.schema.fields, StructField(name, DoubleType())]))
-
-
-def expanding_percentile(df: DataFrame, x: str, least: int) -> DataFrame:
+def expanding_percentile(df: DataFrame, x: str, least: int, name: str = "percentile") -> DataFrame:
     """Average rank of x among the market's values so far, over their number, once least values are there."""
-    def made(pdf: pd.DataFrame) -> np.ndarray:
-        seen: list[float] = []
-        out = np.full(len(pdf), np.nan)
-        for k, v in enumerate(pdf[x].to_numpy(float)):
-            if not np.isnan(v):
-                left, right = bisect_left(seen, v), bisect_right(seen, v)
-                seen.insert(right, v)
-                if len(seen) >= least:
-                    out[k] = (left + right + 2) / 2 / len(seen)
-        return out
-
-    return _nan_to_null(_per_market(df, "percentile", made), "percentile")
+    out = order_counts(df, x)
+    return out.withColumn(name, F.when(F.col("held") >= least, F.try_divide(F.col("less") + (F.col("equal") + 1) / 2, "held"))).drop("less", "equal", "held")
 
 
 def holding_state(df: DataFrame, entry: str, leave: str, cooldown: int = 0, longest: int | None = None) -> DataFrame:
     """held: 1 from an entry flag to an exit flag, else 0, over grid rows.
 
     A row with an unknown flag is null and keeps the state. After an exit, cooldown known rows pass before an entry counts.
-    A holding of longest rows ends on its own; the entry flag must then have been 0 before it counts again.
+    A holding of longest rows ends on its own; the entry flag must then have been 0 before it counts again. Each market's
+    rows (as many as the calendar's) are one group, which goes from holding to holding, not from row to row.
     """
-    def made(pdf: pd.DataFrame) -> np.ndarray:
-        out = np.full(len(pdf), np.nan)
-        since, wait, spent = None, 0, False
-        for k, (e, x) in enumerate(zip(pdf[entry].to_numpy(float), pdf[leave].to_numpy(float))):
-            if since is not None and longest is not None and k - since >= longest:
-                since, wait, spent, out[k] = None, cooldown, e != 0, 0.0
-                continue
-            spent = spent and e != 0
-            if np.isnan(e) or np.isnan(x):
-                continue
-            if since is not None:
-                since, wait = (None, cooldown) if x else (since, wait)
-            elif wait:
-                wait -= 1
-            elif e and not spent:
-                since = k
-            out[k] = float(since is not None)
-        return out
-
-    return _nan_to_null(_per_market(df, "held", made), "held")
+    schema = StructType([*df.schema.fields, StructField("held", DoubleType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts", ignore_index=True)
+        return pdf.assign(held=_holdings(pdf[entry].to_numpy(float), pdf[leave].to_numpy(float), cooldown, longest))
+
+    return _nan_to_null(df.groupBy("market").applyInPandas(run, schema), "held")
+
+
+def _holdings(entry: np.ndarray, leave: np.ndarray, cooldown: int, longest: int | None) -> np.ndarray:
+    n = len(entry)
+    known = ~(np.isnan(entry) | np.isnan(leave))
+    places, opens, closes, resets = (np.flatnonzero(m) for m in (known, known & (entry != 0), known & (leave != 0), entry == 0))
+    out = np.where(known, 0.0, np.nan)
+
+    def first_from(where: np.ndarray, at: int) -> int:
+        k = int(np.searchsorted(where, at))
+        return int(where[k]) if k < len(where) else n
+
+    start = first_from(opens, 0)
+    while start < n:
+        limit = n if longest is None else start + longest
+        end = min(first_from(closes, start + 1), limit, n)
+        out[start:end][known[start:end]] = 1.0
+        after = int(np.searchsorted(places, end, "right")) + cooldown  # so many known rows pass after the end
+        free = int(places[after]) if after < len(places) else n
+        if end < n and end == limit:
+            out[end] = 0.0
+            if entry[end] != 0:
+                free = max(free, first_from(resets, end + 1))
+        start = first_from(opens, free)
+    return out
 
 
 def _nan_to_null(df: DataFrame, name: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.panel import dense_grid
 from . import cross_section as xs
 
 
@@ -12,10 +15,25 @@ def top_n(df: DataFrame, score: str, n: int) -> DataFrame:
     return df.withColumn("position", xs.rank(F.col(score), descending=True)).where(F.col("position") <= n)
 
 
-def rebalance_rows(df: DataFrame, unit: str) -> DataFrame:
-    """Rows of the first observed time in each period."""
-    days = df.groupBy(F.trunc("ts", unit).alias("__p")).agg(F.min("ts").alias("ts")).drop("__p")
-    return df.join(F.broadcast(days) if unit in ("month", "quarter", "year") else days, "ts", "left_semi")
+def period_key(ts: Column, every: str) -> Column:
+    """What the rows of one rebalance period share: daily, weekly (Monday), monthly, quarterly, semiannual, or Nd and Nd+K, buckets of
+    N days counted from Monday 1970-01-05, K days later."""
+    if days := re.fullmatch(r"([1-9][0-9]*)d(?:\+([1-9][0-9]*))?", every):
+        n, shift = int(days[1]), int(days[2] or 0)
+        if shift >= n:
+            raise ValueError(f"the shift of {every} must be below its days")
+        return F.floor((F.datediff(ts, F.lit("1970-01-05").cast("date")) - shift) / n)
+    if every == "semiannual":
+        return F.year(ts) * 2 + F.floor((F.month(ts) - 1) / 6)
+    return F.date_trunc({"daily": "day", "weekly": "week", "monthly": "month", "quarterly": "quarter", "yearly": "year"}[every], ts)
+
+
+def rebalance_rows(df: DataFrame, every: str) -> DataFrame:
+    """Rows of the first observed time in each period; every_bar keeps all."""
+    if every == "every_bar":
+        return df
+    first = df.groupBy(period_key(F.col("ts"), every).alias("__p")).agg(F.min("ts").alias("ts")).drop("__p")
+    return df.join(first, "ts", "left_semi")
 
 
 def equal(gross: float = 1.0) -> Column:
@@ -42,22 +60,34 @@ def keep_cash(weight: Column, cap: Column) -> Column:
 
 
 def redistribute(df: DataFrame, weight: str, cap: str) -> DataFrame:
-    """Excess over the caps is shared by weight among the rest until no cap is passed: closed form by cap / weight."""
+    """Excess over the caps is shared by weight among the rest until no cap is passed: closed form by cap / weight. Markets of no
+    weight get none."""
     w, c = F.col(weight), F.col(cap)
-    order = Window.partitionBy("ts").orderBy(c / w, F.col("market"))
+    order = Window.partitionBy("ts").orderBy(F.try_divide(c, w).asc_nulls_last(), F.col("market"))
     capped_before = F.coalesce(F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rest = F.sum(w).over(order.rowsBetween(0, Window.unboundedFollowing))
-    scale = (F.sum(w).over(xs.at()) - capped_before) / rest
-    out = df.withColumn("__scale", scale).withColumn("__scale", F.max("__scale").over(xs.at()))
-    return out.withColumn("final", F.least(c, w * F.col("__scale"))).drop("__scale")
+    scale = F.try_divide(F.sum(w).over(xs.at()) - capped_before, rest)
+    out = df.withColumn("__scale", F.when(w != 0, scale)).withColumn("__scale", F.max("__scale").over(xs.at()))
+    return out.withColumn("final", F.coalesce(F.least(c, w * F.col("__scale")), F.lit(0.0))).drop("__scale")
+
+
+def rescale_to(weight: Column, total: float) -> Column:
+    """All weights of a time times what makes their sum the total; a sum of 0 stays."""
+    held = F.sum(weight).over(xs.at())
+    return F.when(held > 0, weight * F.try_divide(F.lit(total), held)).otherwise(weight)
 
 
-def changes_only(df: DataFrame, weight: str) -> DataFrame:
-    """Rows of the times at which any market's target differs from its one before; the first time always."""
+def changes_only(targets: DataFrame, weight: str, scope: str = "portfolio") -> DataFrame:
+    """targets: rows (ts, market, weight); a market without a row at a time has the target 0. Rows to request: with scope
+    portfolio, every market's at the times at which any target differs from the time before; with asset, those that differ
+    themselves (an exit is a 0). At the first time always."""
+    dense = dense_grid(targets.select("ts", "market", weight)).withColumn(weight, F.coalesce(weight, F.lit(0.0)))
+    # every market has a row at every time, so the row before is that of the time before
     before = F.lag(weight).over(Window.partitionBy("market").orderBy("ts"))
-    first = F.col("ts") == F.min("ts").over(Window.partitionBy("market"))
-    changed = F.max((first | ~F.col(weight).eqNullSafe(before)).cast("int")).over(xs.at())
-    return df.withColumn("__c", changed).where("__c = 1").drop("__c")
+    changed = (before.isNull() | (F.col(weight) != before)).cast("int")
+    if scope == "asset":
+        return dense.withColumn("__c", changed).where("__c = 1").drop("__c")
+    return dense.withColumn("__c", changed).withColumn("__c", F.max("__c").over(xs.at())).where("__c = 1").drop("__c")
 
 
 def selection_statistics(selected: DataFrame) -> DataFrame:
@@ -82,9 +112,104 @@ def listed_fixed(listed: str = "ts", gross: float = 1.0) -> Column:
     return F.when(F.col("first_ts") <= F.col(listed), gross / F.count(F.when(F.col("first_ts") <= F.col(listed), 1)).over(xs.at()))
 
 
-def feature_value(score: Column, scale: float, gross: float = 1.0) -> Column:
-    """Clipped score / scale, times the gross over the number of markets with a score."""
-    return F.greatest(F.least(score / scale, F.lit(1.0)), F.lit(-1.0)) * gross / xs.size(score)
+def feature_value(score: Column, selected: Column, scale: float, low: float = -1.0, high: float = 1.0, gross: float = 1.0) -> Column:
+    """The selected markets' clipped score / scale, times the gross over how many of them are above 0; none is: 0."""
+    clipped = F.when(selected & score.isNotNull(), F.greatest(F.least(score / scale, F.lit(high)), F.lit(low))).otherwise(0.0)
+    active = F.sum((clipped > 0).cast("int")).over(xs.at())
+    return F.coalesce(F.try_divide(clipped * gross, active), F.lit(0.0))
+
+
+def fixed(selected: Column, weight: float, score: Column | None = None, lag: int = 0) -> Column:
+    """One weight for each selected market, times its score some rows ago (unknown: 0); else 0."""
+    if score is None:
+        return F.when(selected, F.lit(weight)).otherwise(0.0)
+    held = F.lag(score, lag).over(Window.partitionBy("market").orderBy("ts")) if lag else score
+    return F.when(selected, weight * F.coalesce(held, F.lit(0.0))).otherwise(0.0)
+
+
+def common_scale(df: DataFrame, feature: str, lag: int = 0, low: float = 0.0, high: float = 1.0, neutral: float | None = None) -> DataFrame:
+    """ts, scale: the one value that a time's markets share (more than one raises), so many times ago, clipped, 0 if unknown.
+    With neutral it is a multiplier: not clipped, neutral if unknown, and a negative one raises."""
+    spread = F.max(feature) - F.min(feature)
+    same = F.when(spread > 1e-9 + 1e-9 * F.abs(F.max(feature)), F.raise_error(F.lit("markets differ in the exposure feature")).cast("double")).otherwise(F.max(feature))
+    scale = F.col("__s")
+    out = df.groupBy("ts").agg(same.alias("__s"))
+    if lag:  # one row a time: a calendar, not the panel
+        out = out.withColumn("__s", F.lag("__s", lag).over(Window.orderBy("ts")))
+    if neutral is not None:
+        wrong = F.raise_error(F.lit("negative exposure multiplier")).cast("double")
+        return out.select("ts", F.when(scale < 0, wrong).otherwise(F.coalesce(scale, F.lit(neutral))).alias("scale"))
+    return out.select("ts", F.coalesce(F.greatest(F.least(scale, F.lit(high)), F.lit(low)), F.lit(0.0)).alias("scale"))
+
+
+def scaled_by(targets: DataFrame, weight: str, scale: DataFrame) -> DataFrame:
+    """Targets times the scale of their time; times without one get 0."""
+    return targets.join(scale, "ts", "left").withColumn(weight, F.col(weight) * F.coalesce("scale", F.lit(0.0))).drop("scale")
+
+
+def side_weights(df: DataFrame, side: Column, gross: float, share: Column | None = None, long_share: float = 0.5, scale_long: Column | None = None, scale_short: Column | None = None) -> DataFrame:
+    """weight: the gross is dealt to the long (side > 0) and the short side by long_share and the sides' multipliers, and within a
+    side equally or by share (negative ones raise; all 0: equally)."""
+    at_side = Window.partitionBy("ts", "__side")
+    out = df.withColumn("__side", F.signum(side).cast("int")).where("__side <> 0")
+    part = F.lit(1.0) / F.count("*").over(at_side)
+    if share is not None:
+        wrong = F.raise_error(F.lit("negative weight feature")).cast("double")
+        own = F.when(share < 0, wrong).otherwise(F.coalesce(share, F.lit(0.0)))
+        part = F.coalesce(F.try_divide(own, F.sum(own).over(at_side)), part)
+    one = F.lit(1.0)
+    budget = F.when(F.col("__side") > 0, gross * long_share * (one if scale_long is None else scale_long)).otherwise(gross * (1 - long_share) * (one if scale_short is None else scale_short))
+    return out.withColumn("weight", F.col("__side") * budget * part).withColumnRenamed("__side", "side")
+
+
+def defensive(targets: DataFrame, weight: str, risk_on: DataFrame, listed: DataFrame, gross: float = 1.0) -> DataFrame:
+    """At times that have targets but no risk_on flag (ts, flag; 0 or unknown is off), the whole row becomes equal weights on
+    the defensive markets listed by then (listed: market, first_ts), summing to gross; none listed: all 0."""
+    rows = targets.join(risk_on.select("ts", F.coalesce(F.col("flag") != 0, F.lit(False)).alias("__on")), "ts", "left").withColumn("__on", F.coalesce("__on", F.lit(False)))
+    rows = rows.join(F.broadcast(listed.select("market", F.col("first_ts").alias("__first"))), "market", "left")  # the sleeve's own markets, a parameter
+    rows = rows.withColumn("__in", F.coalesce(F.col("__first") <= F.col("ts"), F.lit(False)))
+    n = F.sum(F.col("__in").cast("int")).over(xs.at())
+    sleeve = F.when(F.col("__in"), F.try_divide(F.lit(gross), n)).otherwise(0.0)
+    return rows.withColumn(weight, F.when(F.col("__on"), F.col(weight)).otherwise(sleeve)).drop("__on", "__first", "__in")
+
+
+def held_targets(grid: DataFrame, weight: str) -> DataFrame:
+    """A dense grid's targets, each standing until the next one; 0 before the first."""
+    so_far = Window.partitionBy("market").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    return grid.withColumn(weight, F.coalesce(F.last(weight, ignorenulls=True).over(so_far), F.lit(0.0)))
+
+
+def with_hedge(targets: DataFrame, weight: str, beta: str | None, hedge: str, ratio: float = 1.0) -> DataFrame:
+    """One more row a time: the hedge market at -ratio times the sum of weight times beta (a null one raises), or of weight alone."""
+    known = F.lit(1.0) if beta is None else F.when(F.col(beta).isNull() & (F.col(weight) != 0), F.raise_error(F.lit("a held market has no beta")).cast("double")).otherwise(F.coalesce(beta, F.lit(0.0)))
+    leg = targets.groupBy("ts").agg((F.sum(F.col(weight) * known) * -ratio).alias(weight)).withColumn("market", F.lit(hedge))
+    return targets.select("ts", "market", weight).unionByName(leg.select("ts", "market", weight)).groupBy("ts", "market").agg(F.sum(weight).alias(weight))
+
+
+def combined_sleeves(requests: DataFrame, weight: str, capitals: dict[str, float]) -> DataFrame:
+    """requests: ts, sleeve, market, weight (a row is a request). A market is requested when any of its sleeves does; the
+    request is the sum of each sleeve's capital times its latest target there, 0 before its first."""
+    capital = F.create_map(*[F.lit(x) for pair in capitals.items() for x in pair])
+    asked = requests.select("ts", "market").distinct()
+    owners = requests.select("sleeve", "market").distinct()
+    rows = asked.join(owners, "market").join(requests, ["ts", "sleeve", "market"], "left")
+    so_far = Window.partitionBy("sleeve", "market").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    held = F.coalesce(F.last(weight, ignorenulls=True).over(so_far), F.lit(0.0)) * capital[F.col("sleeve")]
+    return rows.withColumn("__h", held).groupBy("ts", "market").agg(F.sum("__h").alias(weight))
+
+
+def ewm_targets(df: DataFrame, target: str, span: int) -> DataFrame:
+    """average: each market's targets over the schedule with exponential weights, alpha = 2 / (span + 1), the first one as start.
+    Folded over the market's schedule, which is as long as the calendar's periods."""
+    alpha = 2 / (span + 1)
+    rows = df.groupBy("market").agg(F.array_sort(F.collect_list(F.struct("ts", F.col(target).alias("x")))).alias("rows"))
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.expr("cast(array() as array<struct<ts:date,average:double>>)").alias("out"))
+
+    def step(a, r):
+        now = F.coalesce(a["last"] * (1 - alpha) + r["x"] * alpha, r["x"])
+        return F.struct(now.alias("last"), F.concat(a["out"], F.array(F.struct(r["ts"].cast("date").alias("ts"), now.alias("average")))).alias("out"))
+
+    return rows.select("market", F.explode(F.aggregate("rows", start, step)["out"]).alias("r")).select("r.ts", "market", "r.average")
 
 
 def target_average(df: DataFrame, target: str, k: int) -> DataFrame:

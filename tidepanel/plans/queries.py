@@ -107,8 +107,8 @@ SELECT ts, market, round(CASE WHEN n10 = 10 THEN wma END, 6) AS wma10, round(CAS
 FROM s""")
 def weighted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, v = F.col("price"), F.col("volume")
-    return panel.build_panel(spark, sf_dir, "brand").select(
-        "ts", "market", _r(rolling.wma(p, 10), "wma10"), _r(rolling.vwma(p, v, 10), "vwma10"), _r(rolling.efficiency_ratio(p, 10), "efficiency"), _r(rolling.downside_vol(p, 10), "downside"), _r(rolling.percentile_of_last(p, 10), "pct10")
+    return rolling.percentile_of_last(panel.build_panel(spark, sf_dir, "brand"), "price", 10, "pct10").select(
+        "ts", "market", _r(rolling.wma(p, 10), "wma10"), _r(rolling.vwma(p, v, 10), "vwma10"), _r(rolling.efficiency_ratio(p, 10), "efficiency"), _r(rolling.downside_vol(p, 10), "downside"), _r("pct10", "pct10")
     )
 
 
@@ -116,7 +116,7 @@ def weighted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT ts, market, round(CASE WHEN i >= 10 THEN (2.0 / 11) * coalesce(sum(CASE WHEN i > 10 THEN price * pow(q, -i) END) OVER e, 0) * pow(q, i) + pow(q, i - 10) * sum(CASE WHEN i <= 10 THEN price END) OVER e / 10 END, 4) AS ewma10
 FROM r, k WINDOW e AS ({WM} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def seeded_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.build_panel(spark, sf_dir, "type").select("ts", "market", F.round(rolling.ewma(F.col("price"), 10), 4).alias("ewma10"))
+    return rolling.ewma(panel.build_panel(spark, sf_dir, "type").select("ts", "market", "price"), "price", 10, "ewma10").select("ts", "market", F.round("ewma10", 4).alias("ewma10"))
 
 
 @_registered(f"""WITH {TYPE}, m AS (SELECT ts, avg(price) AS ref FROM panel GROUP BY ts), j AS (SELECT p.ts, market, price, ref FROM panel p JOIN m USING (ts))
@@ -192,7 +192,7 @@ def rank_momentum_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: returns, their cross-section percentile, last month's mean of it, the best three on each month's first day, equally weighted."""
     p = panel.build_panel(spark, sf_dir, "type").withColumn("ret", rolling.simple_return(F.col("price"))).withColumn("pct", xs.percentile(F.col("ret"))).withColumn("period", F.trunc("ts", "month"))
     m = p.groupBy("market", F.add_months("period", 1).alias("period")).agg(F.round(F.avg("pct"), 8).alias("score"))
-    scored = weights.rebalance_rows(p.select("ts", "market", "period"), "month").join(m.where("score is not null"), ["market", "period"])
+    scored = weights.rebalance_rows(p.select("ts", "market", "period"), "monthly").join(m.where("score is not null"), ["market", "period"])
     return weights.top_n(scored, "score", 3).select("ts", "market", _r("score", "score"), "position", _r(weights.equal(), "weight"))
 
 
@@ -205,7 +205,7 @@ q AS (SELECT *, (sum(weight) OVER (PARTITION BY ts) - (i - 1) * 0.4) / sum(weigh
 z AS (SELECT *, max(sc) OVER (PARTITION BY ts) AS scale FROM q)
 SELECT ts, market, position, round(weight, 6) AS weight, round(least(weight, 0.4), 6) AS with_cash, round(least(0.4, weight * scale), 6) AS final FROM z""")
 def capped_rank_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = weights.top_n(weights.rebalance_rows(panel.build_panel(spark, sf_dir, "size"), "month"), "volume", 4)
+    t = weights.top_n(weights.rebalance_rows(panel.build_panel(spark, sf_dir, "size"), "monthly"), "volume", 4)
     w = t.select("ts", "market", "position", weights.rank_weighted("position", (5, 3, 1, 1)).alias("weight"), F.lit(0.4).alias("cap"))
     return weights.redistribute(w, "weight", "cap").select("ts", "market", "position", _r("weight", "weight"), _r(weights.keep_cash(F.col("weight"), F.col("cap")), "with_cash"), _r("final", "final"))
 
@@ -220,11 +220,12 @@ def long_short_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_registered(f"""WITH {TYPE}, s AS (SELECT ts, market, CASE WHEN price > 1500 THEN 1.0 ELSE 0.0 END AS target FROM panel),
-c AS (SELECT *, max(CASE WHEN target IS DISTINCT FROM lag_t OR first_row THEN 1 ELSE 0 END) OVER (PARTITION BY ts) AS ch FROM (SELECT *, lag(target) OVER ({WM}) AS lag_t, row_number() OVER ({WM}) = 1 AS first_row FROM s))
-SELECT ts, market, target FROM c WHERE ch = 1""")
+g AS (SELECT t.ts, m.market, coalesce(s.target, 0.0) AS target FROM (SELECT DISTINCT ts FROM s) t CROSS JOIN (SELECT DISTINCT market FROM s) m LEFT JOIN s ON s.ts = t.ts AND s.market = m.market),
+c AS (SELECT *, target IS DISTINCT FROM lag(target) OVER ({WM}) AS ch FROM g)
+SELECT 'portfolio' AS scope, ts, market, target FROM c WHERE ts IN (SELECT ts FROM c WHERE ch) UNION ALL SELECT 'asset', ts, market, target FROM c WHERE ch""")
 def change_only_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel.build_panel(spark, sf_dir, "type").select("ts", "market", (F.col("price") > 1500).cast("double").alias("target"))
-    return weights.changes_only(p, "target")
+    return weights.changes_only(p, "target").select(F.lit("portfolio").alias("scope"), "*").unionByName(weights.changes_only(p, "target", "asset").select(F.lit("asset").alias("scope"), "*"))
 
 
 @_registered(f"""WITH {BRAND}, f AS (SELECT market, ts + INTERVAL 30 DAY AS at, price AS known_price FROM panel WHERE volume >= 100)
@@ -243,12 +244,12 @@ def trailing_event_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.trailing_sum(e, ["nation"], "ts", "total", 90).select("nation", "ts", F.round("total", 2).alias("total"), F.round("trailing", 2).alias("trailing"))
 
 
-@_registered("""WITH old AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0), new AS (SELECT o_orderkey, 'N' AS o_orderstatus, round(o_totalprice * 2, 2) AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0)
+@_registered("""WITH old AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ), new AS (SELECT o_orderkey, 'N' AS o_orderstatus, round(o_totalprice * 2, 2) AS o_totalprice FROM orders WHERE o_orderstatus = 'O')
 SELECT * FROM old WHERE o_orderkey NOT IN (SELECT o_orderkey FROM new) UNION ALL SELECT * FROM new""")
 def upsert_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = panel.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    new = o.where("o_orderkey % 2 = 0").select("o_orderkey", F.lit("N").alias("o_orderstatus"), F.round(F.col("o_totalprice") * 2, 2).alias("o_totalprice"))
-    return asof.upsert(o.where("o_orderkey % 3 <> 0"), new, ["o_orderkey"])
+    new = o.where("o_orderstatus = 'O'").select("o_orderkey", F.lit("N").alias("o_orderstatus"), F.round(F.col("o_totalprice") * 2, 2).alias("o_totalprice"))
+    return asof.upsert(o, new, ["o_orderkey"])
 
 
 CURVES = f"""{TYPE}, cv AS (SELECT market AS run_id, ts, price AS value FROM panel), r AS (SELECT *, coalesce(value / lag(value) OVER (PARTITION BY run_id ORDER BY ts) - 1, 0) AS ret,
@@ -262,8 +263,10 @@ def _curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_registered(f"""WITH {CURVES}, q AS (SELECT run_id, quantile_cont(ret, 0.05) AS q05, count(*) AS n FROM r GROUP BY 1),
 s AS (SELECT r.*, q05, row_number() OVER (PARTITION BY run_id ORDER BY drawdown, ts) <= ceil(n * 0.05) AS deep FROM r JOIN q USING (run_id))
 SELECT run_id, count(*) AS n, round(pow(arg_max(value, ts) / arg_min(value, ts), 252.0 / (count(*) - 1)) - 1, 6) AS cagr, round(min(drawdown), 6) AS max_drawdown, round(avg(ret) / stddev_pop(ret) * sqrt(252), 6) AS sharpe,
-  round(avg(ret) / sqrt(avg(least(ret, 0) * least(ret, 0))) * sqrt(252), 6) AS sortino, round(stddev_pop(ret) * sqrt(252), 6) AS vol, round(avg(ret) / abs(avg(CASE WHEN ret <= q05 THEN ret END)), 6) AS cvar_sharpe,
-  round(sqrt(avg(drawdown * drawdown)) * 100, 6) AS ulcer, round(-avg(CASE WHEN deep THEN drawdown END) * 100, 6) AS cdar FROM s GROUP BY run_id""")
+  round(avg(ret) / sqrt(avg(least(ret, 0) * least(ret, 0))) * sqrt(252), 6) AS sortino, round(stddev_pop(ret) * sqrt(252), 6) AS vol, round(avg(ret) / abs(avg(CASE WHEN ret <= q05 THEN ret END)) * sqrt(252), 6) AS cvar_sharpe,
+  round(sqrt(avg(drawdown * drawdown)) * 100, 6) AS ulcer, round(-avg(CASE WHEN deep THEN drawdown END) * 100, 6) AS cdar,
+  round(CASE WHEN avg(ret) >= 0 THEN avg(ret) / stddev_pop(ret) * sqrt(252) ELSE avg(ret) * 252 * stddev_pop(ret) * sqrt(252) END, 6) AS modified_sharpe,
+  round((pow(arg_max(value, ts) / arg_min(value, ts), 252.0 / (count(*) - 1)) - 1) / abs(min(drawdown)), 6) AS calmar, round((pow(arg_max(value, ts) / arg_min(value, ts), 252.0 / (count(*) - 1)) - 1) / sqrt(avg(drawdown * drawdown)), 6) AS martin FROM s GROUP BY run_id""")
 def curve_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = curves.performance(_curves(spark, sf_dir), 252)
     return p.select("run_id", "n", *[_r(c, c) for c in p.columns[2:]])
@@ -277,10 +280,10 @@ def drawdown_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_registered(f"""WITH {CURVES}, first_run AS (SELECT min(run_id) AS b FROM r), j AS (SELECT r.run_id, r.ret, x.ret AS bench FROM r JOIN r x ON r.ts = x.ts JOIN first_run ON x.run_id = b AND r.run_id <> b)
 SELECT run_id, count(*) AS n, round(avg(ret - bench) / stddev_pop(ret - bench) * sqrt(252), 6) AS information_ratio, round(covar_pop(ret, bench) / var_pop(bench), 6) AS beta,
-  round((avg(ret) - covar_pop(ret, bench) / var_pop(bench) * avg(bench)) * 252, 6) AS alpha, round(pow(corr(ret, bench), 2), 6) AS r2 FROM j GROUP BY run_id""")
+  round((avg(ret) - covar_pop(ret, bench) / var_pop(bench) * avg(bench)) * 252, 6) AS alpha, round(stddev_pop(ret - bench) * sqrt(252), 6) AS tracking_error, round(avg(ret - bench) * 252, 6) AS annual_excess, round(pow(corr(ret, bench), 2), 6) AS r2 FROM j GROUP BY run_id""")
 def benchmark_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _curves(spark, sf_dir)
-    first = panel.read(spark, sf_dir, "part").agg(F.min("p_type")).first()[0]
+    first = c.agg(F.min("run_id").alias("run_id"))
     s = curves.against_benchmark(c, first, 252)
     return s.select("run_id", "n", *[_r(x, x) for x in s.columns[2:]])
 
@@ -389,7 +392,7 @@ def rank_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_registered(f"""WITH {SIZE}, d AS (SELECT min(ts) AS ts FROM panel GROUP BY date_trunc('month', ts)), h AS (SELECT ts, count(*) FILTER (volume >= 30) AS held FROM panel JOIN d USING (ts) GROUP BY ts)
 SELECT count(*) AS rebalances, round(avg(held), 6) AS mean_held, min(held) AS least_held, max(held) AS most_held FROM h WHERE held > 0""")
 def selection_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = weights.rebalance_rows(panel.build_panel(spark, sf_dir, "size"), "month").where("volume >= 30")
+    rows = weights.rebalance_rows(panel.build_panel(spark, sf_dir, "size"), "monthly").where("volume >= 30")
     return weights.selection_statistics(rows).withColumn("mean_held", F.round("mean_held", DIGITS))
 
 

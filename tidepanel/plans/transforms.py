@@ -78,7 +78,7 @@ SELECT ts, market, round(CASE WHEN len(held) >= 10 THEN (len(list_filter(held, l
   round(CASE WHEN len(l30) >= 12 THEN (len(list_filter(l30, lambda v: v < price)) + len(list_filter(l30, lambda v: v = price)) / 2.0) / len(l30) END, 6) AS mid FROM h""")
 def running_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _panel(spark, sf_dir, "type").select("ts", "market", F.round("price", 8).alias("price"))
-    return rolling.expanding_percentile(p, "price", 10).select("ts", "market", _r("percentile", "percentile"), _r(rolling.mid_rank(F.col("price"), 30, 12), "mid"))
+    return rolling.mid_rank(rolling.expanding_percentile(p, "price", 10), "price", 30, 12).select("ts", "market", _r("percentile", "percentile"), _r("mid", "mid"))
 
 
 @_registered(f"""WITH {BRAND}, {GRID}, f AS (SELECT ts, market, CASE WHEN price > 1500 THEN 1 WHEN price < 1300 THEN 0 END AS mark, price FROM grid)
@@ -143,10 +143,10 @@ def monthly_union_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_registered(f"""WITH {TYPE}, s AS (SELECT ts, market, round(CASE WHEN price > 1400 THEN volume / 1000 ELSE 0 END, 8) AS target FROM panel), n AS (SELECT *, row_number() OVER ({WM}) AS i, first_value(target) OVER ({WM}) AS f FROM s)
-SELECT ts, market, round((sum(target) OVER w + (4 - count(*) OVER w) * f) / 4, 6) AS average, round(greatest(least(target / 0.5, 1.0), -1.0) * 0.8 / count(*) OVER (PARTITION BY ts), 6) AS by_value FROM n WINDOW w AS ({BY_MARKET} 3 PRECEDING AND CURRENT ROW)""")
+SELECT ts, market, round((sum(target) OVER w + (4 - count(*) OVER w) * f) / 4, 6) AS average, round(coalesce(greatest(least(target / 0.5, 0.9), -0.5) * 0.8 / nullif(count(*) FILTER (target > 0) OVER (PARTITION BY ts), 0), 0), 6) AS by_value FROM n WINDOW w AS ({BY_MARKET} 3 PRECEDING AND CURRENT ROW)""")
 def averaged_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _panel(spark, sf_dir, "type").select("ts", "market", F.round(F.when(F.col("price") > 1400, F.col("volume") / 1000).otherwise(0.0), 8).alias("target"))
-    return weights.target_average(s, "target", 4).select("ts", "market", _r("average", "average"), _r(weights.feature_value(F.col("target"), 0.5, 0.8), "by_value"))
+    return weights.target_average(s, "target", 4).select("ts", "market", _r("average", "average"), _r(weights.feature_value(F.col("target"), F.col("target").isNotNull(), 0.5, -0.5, 0.9, 0.8), "by_value"))
 
 
 @_registered(f"""WITH {BRAND}, {GRID}, f AS (SELECT *, min(CASE WHEN price IS NOT NULL THEN ts END) OVER (PARTITION BY market) AS first_ts FROM grid)
@@ -172,14 +172,16 @@ def rolling_ir_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("run_id", "n", *[F.round(c, 5).alias(c) for c in s.columns[2:]])
 
 
-@_registered(f"""WITH {CURVES}, k AS (SELECT *, sum(CASE WHEN drawdown >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak_no FROM r),
-d AS (SELECT run_id, peak_no, count(*) AS bars FROM k WHERE drawdown < 0 GROUP BY 1, 2), w AS (SELECT run_id, round((arg_max(value, ts) / arg_min(value, ts) - 1) * 100, 6) AS return_pct FROM cv WHERE ts BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' GROUP BY 1)
-SELECT d.run_id, count(*) AS episodes, round(avg(bars), 6) AS mean_bars, max(bars) AS longest, round(quantile_cont(bars, 0.9), 6) AS p90, round(sum(bars) / any_value(n), 6) AS under_water, any_value(return_pct) AS return_pct
-FROM d JOIN (SELECT run_id, count(*) AS n FROM cv GROUP BY 1) c ON c.run_id = d.run_id JOIN w ON w.run_id = d.run_id GROUP BY d.run_id""")
+@_registered(f"""WITH {CURVES}, i AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts) AS i, count(*) OVER (PARTITION BY run_id) AS n FROM r),
+h AS (SELECT run_id, i, n, lead(i) OVER (PARTITION BY run_id ORDER BY i) AS nxt FROM i WHERE drawdown = 0), d AS (SELECT run_id, coalesce(nxt, n) - i AS bars, nxt IS NOT NULL AS done FROM h),
+s AS (SELECT * FROM d WHERE (done AND bars > 1) OR (NOT done AND bars > 0)), w AS (SELECT run_id, round((arg_max(value, ts) / arg_min(value, ts) - 1) * 100, 6) AS return_pct FROM cv WHERE ts BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' GROUP BY 1),
+a AS (SELECT run_id, max(bars) FILTER (done) AS longest_completed, list_sort(list(bars) FILTER (done), 'DESC')[2] AS second_completed, max(bars) AS longest, round(quantile_cont(bars, 0.9), 6) AS p90, round(list_avg(list_sort(list(bars), 'DESC')[1:5]), 6) AS mean_top5, coalesce(max(bars) FILTER (NOT done), 0) AS current_bars FROM s GROUP BY 1),
+u AS (SELECT run_id, round(arg_max(drawdown, ts) * 100, 6) AS current_pct, round(avg(CASE WHEN drawdown < 0 THEN 1.0 ELSE 0.0 END) * 100, 6) AS under_water_pct FROM r GROUP BY 1)
+SELECT u.run_id, longest_completed, second_completed, longest, p90, mean_top5, current_pct, coalesce(current_bars, 0) AS current_bars, under_water_pct, return_pct FROM u JOIN w USING (run_id) LEFT JOIN a USING (run_id)""")
 def drawdown_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _curves(spark, sf_dir)
     r = curves.recovery(c).join(curves.window_returns(c, "1997-01-01", "1997-12-31").drop("n"), "run_id")
-    return r.select("run_id", "episodes", _r("mean_bars", "mean_bars"), "longest", _r("p90", "p90"), _r("under_water", "under_water"), _r("return_pct", "return_pct"))
+    return r.select("run_id", "longest_completed", "second_completed", "longest", "current_bars", *[_r(x, x) for x in ("p90", "mean_top5", "current_pct", "under_water_pct", "return_pct")])
 
 
 @_registered(f"""WITH {BRAND}, {GRID}, g AS (SELECT ts, coalesce(last_value(price IGNORE NULLS) OVER w / first_value(price IGNORE NULLS) OVER w, 1.0) AS grown FROM grid WINDOW w AS ({BY_MARKET} UNBOUNDED PRECEDING AND CURRENT ROW))
