@@ -12,7 +12,8 @@ of fixed size, so they may be broadcast.
 
 Null or empty texts have only structure features, and are scored. Several labels for one id: each is a training row. Null
 labels are left out. Without any training row all scores are 0.5. Repeated rows are scored each. Labels that all agree
-give a constant-leaning model. An empty table gives no rows.
+give a constant-leaning model. A very long text is one row of features, as many as its distinct words. Columns besides doc_id
+and text are not read, and high_quality() passes all on, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from operator import eq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, crc_of_id, stage, text_of
@@ -154,24 +155,31 @@ def _shard(sent, heavier: tuple[float, float], forward: bool):
     return run
 
 
-def score_documents(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep, and score."""
+def scorer(spark: SparkSession, model: tuple[float, np.ndarray, np.ndarray]):
+    """A function of a text column: its score. Only the text goes to Python, whatever other columns the rows have."""
     b, w, v = model
-    sent = docs.sparkSession.sparkContext.broadcast((b, w.astype(np.float32), v.astype(np.float32)))
+    sent = spark.sparkContext.broadcast((b, w.astype(np.float32), v.astype(np.float32)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         b, w, v = sent.value
         for batch in batches:
-            texts = as_bytes(batch, "__text")
             scores: list[float] = []
-            for k in range(0, len(texts), 64):
-                both = [features(t) for t in texts[k : k + 64]]
+            for k in range(0, len(batch), 64):
+                both = [features(t) for t in batch.slice(k, 64).cast(pa.binary()).to_pylist()]
                 starts = np.cumsum([0] + [len(x[0]) for x in both[:-1]])
                 raw = fm_score(np.concatenate([x[0] for x in both]).astype(np.int64), np.concatenate([x[1] for x in both]), starts, b, w, v)
                 scores += (1 / (1 + np.exp(-np.clip(raw, -30, 30)))).tolist()
-            kept = [c for c in batch.schema.names if c != "__text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(scores, pa.float64())], [*kept, "score"])
+            yield pa.array(scores, pa.float64())
+
+    return score
+
+
+def score_documents(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns in keep, and score."""
+    return docs.select(*keep, scorer(docs.sparkSession, model)(text_of()).alias("score"))
+
 
-    source = docs.select(*keep, text_of().alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return source.mapInArrow(run, f"{fields}, score double")
+def high_quality(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], least: float = 0.5) -> DataFrame:
+    """The documents, with their own columns only, that score so much."""
+    return docs.where(scorer(docs.sparkSession, model)(text_of()) >= least)
