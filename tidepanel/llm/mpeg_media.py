@@ -8,7 +8,8 @@ The reader skips ID3v2, ID3v1 and APE tags (bytes that read as an ID3v1 tag are
 frame's place, or the stream ends there), parses Xing, Info and VBRI tables, verifies each protected Layer III frame's
 CRC-16 over header and side information, and gives exact durations (samples over rate) and each frame's offset.
 
-Null texts are empty; an empty text is 192 spaces. Equal texts give equal bytes. Repeated rows give a row each. A stream
+Null texts are empty; an empty text is 192 spaces. Long texts are stored and read whole, one at a time. Columns besides doc_id
+and text are not read. Equal texts give equal bytes. Repeated rows give a row each. A stream
 without frames has 0 frames and 0 samples. An empty table gives no rows.
 """
 
@@ -245,6 +246,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
 def read_media(media: DataFrame, with_offsets: bool = True) -> DataFrame:
     """From doc_id, media: sizes, sums, exact duration, seek offsets (frame k starts at offsets[k]) and the feature string."""
     id_type = media.schema["doc_id"].dataType.simpleString()
+    # the duration is samples / sample_rate seconds, both exact
     fields = f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, samples long, sample_rate int, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,6 +272,5 @@ def read_media(media: DataFrame, with_offsets: bool = True) -> DataFrame:
 
 
 def media_round_trip(docs: DataFrame) -> DataFrame:
-    return read_media(stage(encode_media(docs), "media"), with_offsets=False)
-
-
+    """Stores all texts, reads the stored bytes back: read_media()'s columns, exact durations and all frames' offsets among them."""
+    return read_media(stage(encode_media(docs), "media"))

@@ -75,7 +75,7 @@ def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "samples", "sample_rate", "offsets")
     return mpeg_media.media_round_trip(table(spark, sf_dir, "documents")).select(*names)
 
 
