@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -59,3 +60,56 @@ def breadth(driver: Column, signal: Column, n: int | None = None, quantiles: int
     chosen = place <= n if n else (1 + F.floor((place - 1) * quantiles / known)).isin(*buckets)
     share = F.avg(F.when(chosen, (signal != 0).cast("double"))).over(at())
     return F.when(known > 0, F.coalesce(share, F.lit(0.0)))
+
+
+def in_group(value: Column, x: Column, by: tuple[str, ...], min_size: int) -> Column:
+    """A value of x's group, null where the group has fewer than min_size known x."""
+    return F.when(size(x, by) >= min_size, value)
+
+
+def average_correlation(df: DataFrame, x: str, n: int, least: int) -> DataFrame:
+    """ts, correlation: mean correlation of x over all pairs of markets that are complete in the last n times (a dense grid),
+    where they are at least so many. From one identity: the standardised values' sum over markets has as variance the sum of
+    all correlations, so no pairs are made."""
+    calendar = df.select("ts").distinct().withColumn("__i", F.row_number().over(Window.orderBy("ts")))  # a calendar
+    rows = df.join(calendar, "ts").select("__i", "market", F.col(x).alias("__x"))
+    w = Window.partitionBy("market").orderBy("__i").rowsBetween(-(n - 1), 0)
+    stats = rows.select("market", F.col("__i").alias("__e"), F.count("__x").over(w).alias("__c"), F.avg("__x").over(w).alias("__m"), F.stddev_samp("__x").over(w).alias("__s")).where((F.col("__c") == n) & (F.col("__s") > 0))
+    spread = rows.withColumn("__e", F.explode(F.sequence(F.col("__i"), F.col("__i") + n - 1))).join(stats, ["market", "__e"])
+    sums = spread.groupBy("__e", "__i").agg(F.sum((F.col("__x") - F.col("__m")) / F.col("__s")).alias("__z"), F.count("*").alias("__k"))
+    m = F.max("__k")
+    out = sums.groupBy("__e").agg(m.alias("markets"), ((F.sum(F.col("__z") * F.col("__z")) / (n - 1) - m) / F.nullif(m * (m - 1), F.lit(0))).alias("correlation")).where((F.col("markets") >= least) & (F.col("markets") > 1))
+    return out.join(calendar, F.col("__e") == F.col("__i")).select("ts", "markets", "correlation")
+
+
+def forward_rank(label: Column, by: tuple[str, ...] = ("ts",)) -> tuple[Column, Column]:
+    """Rank of a label, the best first, and the same as a share that is 1 for the best and 0 for the worst (one alone: 1)."""
+    place, n = rank(label, by, descending=True), size(label, by)
+    return place, F.when(label.isNotNull(), F.when(n == 1, 1.0).otherwise(1 - (place - 1) / F.nullif(n - 1, F.lit(0))))
+
+
+def greedy_uncorrelated(df: DataFrame, ret: str, liquidity: str, threshold: float, window: int, least: int, liquidity_window: int, unit: str = "month") -> DataFrame:
+    """period, market: who is kept at each period's last time. By mean liquidity, the greatest first (ties by market), a market is kept
+    if its correlation with none that are kept is the threshold or more, over the times of the window at which both are known,
+    at least so many. Pairs over the threshold are found by Spark; the pick of one period is one group of its markets."""
+    days = df.select("ts").distinct().withColumn("__i", F.row_number().over(Window.orderBy("ts")))  # a calendar
+    ends = days.groupBy(F.trunc("ts", unit).alias("period")).agg(F.max("__i").alias("__e"))
+    rows = df.join(days, "ts").select("__i", "market", F.col(ret).alias("__r"), F.col(liquidity).alias("__l"))
+
+    def inside(n: int) -> DataFrame:
+        return rows.join(F.broadcast(ends), (F.col("__i") <= F.col("__e")) & (F.col("__i") > F.col("__e") - n))  # one row a period
+
+    known = inside(window).where("__r is not null").select("period", "__i", "market", "__r")
+    pairs = known.join(known.select("period", "__i", F.col("market").alias("__o"), F.col("__r").alias("__q")), ["period", "__i"]).where("market <> __o")
+    close = pairs.groupBy("period", "market", "__o").agg(F.count("*").alias("__n"), F.try_divide(F.covar_pop("__r", "__q"), F.stddev_pop("__r") * F.stddev_pop("__q")).alias("__c")).where((F.col("__n") >= least) & (F.col("__c") >= threshold))
+    near = close.groupBy("period", "market").agg(F.collect_set("__o").alias("near"))
+    ordered = inside(liquidity_window).groupBy("period", "market").agg(F.avg("__l").alias("liquidity")).join(near, ["period", "market"], "left")
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: set[str] = set()
+        for m, others in pdf.assign(low=-pdf["liquidity"]).sort_values(["low", "market"], na_position="last")[["market", "near"]].itertuples(index=False):
+            if others is None or not kept.intersection(others):
+                kept.add(m)
+        return pdf.loc[pdf["market"].isin(kept), ["period", "market"]]
+
+    return ordered.groupBy("period").applyInPandas(pick, "period date, market string")

@@ -5,8 +5,13 @@ Every function takes and returns rows (ts, market, ...) of a dense grid; `base`
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass, replace
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from . import cross_section as xs
 from .rolling import shift
@@ -62,3 +67,170 @@ def ever_used(df: DataFrame, weight: str) -> DataFrame:
 def per_listed(df: DataFrame, weight: str, per: float) -> DataFrame:
     """scaled: weight times per over the number of markets with a row at that time."""
     return df.withColumn("scaled", F.col(weight) * per / F.count("*").over(xs.at()))
+
+
+@dataclass(frozen=True)
+class Ranked:
+    """A rank filter: the top_n best of x, or its quantile buckets, so many grid rows ago."""
+
+    x: str
+    top_n: int | None = None
+    quantiles: int = 0
+    buckets: tuple[int, ...] = ()
+    descending: bool = True
+    lag: int = 0
+    everyone: bool = False  # rank the base population, not those that are left
+
+
+@dataclass(frozen=True)
+class Universe:
+    """Which markets may be chosen (base) and which are (selected), on a dense grid with one row for each (ts, market)."""
+
+    allow: tuple[str, ...] = ()
+    exclude: tuple[str, ...] = ()
+    exclude_warnings: tuple[str, ...] = ()
+    min_age_days: int = 0
+    least_cross_section: int = 0
+    values: tuple[tuple[str, str, float, int], ...] = ()  # column, operator, bound, lag
+    ranks: tuple[Ranked, ...] = ()
+    final: Ranked | None = None
+    signal_lag: int = 0
+
+    def lagged(self) -> Universe:
+        """The same with signal_lag added to the lags of all ranks."""
+        more = lambda r: replace(r, lag=r.lag + self.signal_lag)
+        return replace(self, ranks=tuple(more(r) for r in self.ranks), final=more(self.final) if self.final else None, signal_lag=0)
+
+
+def build(grid: DataFrame, spec: Universe, price: str = "price", warning: str | None = None) -> DataFrame:
+    """Adds base and selected. Lists, warnings, age and values make the base; it is empty before the first time at which enough
+    markets are in it; the ranks then narrow it one after the other, and the final rank picks."""
+    spec = spec.lagged()
+    base = listed(F.col("market"), spec.allow, spec.exclude) & F.col(price).isNotNull()
+    if warning and spec.exclude_warnings:
+        base = base & without_warnings(F.col(warning), spec.exclude_warnings)
+    if spec.min_age_days:
+        first = F.min(F.when(F.col(price).isNotNull(), F.col("ts"))).over(Window.partitionBy("market"))
+        base = base & F.coalesce(F.datediff("ts", first) >= spec.min_age_days, F.lit(False))
+    for column, op, bound, lag in spec.values:
+        base = base & value_filter(F.col(column), op, bound, lag)
+    out = grid.withColumn("base", base)
+    if spec.least_cross_section:
+        enough = out.groupBy("ts").agg(F.count(F.when(F.col("base"), 1)).alias("__n")).where(F.col("__n") >= spec.least_cross_section).agg(F.min("ts").alias("__since"))
+        out = out.crossJoin(F.broadcast(enough)).withColumn("base", F.coalesce(F.col("base") & (F.col("ts") >= F.col("__since")), F.lit(False))).drop("__since")  # one row
+    out = out.withColumn("selected", F.col("base"))
+    for r in (*spec.ranks, *((spec.final,) if spec.final else ())):
+        held = shift(F.col(r.x), r.lag) if r.lag else F.col(r.x)
+        out = out.withColumn("__x", held)
+        chosen = rank_filter(F.col("__x"), F.col("base" if r.everyone else "selected"), r.top_n, r.quantiles, r.buckets, r.descending)
+        out = out.withColumn("__f", chosen).withColumn("selected", F.col("selected") & F.col("__f")).drop("__f", "__x")
+    return out
+
+
+def covered(ts: Column, start: Column, end: Column) -> Column:
+    """From the start on and before the end; a market without a start is not covered, one without an end stays so."""
+    return F.coalesce(start.isNotNull() & (ts >= start) & (end.isNull() | (ts < end)), F.lit(False))
+
+
+def with_coverage(panel: DataFrame, instruments: DataFrame, most: int = 100_000) -> DataFrame:
+    """usage_ok by the instruments' (market, data_start, data_end) life; they are broadcast if they are at most so many."""
+    side = instruments.select("market", "data_start", "data_end")
+    side = F.broadcast(side) if instruments.limit(most + 1).count() <= most else side
+    return panel.join(side, "market", "left").withColumn("usage_ok", covered(F.col("ts"), F.col("data_start"), F.col("data_end"))).drop("data_start", "data_end")
+
+
+def held_slots(df: DataFrame, slots: int, descending: bool = True, cooldown: int = 0, longest: int | None = None) -> DataFrame:
+    """selected: who holds one of the slots. df: run_id, ts, market, candidate, eligible, score, leave, every market at every time.
+
+    Those who hold stay until they are told to leave, are no longer eligible, or have held longest times; then they wait cooldown
+    times more. Free slots go to the best scores, ties by market. The state is of all markets together, so a run is one group
+    (as many rows as its panel) and runs are dealt out.
+    """
+    schema = StructType([*df.select("run_id", "ts", "market").schema.fields, StructField("selected", BooleanType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        markets = sorted(pdf["market"].unique())
+        wide = {c: pdf.pivot(index="ts", columns="market", values=c).reindex(columns=markets) for c in ("candidate", "eligible", "score", "leave")}
+        eligible, leave = wide["eligible"].fillna(False).to_numpy(bool), wide["leave"].to_numpy(float)
+        score = wide["score"].to_numpy(float) * (-1 if descending else 1)
+        ready = wide["candidate"].fillna(False).to_numpy(bool) & eligible & np.isfinite(score) & (leave == 0)
+        told = ~eligible | (leave != 0)
+        entered, free_from = np.full(len(markets), -1), np.zeros(len(markets), int)
+        taken = np.zeros(ready.shape, bool)
+        for t in range(len(ready)):
+            holding = entered >= 0
+            over = holding & (t - entered >= longest) if longest is not None else np.zeros(len(markets), bool)
+            if (holding & ~over & eligible[t] & ~np.isfinite(leave[t])).any():
+                raise ValueError("a held market has no leave signal")
+            out = holding & (told[t] | over)
+            entered[out], free_from[out] = -1, t + cooldown + 1
+            open_to = np.flatnonzero(ready[t] & (entered < 0) & (free_from <= t))
+            best = open_to[np.argsort(score[t][open_to], kind="stable")][: max(0, slots - int((entered >= 0).sum()))]
+            entered[best] = t
+            taken[t] = entered >= 0
+        days = wide["score"].index
+        return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "ts": np.repeat(days, len(markets)), "market": np.tile(markets, len(days)), "selected": taken.ravel()})
+
+    return df.groupBy("run_id").applyInPandas(run, schema)
+
+
+def screened(panel: DataFrame, screen: DataFrame) -> DataFrame:
+    """screen: ts, market, selected, at the times of a schedule; it stands until the next one. usable: the standing screen (false
+    before the first). Only markets that are ever selected stay."""
+    times = screen.select("ts").distinct().withColumn("__next", F.lead("ts").over(Window.orderBy("ts")))  # a schedule's times
+    ever = screen.where("selected").select("market").distinct()
+    standing = screen.where("selected").join(times, "ts").select("market", F.col("ts").alias("__from"), "__next")
+    rows = panel.join(ever, "market", "left_semi")
+    inside = rows.select("ts", "market").join(standing, "market").where((F.col("ts") >= F.col("__from")) & (F.col("__next").isNull() | (F.col("ts") < F.col("__next")))).select("ts", "market", F.lit(True).alias("usable"))
+    return rows.join(inside, ["ts", "market"], "left").withColumn("usable", F.coalesce("usable", F.lit(False)))
+
+
+def gaps(grid: DataFrame, x: str) -> DataFrame:
+    """market, gap_start, gap_end, bars: the runs of missing x between known ones, on a dense grid."""
+    w = Window.partitionBy("market").orderBy("ts")
+    seen, later = F.count(x).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.count(x).over(w.rowsBetween(1, Window.unboundedFollowing))
+    inside = grid.withColumn("island", seen).withColumn("later", later).where(F.col(x).isNull() & (F.col("island") > 0) & (F.col("later") > 0))
+    return inside.groupBy("market", "island").agg(F.min("ts").alias("gap_start"), F.max("ts").alias("gap_end"), F.count("*").alias("bars")).drop("island")
+
+
+def query_rows(df: DataFrame, equals: dict | None = None, contains: dict | None = None, least: dict | None = None, most: dict | None = None, order: tuple[str, ...] = (), descending: bool = True, group: str | None = None, top: int | None = None) -> DataFrame:
+    """Rows by equal values, texts inside (in any case), and bounds; sorted by the order, ties by the last of its columns, which should
+    be a key; the first `top` of all or of each group."""
+    for c, v in (equals or {}).items():
+        df = df.where(F.col(c) == v)
+    for c, v in (contains or {}).items():
+        df = df.where(F.lower(c).contains(v.lower()))
+    for c, v in (least or {}).items():
+        df = df.where(F.col(c) >= v)
+    for c, v in (most or {}).items():
+        df = df.where(F.col(c) <= v)
+    by = [F.col(c).desc_nulls_last() if descending and k < len(order) - 1 else F.col(c).asc_nulls_last() for k, c in enumerate(order)]
+    if group:
+        return df.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(*by))).where(F.col("__n") <= (top or 1)).drop("__n")
+    return df.orderBy(*by).limit(top) if top else df.orderBy(*by) if by else df
+
+
+def parameter_grid(spark: SparkSession, axes: dict[str, list], constraint: str | None = None) -> DataFrame:
+    """Every combination of the axes' values that meets the constraint, an SQL condition over their names."""
+    out = None
+    for name, values in axes.items():
+        side = spark.createDataFrame([(v,) for v in values], [name])
+        out = side if out is None else out.crossJoin(side)  # the product is what is asked for
+    return out.where(F.expr(constraint)) if constraint else out
+
+
+def plateau(grid: DataFrame, numeric: list[str], categories: list[str], metric: str) -> DataFrame:
+    """plateau: mean metric of the neighbours: the same categories, on each numeric axis the same value or the next one on
+    either side, the row itself left out. neighbours: how many."""
+    placed = grid
+    for c in numeric:
+        axis = grid.select(c).distinct().withColumn(f"__{c}", F.dense_rank().over(Window.orderBy(c)))  # an axis's values
+        placed = placed.join(axis, c)
+    placed = placed.withColumn("__id", F.struct(*numeric, *categories))
+    # each row goes to the cells next to it, so the join is by equal keys
+    near = placed.select(F.col("__id").alias("__from"), metric, *categories, *[F.explode(F.array(*[F.col(f"__{c}") + d for d in (-1, 0, 1)])).alias(f"__{c}") if c == numeric[0] else F.col(f"__{c}") for c in numeric])
+    for c in numeric[1:]:
+        near = near.withColumn(f"__{c}", F.explode(F.array(*[F.col(f"__{c}") + d for d in (-1, 0, 1)])))
+    keys = [f"__{c}" for c in numeric] + categories
+    stats = placed.select("__id", *keys).join(near.withColumnRenamed(metric, "__m"), keys).where("__id <> __from").groupBy("__id").agg(F.avg("__m").alias("plateau"), F.count("*").alias("neighbours"))
+    return placed.join(stats, "__id", "left").drop("__id", *[f"__{c}" for c in numeric]).withColumn("neighbours", F.coalesce("neighbours", F.lit(0)))

@@ -182,7 +182,7 @@ def held_targets(grid: DataFrame, weight: str) -> DataFrame:
 def with_hedge(targets: DataFrame, weight: str, beta: str | None, hedge: str, ratio: float = 1.0) -> DataFrame:
     """One more row a time: the hedge market at -ratio times the sum of weight times beta (a null one raises), or of weight alone."""
     known = F.lit(1.0) if beta is None else F.when(F.col(beta).isNull() & (F.col(weight) != 0), F.raise_error(F.lit("a held market has no beta")).cast("double")).otherwise(F.coalesce(beta, F.lit(0.0)))
-    leg = targets.groupBy("ts").agg((F.sum(F.col(weight) * known) * -ratio).alias(weight)).withColumn("market", F.lit(hedge))
+    leg = targets.groupBy("ts").agg((F.lit(0.0) - F.sum(F.col(weight) * known) * ratio).alias(weight)).withColumn("market", F.lit(hedge))
     return targets.select("ts", "market", weight).unionByName(leg.select("ts", "market", weight)).groupBy("ts", "market").agg(F.sum(weight).alias(weight))
 
 
@@ -243,3 +243,40 @@ def without_overlaps(df: DataFrame, intervals: DataFrame, start: Column, end: Co
     """Without the markets that have an interval (market, gap_start, gap_end) touching the window from start to end."""
     touching = intervals.where((F.col("gap_start") <= end) & (F.col("gap_end") >= start)).select("market").distinct()
     return df.join(touching, "market", "left_anti")
+
+
+def sparse_rows(dense: DataFrame, weight: str) -> DataFrame:
+    """ts, market, place, target_weight, gross_exposure of the markets held at the times at which the book changed; a time at which
+    nothing is held has one row, of the first market, without a place and with 0."""
+    book = changes_only(dense, weight)
+    sums = book.withColumn("gross_exposure", F.sum(weight).over(xs.at())).withColumn("__n", F.sum((F.col(weight) > 0).cast("int")).over(xs.at())).withColumn("__first", F.min("market").over(xs.at()))
+    place = F.row_number().over(Window.partitionBy("ts", F.col(weight) > 0).orderBy("market"))
+    held = sums.withColumn("__p", place).where((F.col(weight) > 0) | ((F.col("__n") == 0) & (F.col("market") == F.col("__first"))))
+    return held.select("ts", "market", F.when(F.col("__n") > 0, F.col("__p")).alias("place"), F.when(F.col("__n") > 0, F.col(weight)).otherwise(0.0).alias("target_weight"), F.when(F.col("__n") > 0, F.col("gross_exposure")).otherwise(0.0).alias("gross_exposure"))
+
+
+def window_requests(requests: DataFrame, weight: str, start: str) -> DataFrame:
+    """A sleeve's requests inside a window: only of markets that it ever holds, from their first weight on; at the start each of them
+    stands with its latest target by then."""
+    at = F.lit(start).cast("date")
+    since = requests.where(F.col(weight) != 0).groupBy("market").agg(F.min("ts").alias("__since"))
+    own = requests.join(since, "market").where(F.col("ts") >= F.col("__since")).drop("__since")
+    state = latest_targets(own, weight, at).select(at.alias("ts"), "market", weight)
+    return own.where(F.col("ts") > at).select("ts", "market", weight).unionByName(state)
+
+
+def listed_shares(grid: DataFrame, shares: dict[str, float], price: str = "price") -> DataFrame:
+    """weight: the fixed shares, among the markets listed by then."""
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("market")]
+    rows = grid.where(F.col("market").isin(*shares)).withColumn("__on", F.min(F.when(F.col(price).isNotNull(), F.col("ts"))).over(Window.partitionBy("market")) <= F.col("ts"))
+    on = F.coalesce(F.col("__on"), F.lit(False))
+    return rows.withColumn("weight", F.when(on, F.try_divide(share, F.sum(F.when(on, share)).over(xs.at()))).otherwise(0.0)).drop("__on")
+
+
+def seeded_window(targets: DataFrame, weight: str, start: str) -> DataFrame:
+    """Rows from a start on; where the first time of the window has no target, each market's latest one before stands there."""
+    at = F.lit(start).cast("date")
+    so_far = Window.partitionBy("market").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    rows = targets.withColumn("__held", F.last(weight, ignorenulls=True).over(so_far)).where(F.col("ts") >= at)
+    first = F.col("ts") == F.min("ts").over(Window.partitionBy("market"))
+    return rows.withColumn(weight, F.coalesce(weight, F.when(first, F.col("__held")))).drop("__held")

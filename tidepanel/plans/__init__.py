@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers them all."""
 
-from . import selection, transforms  # noqa: F401
+from . import choosing, periods, selection, storing, transforms, weighting  # noqa: F401
