@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stage, text_of
+from .common import partitions, stage, text_of, text_slices
 
 END_ID = 1
 BLOCK_IDS = 1 << 18
@@ -38,7 +38,6 @@ CHECKPOINT = 256
 MAX_BITS = 20
 CACHE_WORDS = 1_000_000
 STRING_WORDS = 1000
-SLICE_BYTES = 1 << 24
 
 _encoders: dict[str, Encoder] = {}
 
@@ -246,10 +245,10 @@ def _chunks(tokenizer_file: str, end_id: int):
             texts, names = batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             if part is None and len(names):
                 part = batch.column(batch.schema.get_field_index("part"))[0].as_py()
-            for lo, hi in _slices(texts):
-                ids, counts = encode_texts(texts.slice(lo, hi - lo), tokenizer_file)
+            for some, lo in text_slices(texts):
+                ids, counts = encode_texts(some, tokenizer_file)
                 cuts = np.r_[0, np.cumsum(counts)].tolist()
-                for k in range(hi - lo):
+                for k in range(len(some)):
                     docs.append(names[lo + k])
                     sizes.append(cuts[k + 1] - cuts[k] + 1)
                     held += [ids[cuts[k] : cuts[k + 1]].astype(np.uint16), end]
@@ -263,16 +262,6 @@ def _chunks(tokenizer_file: str, end_id: int):
     return run
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about SLICE_BYTES together, one text at least."""
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
-    lo = 0
-    while lo < len(ends):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
-        yield lo, hi
-        lo = hi
-
-
 def write_ids(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID) -> tuple[DataFrame, DataFrame]:
     """Writes the files; returns them as read back: blocks (part, block, docs, sizes, before, offsets, bits) and code lengths (id, length)."""
     spark = docs.sparkSession
