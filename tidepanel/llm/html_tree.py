@@ -10,8 +10,11 @@ article (or main) element, but not inside a part that is boiler-plate by name, i
 and (parent label, child label) over all labelled pages are summed on Spark; smoothed log ratios are the potentials. The
 table of observations is bounded: names are hashed into NAME_SLOTS slots, the rest is binned.
 
-Null, empty or text-free html gives an empty text; unclosed and stray tags are tolerated. Without any labelled page the
-priors decide by tag name alone. Repeated rows give a row each. An empty table gives no rows.
+Null, empty or text-free html gives an empty text; unclosed and stray tags are tolerated. A tag ends at the first > outside
+quotes; once a quote is found to be left open to the page's end, quotes no longer count on that page, and where no > follows, a <
+is text. So each page is read in time linear in its length, however long, deep or broken it is. Only elements without content
+close by themselves, whatever slash they hold. Without any labelled page the priors decide by tag name alone. Repeated rows give
+a row each. Columns besides page_id, url and html are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,72 +38,112 @@ BOILER_TAGS = frozenset("nav footer aside header form script style noscript temp
 BOILER_NAMES = frozenset("ad ads advert advertisement banner sponsored promo comment comments reply replies cookie consent notice popup modal nav menu navbar sidebar footer header breadcrumb breadcrumbs related share social subscribe newsletter widget pagination copyright".split())
 NAME_SLOTS = 512
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+_END = {tag: re.compile(f"</{tag}", re.I) for tag in ("script", "style")}
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "children", "parts", "chars", "linked", "depth", "boiler", "inside", "raw")
+    __slots__ = ("tag", "names", "parent", "parts", "chars", "linked", "boiler", "inside", "raw", "block")
 
     def __init__(self, tag: str, names: tuple[str, ...], parent: Node | None) -> None:
-        self.tag, self.names, self.parent, self.children = tag, names, parent, []
+        self.tag, self.names, self.parent = tag, names, parent
         self.parts: list[tuple[int, str]] = []  # own text with its place in the page
         self.chars = self.linked = 0
-        self.depth = parent.depth + 1 if parent else 0
         self.raw = tag in RAW or (parent.raw if parent else False)
         self.boiler = (parent.boiler if parent else False) or tag in BOILER_TAGS or any(x in BOILER_NAMES for x in names)
         self.inside = (parent.inside if parent else False) or tag in ("article", "main")
+        self.block = self if parent is None or tag in BLOCK else parent.block  # the nearest block around its text
+
+
+def _tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """Start and end of each piece of mark-up: '/' or '', name and attributes of a tag, or three empty strings. The reader
+    sends where to go on."""
+    at, size, quotes = 0, len(page), True
+    while (start := page.find("<", at)) >= 0:
+        after = page[start + 1 : start + 2]
+        slash = name = rest = ""
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            end = size if end < 0 else end + 3
+        elif after in ("!", "?"):
+            end = page.find(">", start) + 1
+        elif m := _NAME.match(page, start):
+            slash, name = m.group(1), m.group(2).lower()
+            closed = _REST.match(page, m.end()) if quotes else None
+            if closed:
+                end = closed.end()
+            else:
+                quotes = False
+                end = page.find(">", m.end()) + 1
+            rest = page[m.end() : end - 1]
+        else:
+            at = start + 1
+            continue
+        if end == 0:  # no > from here on
+            return
+        on = yield start, end, slash, name, rest
+        at = end if on is None else on
 
 
 def parse_page(page: str) -> list[Node]:
     """The page's elements, parents before children. Only text of whole tags is mark-up; the rest is text."""
     root = Node("html", (), None)
-    nodes, now, at, place = [root], root, 0, 0
-    size = len(page)
-    while at < size:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
-        if text:
-            now.parts.append((place, text))
-            place += 1
-        if not m:
+    nodes, now, place, done = [root], root, 0, 0
+    unclosed: Counter = Counter()
+
+    def close(up: Node) -> Node:
+        """Closes all from the innermost element to `up`."""
+        node = now
+        while True:
+            unclosed[node.tag] -= 1
+            if node is up:
+                return up.parent or root
+            node = node.parent
+
+    tokens = _tokens(page)
+    go_on: int | None = None
+    while True:
+        try:
+            start, end, slash, tag, rest = tokens.send(go_on)
+        except StopIteration:
             break
-        at = m.end()
-        name = m.group(2)
-        if not name:
-            continue
-        tag = name.lower()
-        if m.group(1):
-            up = now
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                now = up.parent
+        go_on = None
+        if start > done:
+            now.parts.append((place, page[done:start]))
+            place += 1
+        done = end
+        if not tag or tag == "html":
             continue
-        if tag == "html":
+        if slash:
+            if unclosed[tag]:
+                up = now
+                while up.tag != tag:
+                    up = up.parent
+                now = close(up)
             continue
         if tag in BLOCK:
-            up = now
-            while up.parent is not None and up.tag not in BLOCK:
-                up = up.parent
-            if up.tag == "p" or tag == up.tag and tag in ("li", "dd", "dt", "tr", "td", "th"):
-                now = up.parent or root
-        names = tuple(w for a in _ATTR.finditer(m.group(3)) for w in _WORD.findall(a.group(2).lower())) if m.group(3) else ()
+            up = now.block
+            if up.parent is not None and (up.tag == "p" or tag == up.tag and tag in ("li", "dd", "dt", "tr", "td", "th")):
+                now = close(up)
+        names = tuple(w for a in _ATTR.finditer(rest) for w in _WORD.findall(a.group(2).lower())) if rest else ()
         node = Node(tag, names, now)
-        now.children.append(node)
         nodes.append(node)
-        if tag in VOID or m.group(3).endswith("/"):
+        if tag in VOID:
             if tag in ("br", "hr", "wbr"):
                 now.parts.append((place, " "))
                 place += 1
-            node.parts = []
             continue
-        if tag in ("script", "style"):
-            end = re.compile(f"</{tag}", re.I).search(page, at)
-            at = end.start() if end else size
+        if tag in _END:
+            found = _END[tag].search(page, end)
+            done = go_on = found.start() if found else len(page)
         now = node
+        unclosed[tag] += 1
+    if done < len(page):
+        now.parts.append((place, page[done:]))
     for node in reversed(nodes):
         own = 0 if node.raw else sum(len(t.strip()) for _, t in node.parts)
         node.chars += own
@@ -212,9 +255,7 @@ def main_text(page: str, model: dict[str, tuple[float, float]]) -> str:
     for x in nodes:
         if x.raw:
             continue
-        block = x
-        while block.tag not in BLOCK and block.parent is not None:
-            block = block.parent
+        block = x.block
         if id(x) in keep or (x is not block and id(block) in keep and x.tag not in BOILER_TAGS and not any(w in BOILER_NAMES for w in x.names)):
             runs += [(place, block, text) for place, text in x.parts]
     runs.sort(key=lambda r: r[0])
