@@ -1,54 +1,53 @@
 """Substring dedup by recompression: words covered by a window of `width` words that starts earlier elsewhere are removed.
 
-Rounds name maximal runs of one symbol, then pairs of neighbours whose left one is of the low half and whose right one is
-of the high half of all symbols (by a bit of the symbol's name). A name is a 64-bit hash of what it stands for, so every
-task gives the same name to the same content and equal windows are named alike but for a few symbols at their ends; which
-ones follows from the window's content alone. Of a window's inner symbols, the chain of three with the least name is its
-anchor. Spark counts the anchors of all documents: a window that repeats has an anchor that does, so where the anchor
-stands once, no window is a repeat. What is left (and the few windows with fewer than three inner symbols) is verified by
-128-bit names of the whole windows, and the earliest place of each name is found.
-
-Documents are handled in chunks of about CHUNK_WORDS words, packed as one row. What is exchanged are arrays of a chunk's
-distinct names by hash bucket, and bits in reply; a passage that stands in a third of all documents is one name a chunk.
-
-Null texts have no words. Texts of fewer words than the window keep all. A null doc_id sorts before all others; rows of
-equal doc_id are in an order fixed by the scan, later ones repeat earlier ones. An empty table gives no rows.
+Each of ROUNDS Spark rounds names maximal runs of one symbol, and pairs of neighbours whose left one is of the low half and whose
+right one is of the high half of all symbols (by a bit of the symbol's name). Every task sends its distinct runs and pairs to
+buckets; a bucket gives each one that stands twice or more in all documents a number, which is its name everywhere from then
+on, and answers nothing for those that stand once. So equal windows are named alike but for a few symbols at their ends, which
+ones follows from the window's content alone, and a window with a symbol inside that stands once repeats nowhere. Of the other
+windows' inner symbols, the chain of three with the least name is the anchor. Spark counts the anchors of all documents: where
+an anchor stands once, no window is a repeat. What is left (and the few windows with fewer than three inner symbols) is
+verified by 128-bit names of the whole windows, made of 128-bit names of their words, and the earliest place of each is found.
+
+Documents are handled in chunks of about CHUNK_WORDS words, as one row with its distinct words and their order, written once
+in a table that is bucketed by chunk (a bucket for each TABLE_BYTES of text), so that the rounds' answers come to the chunks and
+not the chunks to them. What is
+exchanged are arrays of a chunk's distinct symbols by bucket, and numbers or bits in reply; a passage that stands in a third of
+all documents is a few symbols a chunk. There are as many buckets as BUCKET_WORDS words need.
+
+doc_id must be an integer or cast to one (else Spark raises). Null texts have no words. Texts of fewer words than the window keep
+all. A text longer than a chunk is one chunk of its own. A null doc_id sorts before all others; rows of equal doc_id are in
+the order in which they are first scanned, later ones repeat earlier ones. Extra columns are not read. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, partitions, stage, text_of
+from .common import partitions, shared_folder, stage, text_of
 
 WIDTH = 20
 CHUNK_WORDS = 500_000
+BUCKET_WORDS = 4_000_000
+TABLE_BYTES = 1 << 26
 ROUNDS = 2
 CHAIN = 3
-CACHE_WORDS = 1_000_000
 NO_ID = -(1 << 63)
 _U = np.uint64
 
 
-class _Names(dict):
-    def __missing__(self, word: bytes) -> int:
-        name = self[word] = xxhash.xxh64_intdigest(word)
-        return name
-
-
-_names = _Names()
-
-
 def mix(a: np.ndarray, b: np.ndarray | int, salt: int = 0) -> np.ndarray:
     x = a * _U(0x9E3779B97F4A7C15) + (b if isinstance(b, np.ndarray) else _U(b)) * _U(0xC2B2AE3D27D4EB4F) + _U(salt * 2 + 1)
     x ^= x >> _U(29)
@@ -58,80 +57,114 @@ def mix(a: np.ndarray, b: np.ndarray | int, salt: int = 0) -> np.ndarray:
 
 
 class Chunk:
-    """Some documents, in order; `name` and `doc` by word."""
-
-    def __init__(self, ids: list[int], texts: list[bytes]) -> None:
-        if len(_names) > CACHE_WORDS:
-            _names.clear()
-        self.ids = np.array(ids, np.int64)
-        self.words = [t.split() for t in texts]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
-        n = int(self.sizes.sum())
-        get = _names.__getitem__
-        self.name = np.fromiter((get(w) for ws in self.words for w in ws), np.uint64, n)
-        self.doc = np.repeat(np.arange(len(ids)), self.sizes)
+    """Some documents, in order, as the places of their words among the distinct ones."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, words: list[bytes], index: np.ndarray) -> None:
+        self.ids, self.sizes, self.words, self.index = ids, sizes, words, index
+        self.name = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)[index]
+        self.doc = np.repeat(np.arange(len(ids)), sizes)
 
     def starts(self, width: int) -> np.ndarray:
         """The words at which a window starts."""
         n = len(self.doc)
         return np.flatnonzero(self.doc[: n - width + 1] == self.doc[width - 1 :]) if n >= width else np.zeros(0, np.int64)
 
-    def anchors(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each window its anchor's name and place (-1: fewer than CHAIN inner symbols)."""
+    def parse(self, width: int, replies: list) -> Parse:
+        """The rounds that are answered, and what the next one has to name. A reply gives the names of this chunk's distinct
+        runs and pairs of a round, in order; 0 stands for those that stand once."""
         first = self.starts(width)
-        lo, hi = first.copy(), first + width - 1  # inner symbols, both ends included
-        name, doc = self.name, self.doc
-        for turn in range(ROUNDS):
-            # runs: the outermost run of a window may go on outside
-            new = np.r_[True, (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])] if len(name) else np.zeros(0, bool)
-            at = np.flatnonzero(new)
-            index = np.cumsum(new) - 1
-            length = np.diff(np.r_[at, len(name)]).astype(np.uint64)
-            name, doc = np.where(length > 1, mix(name[at], length, 3 * turn), name[at]), doc[at]
-            empty = lo > hi
-            lo, hi = index[np.minimum(lo, len(index) - 1)] + 1, index[np.maximum(hi, 0)] - 1
-            hi[empty] = lo[empty] - 1
-            # pairs: a low symbol takes in a high one on its right, so only a high first or a low last one may go on outside
-            high = (mix(name, 0, 3 * turn + 1) & _U(1)).astype(bool)
-            taken = np.r_[False, ~high[:-1] & high[1:] & (doc[1:] == doc[:-1])] if len(name) else np.zeros(0, bool)
-            at = np.flatnonzero(~taken)
-            index = np.cumsum(~taken) - 1
-            follows = np.r_[taken[1:], False][at] if len(name) else np.zeros(0, bool)
-            paired = mix(name[at], name[np.minimum(at + 1, len(name) - 1)], 3 * turn + 2) if len(name) else name
-            empty = lo > hi
-            safe_lo, safe_hi = np.clip(lo, 0, len(high) - 1), np.clip(hi, 0, len(high) - 1)
-            lo, hi = index[safe_lo] + high[safe_lo], index[safe_hi] - ~high[safe_hi]
-            hi[empty] = lo[empty] - 1
-            name, doc = np.where(follows, paired, name[at]), doc[at]
-        n = len(name) - CHAIN + 1
-        place = np.full(len(first), -1, np.int64)
-        if n > 0:
-            chain = mix(mix(name[:n], name[1 : n + 1], 97), name[2 : n + 2], 98)
-            last = hi - CHAIN + 1
-            some = np.flatnonzero(last >= lo)
-            place[some] = _least(chain, lo[some], last[some])
-        else:
-            chain = name[:0]
-        return chain, place
+        out = Parse(self.name, self.doc, first.copy(), first + width - 1, np.ones(len(first), bool))
+        for turn in range(len(replies) + 1):
+            out.step(turn, replies[turn] if turn < len(replies) else None)
+        return out
 
     def window_names(self, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """128-bit names of the windows that start at the given words."""
+        """128-bit names of the windows that start at the given words, as two halves."""
+        whole = b"".join(xxhash.xxh3_128_digest(w) for w in self.words)
+        halves = np.frombuffer(whole, ">u8").astype(np.uint64).reshape(-1, 2)
         out = []
-        for salt in (11, 12):
-            level, span, done, covered = self.name, 1, None, 0
+        for salt in (0, 1):
+            level, span, done, covered = halves[self.index, salt], 1, None, 0
             while True:
                 if width & span:
                     part = level[at + covered]
-                    done = part if done is None else mix(done, part, salt + 40)
+                    done = part if done is None else mix(done, part, salt + 51)
                     covered += span
                 if span * 2 > width:
                     break
-                level = mix(level[:-span], level[span:], salt)
+                level = mix(level[:-span], level[span:], salt + 11)
                 span *= 2
             out.append(done)
         return out[0], out[1]
 
 
+class Parse:
+    """Symbols by name and document, and for each window its inner symbols lo..hi (both included) and whether it may repeat."""
+
+    def __init__(self, name: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, alive: np.ndarray) -> None:
+        self.name, self.doc, self.lo, self.hi, self.alive = name, doc, lo, hi, alive
+        self.left = self.right = np.zeros(0, np.uint64)  # the next round's distinct runs (right is 0) and pairs
+        self.many = np.zeros(0, bool)
+
+    def step(self, turn: int, reply) -> None:
+        if not len(self.name):
+            return
+        name, doc, lo, hi = self.name, self.doc, self.lo, self.hi
+        # runs: the outermost run of a window may go on outside
+        new = np.r_[True, (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])]
+        at = np.flatnonzero(new)
+        index = np.cumsum(new) - 1
+        length = np.diff(np.r_[at, len(name)]).astype(np.uint64)
+        run = (length > 1) & (name[at] != 0)
+        code, doc = np.where(run, mix(name[at], length, 3 * turn), name[at]), doc[at]
+        empty = lo > hi
+        lo, hi = index[np.minimum(lo, len(index) - 1)] + 1, index[np.maximum(hi, 0)] - 1
+        hi[empty] = lo[empty] - 1
+        # pairs: a low symbol takes in a high one on its right, so only a high first or a low last one may go on outside
+        high = (mix(code, 0, 3 * turn + 1) & _U(1)).astype(bool)
+        taken = np.r_[False, ~high[:-1] & high[1:] & (doc[1:] == doc[:-1])]
+        at = np.flatnonzero(~taken)
+        index = np.cumsum(~taken) - 1
+        pair = np.r_[taken[1:], False][at]
+        after = code[np.minimum(at + 1, len(code) - 1)]
+        left, right = code[at], np.where(pair, after, _U(0))
+        dead = (left == 0) | (pair & (after == 0))  # holds what stands once
+        asked = np.flatnonzero((pair | run[at]) & ~dead)
+        order, starts = _groups(mix(left[asked], right[asked], 3 * turn + 2), left[asked], right[asked])
+        leads = asked[order[starts]]
+        if reply is None:
+            self.left, self.right, self.many = left[leads], right[leads], np.diff(np.r_[starts, len(order)]) > 1
+            return
+        names = reply(self.keys(left[leads], right[leads], turn))
+        found = np.where(dead, _U(0), left)
+        found[asked[order]] = np.repeat(names, np.diff(np.r_[starts, len(order)]))
+        empty = lo > hi
+        safe_lo, safe_hi = np.clip(lo, 0, len(high) - 1), np.clip(hi, 0, len(high) - 1)
+        lo, hi = index[safe_lo] + high[safe_lo], index[safe_hi] - ~high[safe_hi]
+        hi[empty] = lo[empty] - 1
+        before = np.r_[0, np.cumsum(found == 0)]
+        inner = lo <= hi
+        self.alive[inner] &= before[hi[inner] + 1] == before[lo[inner]]
+        self.name, self.doc, self.lo, self.hi = found, doc[at], lo, hi
+
+    @staticmethod
+    def keys(left: np.ndarray, right: np.ndarray, turn: int) -> np.ndarray:
+        """By which runs and pairs are dealt to buckets; they are in this order."""
+        return mix(left, right, 3 * turn + 2)
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The chains' names, and for each window its anchor's place (-1: fewer than CHAIN inner symbols)."""
+        n = len(self.name) - CHAIN + 1
+        place = np.full(len(self.lo), -1, np.int64)
+        if n <= 0:
+            return self.name[:0], place
+        chain = mix(mix(self.name[:n], self.name[1 : n + 1], 97), self.name[2 : n + 2], 98)
+        last = self.hi - CHAIN + 1
+        some = np.flatnonzero((last >= self.lo) & self.alive)
+        place[some] = _least(chain, self.lo[some], last[some])
+        return chain, place
+
+
 def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """The place of the first least value in each range."""
     out = np.zeros(len(lo), np.int64)
@@ -161,64 +194,121 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def _shares(sorted_high: np.ndarray, buckets: int) -> np.ndarray:
+def _shares(sorted_names: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket begins among ascending 64-bit names; buckets are equal ranges."""
-    return np.searchsorted(sorted_high >> _U(32), (np.arange(buckets + 1, dtype=np.uint64) << _U(32)) // _U(buckets))
+    return np.searchsorted(sorted_names >> _U(32), (np.arange(buckets + 1, dtype=np.uint64) << _U(32)) // _U(buckets))
 
 
-def _chunk_rows(of):
-    """Scanned documents to chunks in a fixed manner: of(chunk number, Chunk or packed bytes) gives record batches."""
+_CHUNK = "chunk long, doc_ids binary, sizes binary, words array<binary>, places binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        ids, rows, texts, size = [], [], [], 0
-        for batch in batches:
-            at = batch.schema.get_field_index
-            for i, r, t in zip(batch.column(at("doc_id")).to_pylist(), batch.column(at("row")).to_pylist(), as_bytes(batch, "text"), strict=True):
-                ids.append(NO_ID if i is None else i)
-                rows.append(r)
-                texts.append(t)
-                size += len(t) // 6 + 1
-                if size >= CHUNK_WORDS:
-                    yield of(number, *_in_order(ids, rows, texts))
-                    ids, rows, texts, size, number = [], [], [], 0, number + 1
-        if ids:
-            yield of(number, *_in_order(ids, rows, texts))
 
-    return run
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scanned documents (doc_id, text) to chunks."""
+    number = TaskContext.get().partitionId() << 32
+    ids: list[int] = []
+    texts: list[pa.Array] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        order = np.argsort(np.array(ids, np.int64), kind="stable")
+        split = pc.ascii_split_whitespace(pa.concat_arrays(texts).take(pa.array(order)))
+        flat, cuts = split.values, split.offsets.to_numpy().astype(np.int64)
+        real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)  # white space at a text's end splits off an empty word
+        cuts = np.r_[0, np.cumsum(real)][cuts]
+        coded = flat.filter(pa.array(real)).dictionary_encode()
+        row = [number, np.array(ids, np.int64)[order].tobytes(), np.diff(cuts).tobytes(), coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy().astype(np.uint32).tobytes()]
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["chunk", "doc_ids", "sizes", "words", "places"])
+
+    for batch in batches:
+        need = pc.add(pc.divide(pc.binary_length(batch.column(1)), 6), 1).to_pylist()
+        names, lo = batch.column(0).to_pylist(), 0
+        for k, more in enumerate(need):
+            ids.append(NO_ID if names[k] is None else names[k])
+            size += more
+            if size >= CHUNK_WORDS or k == len(need) - 1:
+                texts.append(batch.column(1).slice(lo, k + 1 - lo))
+                lo = k + 1
+            if size >= CHUNK_WORDS:
+                yield out()
+                ids, texts, size, number = [], [], 0, number + 1
+    if ids:
+        yield out()
+
+
+def _chunk_of(r: dict) -> Chunk:
+    return Chunk(np.frombuffer(r["doc_ids"], np.int64), np.frombuffer(r["sizes"], np.int64), r["words"], np.frombuffer(r["places"], np.uint32))
+
+
+def _names_in(reply: list[dict] | None, turn: int, buckets: int):
+    """A round's reply as a function of the sorted keys of a chunk's runs and pairs: their names, 0 for those that stand once."""
+
+    def names(keys: np.ndarray) -> np.ndarray:
+        cut = _shares(keys, buckets)
+        out = np.zeros(len(keys), np.uint64)
+        for r in reply or []:
+            k = r["bucket"]
+            number = np.frombuffer(r["bits"], np.uint32).astype(np.uint64)
+            out[cut[k] : cut[k + 1]] = np.where(number > 0, (_U(turn + 1) << _U(60)) | (_U(k) << _U(32)) | number, _U(0))
+        return out
 
+    return names
 
-def _in_order(ids: list[int], rows: list[int], texts: list[bytes]) -> tuple[list[int], list[int], list[bytes]]:
-    order = sorted(range(len(ids)), key=lambda k: (ids[k], rows[k]))
-    return [ids[k] for k in order], [rows[k] for k in order], [texts[k] for k in order]
 
+def _parsed(r: dict, chunk: Chunk, width: int, turns: int, buckets: int) -> Parse:
+    return chunk.parse(width, [_names_in(r[f"names{t}"], t, buckets) for t in range(turns)])
 
-def _pack(number: int, ids: list[int], rows: list[int], texts: list[bytes]) -> pa.RecordBatch:
-    sizes = np.array([len(t) for t in texts], np.int64)
-    blob = zstandard.ZstdCompressor(level=3).compress(np.array(ids, np.int64).tobytes() + np.array(rows, np.int64).tobytes() + sizes.tobytes() + b"".join(texts))
-    return pa.RecordBatch.from_pydict({"chunk": pa.array([number], pa.int64()), "docs": pa.array([len(ids)], pa.int64()), "packed": pa.array([blob], pa.binary())})
 
+def _symbol_rows(width: int, turn: int, buckets: int):
+    """A chunk's distinct runs and pairs of a round by bucket, and which of them stand more than once in it."""
 
-def _unpack(n: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    ids, rows, sizes = np.frombuffer(raw, np.int64, 3 * n).reshape(3, n)
-    ends = 24 * n + np.cumsum(sizes)
-    return ids, rows, [raw[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            p = _parsed(r, _chunk_of(r), width, turn, buckets)
+            cut = _shares(p.keys(p.left, p.right, turn), buckets)
+            used = [k for k in range(buckets) if cut[k + 1] > cut[k]]
+            cols = [pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in used], pa.binary()) for x in (p.left, p.right)]
+            many = pa.array([np.packbits(p.many[cut[k] : cut[k + 1]]).tobytes() for k in used], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([r["chunk"]] * len(used), pa.int64()), *cols, many], ["bucket", "chunk", "left", "right", "many"])
+
+    return run
+
+
+def _named(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Numbers a bucket's runs and pairs: from 1 for those that stand more than once anywhere, 0 for the others."""
+    left, right = (np.frombuffer(b"".join(pdf[c]), np.uint64) for c in ("left", "right"))
+    sizes = [len(x) // 8 for x in pdf["left"]]
+    many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(pdf["many"], sizes, strict=True)]).astype(bool)
+    order, first = _groups(left, right)
+    group = np.zeros(len(order), np.int64)
+    group[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
+    again = (np.bincount(group) > 1) | (np.bincount(group, many) > 0)
+    number = np.where(again, np.cumsum(again), 0).astype(np.uint32)[group]
+    cuts = np.cumsum([0, *sizes])
+    out = [(c, b, number[cuts[k] : cuts[k + 1]].tobytes()) for k, (c, b) in enumerate(zip(pdf["chunk"], pdf["bucket"], strict=True))]
+    return pd.DataFrame(out, columns=["chunk", "bucket", "bits"])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
 
 
 def _anchor_rows(width: int, buckets: int):
     """A chunk's distinct anchors by bucket, and which of them stand more than once in it."""
 
-    def of(number: int, ids: list[int], rows: list[int], texts: list[bytes]) -> pa.RecordBatch:
-        names, many = _own_anchors(*Chunk(ids, texts).anchors(width))
-        cut = _shares(names, buckets)
-        used = [k for k in range(buckets) if cut[k + 1] > cut[k]]
-        return pa.RecordBatch.from_pydict({
-            "bucket": pa.array(used, pa.int32()), "chunk": pa.array([number] * len(used), pa.int64()),
-            "names": pa.array([names[cut[k] : cut[k + 1]].tobytes() for k in used], pa.binary()), "many": pa.array([np.packbits(many[cut[k] : cut[k + 1]]).tobytes() for k in used], pa.binary()),
-        })
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            names, many = _own_anchors(*_parsed(r, _chunk_of(r), width, ROUNDS, buckets).anchors())
+            cut = _shares(names, buckets)
+            used = [k for k in range(buckets) if cut[k + 1] > cut[k]]
+            yield pa.RecordBatch.from_pydict({
+                "bucket": pa.array(used, pa.int32()), "chunk": pa.array([r["chunk"]] * len(used), pa.int64()),
+                "names": pa.array([names[cut[k] : cut[k + 1]].tobytes() for k in used], pa.binary()), "many": pa.array([np.packbits(many[cut[k] : cut[k + 1]]).tobytes() for k in used], pa.binary()),
+            })
 
-    return _chunk_rows(of)
+    return run
 
 
 def _own_anchors(chain: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,13 +344,14 @@ def _flags(reply: list[dict] | None, cut: np.ndarray) -> np.ndarray:
     return out
 
 
-def _candidates(chunk: Chunk, reply: list[dict] | None, width: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _candidates(r: dict, chunk: Chunk, width: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words at which windows start that may repeat, their names (two halves), and their order and groups by name."""
-    chain, place = chunk.anchors(width)
+    p = _parsed(r, chunk, width, ROUNDS, buckets)
+    chain, place = p.anchors()
     names, _ = _own_anchors(chain, place)
-    again = _flags(reply, _shares(names, buckets))
-    may = place < 0
-    known = np.flatnonzero(~may)
+    again = _flags(r["anchors"], _shares(names, buckets))
+    may = p.alive.copy()
+    known = np.flatnonzero(place >= 0)
     if len(known):
         may[known] = again[np.searchsorted(names, chain[place[known]])]
     at = chunk.starts(width)[may]
@@ -273,17 +364,15 @@ def _window_rows(width: int, buckets: int):
     """A chunk's distinct candidate windows by bucket, each with the first document that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, _, texts = _unpack(r["docs"], r["packed"])
-                chunk = Chunk(ids, texts)
-                at, high, low, order, first = _candidates(chunk, r["reply"], width, buckets)
-                lead = order[first]  # the order is stable, so a group's first is its earliest place
-                high, low, doc = high[lead], low[lead], chunk.ids[chunk.doc[at[lead]]]
-                cut = _shares(high, buckets)
-                used = [k for k in range(buckets) if cut[k + 1] > cut[k]]
-                cols = [pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in used], pa.binary()) for x in (high, low, doc)]
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([r["chunk"]] * len(used), pa.int64()), *cols], ["bucket", "chunk", "high", "low", "doc"])
+        for r in _rows(batches):
+            chunk = _chunk_of(r)
+            at, high, low, order, first = _candidates(r, chunk, width, buckets)
+            lead = order[first]  # the order is stable, so a group's first is its earliest place
+            high, low, doc = high[lead], low[lead], chunk.ids[chunk.doc[at[lead]]]
+            cut = _shares(high, buckets)
+            used = [k for k in range(buckets) if cut[k + 1] > cut[k]]
+            cols = [pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in used], pa.binary()) for x in (high, low, doc)]
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([r["chunk"]] * len(used), pa.int64()), *cols], ["bucket", "chunk", "high", "low", "doc"])
 
     return run
 
@@ -301,12 +390,12 @@ def _later(pdf: pd.DataFrame) -> pd.DataFrame:
     return _bits(pdf, later, sizes)
 
 
-def _removals(chunk: Chunk, reply: list[dict] | None, later: list[dict] | None, width: int, buckets: int) -> np.ndarray:
+def _removals(r: dict, chunk: Chunk, width: int, buckets: int) -> np.ndarray:
     """Which words of a chunk go."""
-    at, high, _, order, first = _candidates(chunk, reply, width, buckets)
+    at, high, _, order, first = _candidates(r, chunk, width, buckets)
     gone = np.zeros(len(at), bool)
     if len(at):
-        elsewhere = _flags(later, _shares(high[order[first]], buckets))
+        elsewhere = _flags(r["later"], _shares(high[order[first]], buckets))
         gone[order] = np.repeat(elsewhere, np.diff(np.r_[first, len(order)]))
         here = np.ones(len(at), bool)
         here[order[first]] = False  # all but the earliest in this chunk repeat it
@@ -317,39 +406,51 @@ def _removals(chunk: Chunk, reply: list[dict] | None, later: list[dict] | None,
     return np.cumsum(edge[:-1]) > 0
 
 
+def _chunk_table(docs: DataFrame) -> DataFrame:
+    """The chunks as a table in the shared folder, bucketed by chunk."""
+    spark = docs.sparkSession
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    name, n = f"chunks_{uuid.uuid4().hex}", max(partitions(spark), int(size // TABLE_BYTES) + 1)
+    rows = source.mapInArrow(_chunks, _CHUNK)
+    rows.repartition(n, "chunk").write.bucketBy(n, "chunk").option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (and text: the kept words joined by one space)."""
-    spark = docs.sparkSession
-    buckets = 4 * partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("row", F.monotonically_increasing_id())
+    chunks = _chunk_table(docs)
+    n_words = chunks.agg(F.sum(F.length("places") / 4)).first()[0] or 0
+    buckets = max(partitions(docs.sparkSession), int(n_words // BUCKET_WORDS) + 1)
     reply_type = "chunk long, bucket int, bits binary"
-    anchors = rows.mapInArrow(_anchor_rows(width, buckets), "bucket int, chunk long, names binary, many binary")
-    again = _gathered(anchors.groupBy("bucket").applyInPandas(_repeated, reply_type), "reply")
-    packed = rows.mapInArrow(_chunk_rows(_pack), "chunk long, docs long, packed binary")
-    windows = packed.join(again, "chunk", "left").mapInArrow(_window_rows(width, buckets), "bucket int, chunk long, high binary, low binary, doc binary")
-    later = _gathered(windows.groupBy("bucket").applyInPandas(_later, reply_type), "later")
+    state = chunks
+    for turn in range(ROUNDS):
+        asked = state.mapInArrow(_symbol_rows(width, turn, buckets), "bucket int, chunk long, left binary, right binary, many binary")
+        state = state.join(_gathered(asked.groupBy("bucket").applyInPandas(_named, reply_type), f"names{turn}"), "chunk", "left")
+    anchors = state.mapInArrow(_anchor_rows(width, buckets), "bucket int, chunk long, names binary, many binary")
+    state = state.join(_gathered(anchors.groupBy("bucket").applyInPandas(_repeated, reply_type), "anchors"), "chunk", "left")
+    windows = state.mapInArrow(_window_rows(width, buckets), "bucket int, chunk long, high binary, low binary, doc binary")
+    state = state.join(_gathered(windows.groupBy("bucket").applyInPandas(_later, reply_type), "later"), "chunk", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, _, texts = _unpack(r["docs"], r["packed"])
-                chunk = Chunk(ids, texts)
-                gone = _removals(chunk, r["reply"], r["later"], width, buckets)
-                ends = np.cumsum(chunk.sizes)
-                out = []
-                for i, w, e in zip(ids.tolist(), chunk.words, ends.tolist(), strict=True):
-                    g = gone[e - len(w) : e]
-                    kept = b" ".join(w if not g.any() else [x for x, y in zip(w, g.tolist(), strict=True) if not y])
-                    out.append((None if i == NO_ID else i, len(w), int(g.sum()), hashlib.sha256(kept).hexdigest(), kept))
-                cols = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=False)]
-                if with_text:
-                    cols.append(pa.array([x[4].decode() for x in out], pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text)
-
-    both = packed.join(again, "chunk", "left").join(later, "chunk", "left").select("chunk", "docs", "packed", "reply", "later")
-    return both.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
+        for r in _rows(batches):
+            chunk = _chunk_of(r)
+            gone = _removals(r, chunk, width, buckets)
+            cuts = np.r_[0, np.cumsum(chunk.sizes)]
+            kept = np.r_[0, np.cumsum(~gone)][cuts]
+            words = pa.array(chunk.words, pa.binary()).take(pa.array(chunk.index[~gone]))
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(kept, pa.int32()), words), b" ")
+            cols = [
+                pa.array([None if i == NO_ID else i for i in chunk.ids.tolist()], pa.int64()), pa.array(chunk.sizes, pa.int64()), pa.array(chunk.sizes - np.diff(kept), pa.int64()),
+                pa.array([hashlib.sha256(t).hexdigest() for t in texts.to_pylist()], pa.string()),
+            ]
+            if with_text:
+                cols.append(texts.cast(pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text)
+
+    return state.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
 
 
 def _gathered(replies: DataFrame, name: str) -> DataFrame:
-    """A row for each chunk: its replies, one for each bucket at most. Written, as two later steps read them."""
+    """A row for each chunk: its replies, one for each bucket at most. Written, as all later steps read them."""
     return stage(replies, name).groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
