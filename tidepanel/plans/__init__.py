@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers them all."""
 
-from . import choosing, periods, selection, storing, transforms, weighting  # noqa: F401
+from . import choosing, facts, periods, selection, storing, streams, testing, transforms, weighting  # noqa: F401

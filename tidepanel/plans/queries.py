@@ -306,21 +306,23 @@ def factor_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return research.bucket_returns(f, "factor", "label", 4).select("bucket", "n", _r("mean_label", "mean_label"), _r("median_label", "median_label"))
 
 
-def _splits_sql() -> str:
-    return ", ".join(f"({s},{b},{i})" for s, b, i in research.cscv_splits(6))
+SPLIT_RETURNS = f"""{TYPE}, r0 AS (SELECT ts, market AS candidate, round(price / lag(price) OVER ({WM}) - 1, 8) AS ret FROM panel), rr AS (SELECT * FROM r0 WHERE ret IS NOT NULL), dd AS (SELECT ts, CAST(floor((row_number() OVER (ORDER BY ts) - 1) * 6 / count(*) OVER ()) AS INTEGER) AS block FROM (SELECT DISTINCT ts FROM rr)),
+rb AS (SELECT rr.*, block FROM rr JOIN dd USING (ts)), sp AS (SELECT m.split, b.block, CAST((m.split >> b.block) & 1 AS INTEGER) AS inside FROM (SELECT range AS split FROM range(64) WHERE bit_count(range) = 3) m, (SELECT CAST(range AS INTEGER) AS block FROM range(6)) b),
+sc AS (SELECT split, inside, candidate, round(avg(ret) / stddev_pop(ret) * sqrt(252), 10) AS score FROM rb JOIN sp USING (block) GROUP BY 1, 2, 3),
+bs AS (SELECT split, candidate, max(score) FILTER (inside = 1) AS ins, max(score) FILTER (inside = 0) AS outs FROM sc GROUP BY 1, 2),
+kk AS (SELECT *, (rank() OVER (PARTITION BY split ORDER BY outs) + (count(*) OVER (PARTITION BY split, outs) - 1) / 2.0) / (count(*) OVER (PARTITION BY split) + 1) AS oos_rank, row_number() OVER (PARTITION BY split ORDER BY ins DESC, candidate) AS best FROM bs),
+sel AS (SELECT split, candidate, ins, outs, oos_rank, ln(oos_rank / (1 - oos_rank)) AS logit FROM kk WHERE best = 1)"""
 
 
-@_registered(f"""WITH {SIZE}, r AS (SELECT market AS candidate, (year(ts) - 1995) % 6 AS block, round(price / lag(price) OVER ({WM}) - 1, 8) AS ret FROM panel),
-st AS (SELECT candidate, block, count(ret) AS n, sum(ret) AS s, sum(ret * ret) AS ss FROM r WHERE ret IS NOT NULL GROUP BY 1, 2), sp(split, block, inside) AS (VALUES {_splits_sql()}),
-m AS (SELECT split, inside, candidate, sum(n) AS n, sum(s) AS s, sum(ss) AS ss FROM st JOIN sp USING (block) GROUP BY 1, 2, 3),
-sc AS (SELECT *, round(CASE WHEN ss / n - (s / n) * (s / n) > 1e-18 THEN (s / n) / sqrt(ss / n - (s / n) * (s / n)) END, 10) AS score FROM m),
-b AS (SELECT split, candidate, max(CASE WHEN inside = 1 THEN score END) AS ins, max(CASE WHEN inside = 0 THEN score END) AS outs FROM sc GROUP BY 1, 2),
-k AS (SELECT *, (rank() OVER (PARTITION BY split ORDER BY outs) + (count(*) OVER (PARTITION BY split, outs) - 1) / 2.0) / (count(*) OVER (PARTITION BY split) + 1) AS oos_rank, row_number() OVER (PARTITION BY split ORDER BY ins DESC, candidate) AS best FROM b)
-SELECT split, candidate, round(ins, 6) AS is_score, round(outs, 6) AS oos_score, round(oos_rank, 6) AS oos_rank, round(ln(oos_rank / (1 - oos_rank)), 6) AS logit FROM k WHERE best = 1""")
+def _split_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = panel.build_panel(spark, sf_dir, "type")
+    r = p.select("ts", F.col("market").alias("candidate"), F.round(rolling.simple_return(F.col("price")), 8).alias("ret")).where("ret is not null")
+    return research.consecutive_blocks(r, 6)
+
+
+@_registered(f"WITH {SPLIT_RETURNS} SELECT split, candidate, round(ins, 6) AS is_score, round(outs, 6) AS oos_score, round(oos_rank, 6) AS oos_rank, round(logit, 6) AS logit FROM sel")
 def cscv_overfitting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = panel.build_panel(spark, sf_dir, "size")
-    r = p.select(F.col("market").alias("candidate"), ((F.year("ts") - 1995) % 6).alias("block"), F.round(rolling.simple_return(F.col("price")), 8).alias("ret")).where("ret is not null")
-    s = research.cscv_selection(r, 6)
+    s = research.cscv_selection(research.split_scores(_split_returns(spark, sf_dir), research.cscv_splits(spark, 6)))
     return s.select("split", "candidate", *[_r(c, c) for c in ("is_score", "oos_score", "oos_rank", "logit")])
 
 
