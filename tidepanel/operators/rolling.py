@@ -250,12 +250,14 @@ def holding_state(df: DataFrame, entry: str, leave: str, cooldown: int = 0, long
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", ignore_index=True)
-        return pdf.assign(held=_holdings(pdf[entry].to_numpy(float), pdf[leave].to_numpy(float), cooldown, longest))
+        return pdf.assign(held=holdings(pdf[entry].to_numpy(float), pdf[leave].to_numpy(float), cooldown, longest)[0])
 
-    return _nan_to_null(df.groupBy("market").applyInPandas(run, schema), "held")
+    return nan_to_null(df.groupBy("market").applyInPandas(run, schema), "held")
 
 
-def _holdings(entry: np.ndarray, leave: np.ndarray, cooldown: int, longest: int | None) -> np.ndarray:
+def holdings(entry: np.ndarray, leave: np.ndarray, cooldown: int, longest: int | None) -> tuple[np.ndarray, int]:
+    """held, and the row from which on the rest comes out the same without the rows before it: the start of a holding that is not over
+    and free of its conditions yet, or the end of the rows."""
     n = len(entry)
     known = ~(np.isnan(entry) | np.isnan(leave))
     places, opens, closes, resets = (np.flatnonzero(m) for m in (known, known & (entry != 0), known & (leave != 0), entry == 0))
@@ -265,7 +267,7 @@ def _holdings(entry: np.ndarray, leave: np.ndarray, cooldown: int, longest: int
         k = int(np.searchsorted(where, at))
         return int(where[k]) if k < len(where) else n
 
-    start = first_from(opens, 0)
+    start, resume = first_from(opens, 0), n
     while start < n:
         limit = n if longest is None else start + longest
         end = min(first_from(closes, start + 1), limit, n)
@@ -276,9 +278,10 @@ def _holdings(entry: np.ndarray, leave: np.ndarray, cooldown: int, longest: int
             out[end] = 0.0
             if entry[end] != 0:
                 free = max(free, first_from(resets, end + 1))
+        resume = start if free == n else n
         start = first_from(opens, free)
-    return out
+    return out, resume
 
 
-def _nan_to_null(df: DataFrame, name: str) -> DataFrame:
+def nan_to_null(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.when(~F.isnan(name), F.col(name)))

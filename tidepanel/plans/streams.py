@@ -51,7 +51,7 @@ def streamed_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream, path = _in_parts(flags, "flags", "ts", 3)
     held = state.stream_holdings(stream)
     held.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return rolling._nan_to_null(spark.read.schema(held.schema).parquet(f"{path}/out"), "held").select(F.col("ts").cast("timestamp_ntz").alias("ts"), "market", "held")
+    return rolling.nan_to_null(spark.read.schema(held.schema).parquet(f"{path}/out"), "held").select(F.col("ts").cast("timestamp_ntz").alias("ts"), "market", "held")
 
 
 @_registered(f"""WITH {TYPE} SELECT market, CAST(max(ts) AS TIMESTAMP) AS ts, arg_max(volume, ts) AS volume FROM panel GROUP BY market""")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.asof import upsert
-from ..operators.rolling import _holdings
+from ..operators.rolling import holdings
 from ..operators.weights import latest_targets
 
 HELD = "market string, ts timestamp, held double"
@@ -21,30 +21,21 @@ CARRY = "entry array<double>, leave array<double>"
 
 def stream_holdings(flags: DataFrame, cooldown: int = 0, longest: int | None = None) -> DataFrame:
     """held of rolling.holding_state() over a stream of market, ts, entry, leave whose batches come in order of time. What is kept of a
-    market are its flags since it was last free of all conditions (out, cooled down and open to an entry), so the state is as long as
-    one holding and its cooldown."""
+    market are its flags since the start of a holding that is not over, cooled down and open to an entry, so the state is as long as one
+    holding and its cooldown."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(parts)).sort_values("ts", ignore_index=True)
         entry, leave = (np.array(x, float) for x in state.get) if state.exists else (np.zeros(0), np.zeros(0))
         before = len(entry)
         entry, leave = (np.concatenate([old, new[c].to_numpy(float)]) for old, c in ((entry, "entry"), (leave, "leave")))
-        held = _holdings(entry, leave, cooldown, longest)
-        free = _free(entry, leave, held, cooldown, longest)
-        state.update((entry[free:].tolist(), leave[free:].tolist()))
+        held, resume = holdings(entry, leave, cooldown, longest)
+        state.update((entry[resume:].tolist(), leave[resume:].tolist()))
         yield pd.DataFrame({"market": key[0], "ts": new["ts"], "held": held[before:]})
 
     return flags.groupBy("market").applyInPandasWithState(step, HELD, CARRY, "append", GroupStateTimeout.NoTimeout)
 
 
-def _free(entry: np.ndarray, leave: np.ndarray, held: np.ndarray, cooldown: int, longest: int | None) -> int:
-    """The first row from which on the rest has the same state whether the rows before it are there or not."""
-    starts = np.flatnonzero((held == 1) & (np.r_[0.0, np.nan_to_num(held[:-1])] != 1))
-    known_start = [k for k in starts.tolist() if k]
-    # a holding starts only where nothing is left of what was before
-    return known_start[-1] if known_start else 0
-
-
 def keep_current(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str):
     """Upserts each batch into a table of versions: path/v=N holds the table after batch N; of a batch's rows of one key the last by
     `order` counts, and a row that comes late replaces its key all the same. A batch that is run again writes the same version."""
