@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.functions import text
-from tidepanel.operators import blends, calendar, covariance, rolling, statements, tables, universe, weights
+from tidepanel.operators import blends, calendar, covariance, resample, rolling, statements, tables, universe, weights
 from tidepanel.operators import cross_section as xs
 from tidepanel.plans import spec
 from tidepanel.sources import files
@@ -254,3 +254,25 @@ def test_adjustments_by_hand(spark):
 
 def test_calendar_places():
     assert calendar.per_year("240m") == 365 * 6 and calendar.per_year("day") == 252 and calendar.per_year("4h") == 365 * 6
+
+
+def test_confidence_set_equals_a_plain_version(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 4)) + np.array([0.0, 0.5, -0.4, 0.45])
+    df = spark.createDataFrame([(c, day(t), float(x[t, k])) for t in range(60) for k, c in enumerate("abcd")], "candidate string, ts date, d double")
+    got = {r.candidate: (r.order, r.p) for r in resample.confidence_set(df, 5, 30, 1).collect()}
+    at = resample.stationary_positions(spark.createDataFrame([(60,)], "n long"), 5, 30, 1).toPandas()
+    boot = np.stack([x[at[at["rep"] == r].sort_values("k")["pos"]].mean(0) for r in range(30)])
+    left, floor, want = [0, 1, 2, 3], 0.0, {}
+    while len(left) > 1:
+        dev = boot[:, left] - x[:, left].mean(0)
+        dev = dev - dev.mean(1, keepdims=True)
+        gap, sd = x[:, left].mean(0) - x[:, left].mean(), np.sqrt((dev**2).mean(0))
+        t = -gap / sd
+        floor = max(floor, ((-dev / sd).max(1) >= t.max()).mean())
+        out = left.pop(int(t.argmax()))
+        want["abcd"[out]] = (4 - len(left), floor)
+    want["abcd"[left[0]]] = (4, 1.0)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and [got[k][1] for k in "abcd"] == pytest.approx([want[k][1] for k in "abcd"])
+    counts = at.groupby("rep").size()
+    assert (counts == 60).all() and at["pos"].between(0, 59).all()

@@ -142,3 +142,30 @@ def without_twins(returns: DataFrame) -> DataFrame:
     keys = returns.groupBy("candidate").agg(F.count("*").alias("__n"), digest.alias("__h"))
     first = keys.groupBy("__n", "__h").agg(F.min("candidate").alias("candidate"))
     return returns.join(first.select("candidate"), "candidate", "left_semi")
+
+
+def confidence_set(returns: DataFrame, block: int, reps: int, seed: int) -> DataFrame:
+    """candidate, mean, order, p: candidates leave one by one, each time the one furthest below the mean of those left, by studentised
+    deviations; p is the share of replicates with a deviation as large, and never less than that of one that left before. Who has
+    p above a level is in the set of that level; the last one has p = 1. The table of candidates by replicate is written once; a
+    step is one pass over it."""
+    from ..sources.files import read_table, scratch, write_table
+
+    stats, means = bootstrap_means(returns, block, reps, seed)
+    spark = returns.sparkSession
+    table = means.join(stats.select("candidate", "mean"), "candidate")
+    left = read_table(spark, write_table(table, scratch(spark, "set-means")))
+    out, floor = [], 0.0
+    for order in range(1, left.select("candidate").distinct().count()):
+        here = Window.partitionBy("rep")
+        dev = (F.col("m") - F.col("mean")) - F.avg(F.col("m") - F.col("mean")).over(here)
+        rows = left.withColumn("__d", dev).withColumn("__g", F.col("mean") - F.avg("mean").over(here))
+        spread = rows.groupBy("candidate").agg(F.sqrt(F.avg(F.col("__d") * F.col("__d"))).alias("__s"), F.first("__g").alias("__g"), F.first("mean").alias("mean"))
+        worst = spread.withColumn("t", F.try_divide(-F.col("__g"), "__s")).orderBy(F.col("t").desc_nulls_last(), "candidate").first()
+        largest = rows.join(spread.select("candidate", "__s"), "candidate").groupBy("rep").agg(F.max(F.try_divide(-F.col("__d"), "__s")).alias("z"))
+        p = largest.agg(F.avg((F.col("z") >= worst.t).cast("double")).alias("p")).first().p
+        floor = max(floor, p)
+        out.append((worst.candidate, worst["mean"], order, floor))
+        left = left.where(F.col("candidate") != worst.candidate)
+    last = left.select("candidate", "mean").distinct().first()
+    return spark.createDataFrame([*out, (last.candidate, last["mean"], len(out) + 1, 1.0)], "candidate string, mean double, `order` int, p double")

@@ -285,3 +285,9 @@ def holdings(entry: np.ndarray, leave: np.ndarray, cooldown: int, longest: int |
 
 def nan_to_null(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.when(~F.isnan(name), F.col(name)))
+
+
+def turnover_percentile(df: DataFrame, x: str, n: int, log1p: bool = True, name: str = "turnover_percentile") -> DataFrame:
+    """Average rank of the turnover among its last n known values, over n."""
+    made = df.withColumn("__t", F.log1p(x) if log1p else F.col(x))
+    return percentile_of_last(made, "__t", n, name).drop("__t")

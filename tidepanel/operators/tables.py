@@ -28,6 +28,13 @@ def changed_keys(old: DataFrame, new: DataFrame, keys: list[str], value: str, by
     return both.where(~F.col(value).eqNullSafe(F.col("__old"))).groupBy(by).agg(F.count("*").alias("n_changed"), F.min(keys[-1]).alias("first_changed"))
 
 
+def changed_after(old: DataFrame, new: DataFrame, key: str, ts: str, value: str) -> DataFrame:
+    """key, anchor, before, after: keys whose first value in new after old's last row (the anchor) differs from the anchor's."""
+    anchor = old.groupBy(key).agg(F.max(ts).alias("anchor"), F.max_by(value, ts).alias("before"))
+    later = new.join(anchor, key).where(F.col(ts) > F.col("anchor")).groupBy(key, "anchor", "before").agg(F.min_by(value, ts).alias("after"))
+    return later.where(~F.col("before").eqNullSafe(F.col("after")))
+
+
 def latest_snapshot(df: DataFrame, anchor: str, columns: list[str]) -> DataFrame:
     """Each market's row at the last time with a known anchor."""
     row = F.max_by(F.struct("ts", *columns), F.when(F.col(anchor).isNotNull(), F.col("ts")))

@@ -225,9 +225,10 @@ def latest_targets(df: DataFrame, target: str, at: Column) -> DataFrame:
     return df.where(F.col("ts") <= at).groupBy("market").agg(F.max("ts").alias("ts"), F.max_by(target, "ts").alias(target))
 
 
-def monthly_union(df: DataFrame, score: str, n: int) -> DataFrame:
-    """Rows of the markets that were among a month's n best by mean score in any month; a month's best count from the next on."""
-    means = df.groupBy("market", F.trunc("ts", "month").alias("ts")).agg(F.round(F.avg(score), 8).alias("__s"))
+def monthly_union(df: DataFrame, score: str, n: int, eligible: Column | None = None) -> DataFrame:
+    """Rows of the markets that were among a month's n best by mean score in any month, over eligible rows only if that is given; a
+    month's best count from the next on."""
+    means = (df if eligible is None else df.where(eligible)).groupBy("market", F.trunc("ts", "month").alias("ts")).agg(F.round(F.avg(score), 8).alias("__s"))
     chosen = means.withColumn("__r", xs.rank(F.col("__s"), descending=True)).where(F.col("__r") <= n)
     since = chosen.groupBy("market").agg(F.add_months(F.min("ts"), 1).alias("__since"))
     return df.join(since, "market").where(F.col("ts") >= F.col("__since")).drop("__since")
