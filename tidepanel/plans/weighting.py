@@ -38,14 +38,14 @@ def fixed_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_registered(f"""WITH {SIZE}, s AS (SELECT *, CAST(sign(price - 1400) AS INTEGER) AS side, CASE WHEN volume > 60 THEN 0.5 ELSE 1.0 END AS m FROM panel), k AS (SELECT * FROM s WHERE side <> 0)
-SELECT ts, market, side, round(side * CASE WHEN side > 0 THEN 0.9 * 0.6 ELSE 0.9 * 0.4 END / count(*) OVER w, 6) AS equal, round(side * CASE WHEN side > 0 THEN 0.9 * 0.6 * m ELSE 0.9 * 0.4 END * volume / sum(volume) OVER w, 6) AS by_volume FROM k WINDOW w AS (PARTITION BY ts, side)""")
+SELECT ts, market, side, round(side * CASE WHEN side > 0 THEN 0.9 * 0.6 ELSE 0.9 * 0.4 END / count(*) OVER w, 9) AS equal, round(side * CASE WHEN side > 0 THEN 0.9 * 0.6 * m ELSE 0.9 * 0.4 END * volume / sum(volume) OVER w, 9) AS by_volume FROM k WINDOW w AS (PARTITION BY ts, side)""")
 def side_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel.build_panel(spark, sf_dir, "size")
     side = F.signum(F.col("price") - 1400)
     equal = weights.side_weights(p, side, 0.9, long_share=0.6).withColumnRenamed("weight", "equal").drop("side")
     scale = F.when(F.col("volume") > 60, 0.5).otherwise(1.0)
     both = weights.side_weights(equal, side, 0.9, F.col("volume"), 0.6, scale_long=scale)
-    return both.select("ts", "market", "side", _r("equal", "equal"), _r("weight", "by_volume"))
+    return both.select("ts", "market", "side", F.round("equal", 9).alias("equal"), F.round("weight", 9).alias("by_volume"))
 
 
 BOOK = f"""{SIZE}, {GRID}, d AS (SELECT min(ts) AS ts FROM panel GROUP BY date_trunc('month', ts)), b AS (SELECT ts, market, CASE WHEN ts IN (SELECT ts FROM d) THEN CASE WHEN coalesce(volume >= 40, false) THEN 1.0 / nullif(count(*) FILTER (volume >= 40) OVER (PARTITION BY ts), 0) ELSE 0.0 END END AS target, price, volume FROM grid),
