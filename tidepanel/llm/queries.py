@@ -74,6 +74,17 @@ def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, s, array_to_string(w[s : s + 19], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS nth FROM g),
+gone AS (SELECT doc_id, list(p) AS places, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM r WHERE nth > 1) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda x, j: NOT list_contains(places, j)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id
+"""
+
+
 def op8_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "samples", "sample_rate", "offsets")
     return mpeg_media.media_round_trip(table(spark, sf_dir, "documents")).select(*names)
@@ -113,4 +124,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mixing": OP4_SQL, "op10_decontamination": OP10_SQL}
+    return {"op4_source_mixing": OP4_SQL, "op7_recompression": OP7_SQL, "op10_decontamination": OP10_SQL}
