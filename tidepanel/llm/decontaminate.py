@@ -146,7 +146,9 @@ def _find(sent, sizes: list[int], width: int):
         for batch in batches:
             at = batch.schema.get_field_index("__text")
             others = [k for k in range(batch.num_columns) if k != at]
-            for texts, done in text_slices(batch.column(at), SLICE_BYTES):
+            # kept texts are not sent twice
+            whole = batch.column(at) if at >= 0 else pc.fill_null(pc.struct_field(batch.column(batch.schema.get_field_index("kept")), "text"), "")
+            for texts, done in text_slices(whole, SLICE_BYTES):
                 flat, hashes, cuts = _split(texts)
                 places: list[list[dict]] = [[] for _ in range(len(texts))]
                 for n in sizes:
@@ -185,7 +187,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = (),
     prefixes = stage(tokens.join(every, "key").groupBy("win", "words").agg(rarest).where("rarest.n > 0").select("win", "words", "rarest.key", "rarest.at", "rarest.n"), "prefixes")
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text")
-    found = source.mapInArrow(_find(spark.sparkContext.broadcast(bloom(prefixes)), sizes, width), f"{fields}, {_FOUND}")
+    once = source.drop("__text") if "text" in keep and docs.schema["text"].dataType.simpleString() == "string" else source
+    found = once.mapInArrow(_find(spark.sparkContext.broadcast(bloom(prefixes)), sizes, width), f"{fields}, {_FOUND}")
     found = stage(found.withColumn("row", F.monotonically_increasing_id()), "places")  # a row's number is given once and written
     places = stage(found.select("row", "n_words", F.explode("places").alias("p")).select("row", "n_words", "p.*"), "place-rows")
     pairs = salted_join(places, prefixes.drop("n"), "key", hot_keys(places, "key", least=hot))
@@ -194,8 +197,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = (),
     same = F.array_join(F.slice("around", (F.col("start") - F.col("first") + 1).cast("int"), F.col("words")), " ") == F.col("win")
     hits = stage(bounded.where(same).select("row", "start", "words", "win").distinct(), "hits")
     covered = hits.groupBy("row").agg(_covered(F.collect_set(F.struct("start", "words"))).alias("n_hit"))
-    once = stage(hits.select("row", "win").distinct(), "hit-windows")
-    named = salted_join(once, held.select("win", "item_id").distinct(), "win", hot_keys(once, "win", least=hot))
+    hit_windows = stage(hits.select("row", "win").distinct(), "hit-windows")
+    named = salted_join(hit_windows, held.select("win", "item_id").distinct(), "win", hot_keys(hit_windows, "win", least=hot))
     listed = named.groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     out = found.drop("places").join(covered, "row", "left").join(listed, "row", "left")
     none = F.array().cast("array<string>")
