@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as dc
-from . import html_tree, huffman_ids, lattice_lm, mixing, mpeg_media, quality_fm, recompress, simhash, url_filter
+from . import align, html_tree, huffman_ids, lattice_lm, mixing, mpeg_media, quality_fm, recompress, simhash, url_filter
 from .common import crc_of_id, table
 
 
@@ -119,8 +119,13 @@ FROM d LEFT JOIN marked m ON d.doc_id = m.doc_id LEFT JOIN items t ON d.doc_id =
 """
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_fm, op2_lattice_lm, op3_simhash_pigeonring, op4_source_mixing, op5_huffman_ids, op6_url_filter, op7_recompression, op8_mpeg_media, op9_html_tree, op10_decontamination)}
+    return {f.__name__: f for f in (op1_quality_fm, op2_lattice_lm, op3_simhash_pigeonring, op4_source_mixing, op5_huffman_ids, op6_url_filter, op7_recompression, op8_mpeg_media, op9_html_tree, op10_decontamination, op11_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
