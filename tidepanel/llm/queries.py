@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as dc
-from . import align, html_tree, huffman_ids, lattice_lm, mixing, mpeg_media, quality_fm, recompress, simhash, url_filter
+from . import align, html_tree, huffman_ids, lattice_lm, mixing, mpeg_media, packing, quality_fm, recompress, simhash, url_filter
 from .common import crc_of_id, table
 
 
@@ -124,8 +124,12 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("groups", "groups_sha256")
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_fm, op2_lattice_lm, op3_simhash_pigeonring, op4_source_mixing, op5_huffman_ids, op6_url_filter, op7_recompression, op8_mpeg_media, op9_html_tree, op10_decontamination, op11_token_alignment)}
+    return {f.__name__: f for f in (op1_quality_fm, op2_lattice_lm, op3_simhash_pigeonring, op4_source_mixing, op5_huffman_ids, op6_url_filter, op7_recompression, op8_mpeg_media, op9_html_tree, op10_decontamination, op11_token_alignment, op12_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
