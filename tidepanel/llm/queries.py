@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as dc
-from . import align, html_tree, huffman_ids, lattice_lm, mixing, mpeg_media, packing, quality_fm, recompress, simhash, url_filter
+from . import align, dual_tree, html_tree, huffman_ids, lattice_lm, mixing, mpeg_media, packing, quality_fm, recompress, simhash, url_filter
 from .common import crc_of_id, table
 
 
@@ -128,9 +128,31 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op13_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS doc, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+held AS (SELECT doc_id, doc, CAST(len(w) AS BIGINT) AS n, w FROM d WHERE len(w) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM held),
+tf AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(w) AS term FROM held) GROUP BY doc, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+i AS (SELECT item_id, row_number() OVER () AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+asked AS (
+  SELECT DISTINCT item, item_id, x.term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight
+  FROM (SELECT item, item_id, unnest(w) AS term FROM i) x JOIN df ON x.term = df.term CROSS JOIN total),
+found AS (
+  SELECT item, item_id, held.doc, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms))))) AS BIGINT) AS score
+  FROM asked JOIN tf ON asked.term = tf.term JOIN held ON tf.doc = held.doc CROSS JOIN total GROUP BY item, item_id, held.doc, doc_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM found WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_fm, op2_lattice_lm, op3_simhash_pigeonring, op4_source_mixing, op5_huffman_ids, op6_url_filter, op7_recompression, op8_mpeg_media, op9_html_tree, op10_decontamination, op11_token_alignment, op12_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_fm, op2_lattice_lm, op3_simhash_pigeonring, op4_source_mixing, op5_huffman_ids, op6_url_filter, op7_recompression, op8_mpeg_media, op9_html_tree, op10_decontamination, op11_token_alignment, op12_best_fit_packing, op13_dual_tree_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mixing": OP4_SQL, "op7_recompression": OP7_SQL, "op10_decontamination": OP10_SQL}
+    return {"op4_source_mixing": OP4_SQL, "op7_recompression": OP7_SQL, "op10_decontamination": OP10_SQL, "op13_dual_tree_search": OP13_SQL}
