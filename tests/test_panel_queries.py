@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.functions import elementwise as ew
-from tidepanel.operators import asof, curves, rolling, weights
+from tidepanel.operators import asof, curves, rolling, sliding, weights
 from tidepanel.operators import cross_section as xs
 from tidepanel.plans import queries as q
 from tidepanel.streaming.bars import bars
@@ -70,7 +70,7 @@ def test_ewma_by_hand(spark):
 
 
 def test_worst_drawdown_inside_window(spark):
-    got = [r.d for r in frame(spark, [("a", t, v) for t, v in enumerate([10.0, 5.0, 8.0, 4.0, 6.0])]).select("ts", rolling.worst_drawdown(F.col("x"), 3).alias("d")).orderBy("ts").collect()]
+    got = [r.d for r in frame(spark, [("a", t, v) for t, v in enumerate([10.0, 5.0, 8.0, 4.0, 6.0])]).transform(lambda df: sliding.worst_drawdown(df, "x", 3, "d")).orderBy("ts").collect()]
     assert got[:2] == [None, None] and got[2:] == pytest.approx([-0.5, -0.5, -0.5])
 
 

@@ -1,7 +1,8 @@
 """Window transforms over one market's rows in time order.
 
 `skip` transforms run over the observed rows of a panel; on a dense grid the same expressions count grid rows (preserve).
-Windows are full or null.
+Windows are full or null. Sums and extremes given as columns are taken anew for each row, which is right for short windows;
+sliding.py has them in constant work a row, and what needs moments, drawdowns or medians of a window.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from . import sliding
+
 
 def by_time() -> WindowSpec:
     return Window.partitionBy("market").orderBy("ts")
@@ -46,15 +49,10 @@ def momentum(x: Column, n: int) -> Column:
 
 
 def rolling(x: Column, n: int, kind: str) -> Column:
-    f = {"mean": F.avg, "sum": F.sum, "std": F.stddev_pop, "max": F.max, "min": F.min}[kind]
+    f = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min}[kind]
     return full(x, f(x).over(last(n)), n)
 
 
-def zscore(x: Column, n: int) -> Column:
-    std = rolling(x, n, "std")
-    return F.when(std > 1e-12, (x - rolling(x, n, "mean")) / std)
-
-
 def expanding_std(x: Column, min_periods: int) -> Column:
     w = by_time().rowsBetween(Window.unboundedPreceding, 0)
     return F.when(F.count(x).over(w) >= min_periods, F.stddev_pop(x).over(w))
@@ -88,12 +86,6 @@ def age_days(x: Column, ts: Column) -> Column:
     return F.datediff(ts, F.min(F.when(x.isNotNull(), ts)).over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def beta(x: Column, ref: Column, n: int) -> Column:
-    var = F.var_pop(ref).over(last(n))
-    ok = (F.count(x).over(last(n)) == n) & (F.count(ref).over(last(n)) == n) & (F.min(ref).over(last(n)) < F.max(ref).over(last(n)))
-    return F.when(ok & (var > 0), F.covar_pop(x, ref).over(last(n)) / var)
-
-
 def ewma(df: DataFrame, x: str, n: int, name: str = "ewma") -> DataFrame:
     """alpha = 2 / (n + 1) over the known rows, seeded with the mean of the first n.
 
@@ -118,26 +110,25 @@ def ewma(df: DataFrame, x: str, n: int, name: str = "ewma") -> DataFrame:
     return df.join(later.unionByName(seed.select("market", F.col("__last").alias("ts"), F.col("__seed").alias(name))), ["market", "ts"], "left")
 
 
-DIGITS, BASE = 5, 16
+BASE = 16
 
 
 def order_counts(df: DataFrame, x: str, n: int | None = None) -> DataFrame:
     """Adds less, equal and held: how many of the market's known values so far (or of the last n) are below x, equal to it, and in
     all; null where x is null.
 
-    Values become dense ranks, written in DIGITS digits of BASE. Those below a rank share its first digits up to one, where they
+    Values become dense ranks, written in as many digits of BASE as the longest market needs. Those below a rank share its first digits up to one, where they
     are lower: for each digit, one running count by lower digit over the rows that share the digits before it. A value that
     leaves a window of n counts -1 from then on. So nothing is gathered, and the work is n log n.
     """
     known = df.where(F.col(x).isNotNull()).select("market", "ts", F.col(x).alias("__x"))
     by_value = Window.partitionBy("market").orderBy("__x")
-    rank = F.dense_rank().over(by_value) - 1
-    rows = known.withColumn("__r", F.when(rank >= BASE**DIGITS, F.raise_error(F.lit("too many distinct values in a market")).cast("int")).otherwise(rank)).withColumn("__i", F.row_number().over(by_time())).withColumn("__add", F.lit(1))
+    rows = known.withColumn("__r", (F.dense_rank().over(by_value) - 1).cast("long")).withColumn("__i", F.row_number().over(by_time())).withColumn("__add", F.lit(1))
     if n is not None:
         rows = rows.unionByName(rows.withColumn("__i", F.col("__i") + n).withColumn("__add", F.lit(-1)))
     so_far = Window.partitionBy("market").orderBy("__i", "__add").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("held", F.sum("__add").over(so_far)).withColumn("less", F.lit(0).cast("long"))
-    for place in range(DIGITS - 1, -1, -1):
+    for place in range(sliding.digits(df, x, BASE) - 1, -1, -1):
         unit = BASE**place
         digit = F.floor(F.col("__r") / unit).cast("int") % BASE
         shared = Window.partitionBy("market", F.floor(F.col("__r") / (unit * BASE))).orderBy("__i", "__add").rowsBetween(Window.unboundedPreceding, 0)
@@ -156,16 +147,6 @@ def percentile_of_last(df: DataFrame, x: str, n: int, name: str = "percentile")
     return out.withColumn(name, F.when(F.col("held") == n, (F.col("less") + (F.col("equal") + 1) / 2) / n)).drop("less", "equal", "held")
 
 
-def worst_drawdown(x: Column, n: int) -> Column:
-    """Lowest x / running high - 1, with the running high inside the window."""
-    start = F.struct(F.lit(0.0).alias("high"), F.lit(0.0).alias("worst"))
-    held = F.aggregate(
-        F.collect_list(x).over(last(n)), start,
-        lambda a, v: F.struct(F.greatest(a["high"], v).alias("high"), F.least(a["worst"], v / F.greatest(a["high"], v) - 1).alias("worst")),
-    )
-    return full(x, held["worst"], n)
-
-
 def path_ahead(x: Column, n: int) -> tuple[Column, Column, Column]:
     """Return, lowest and highest relative value over the n rows ahead; null unless all are there."""
     w = by_time().rowsBetween(1, n)
@@ -173,42 +154,12 @@ def path_ahead(x: Column, n: int) -> tuple[Column, Column, Column]:
     return tuple(F.when(ok, F.try_divide(value, x) - 1) for value in (F.lead(x, n).over(by_time()), F.min(x).over(w), F.max(x).over(w)))
 
 
-def residual(x: Column, ref: Column, n: int) -> Column:
-    """x less its window beta (sample moments) times ref; rows must hold both."""
-    var = F.var_samp(ref).over(last(n))
-    return full(x, F.when(var != 0, x - F.covar_samp(x, ref).over(last(n)) / var * ref), n)
-
-
-def median_return(x: Column, n: int) -> Column:
-    r = simple_return(x)
-    held = F.sort_array(F.collect_list(r).over(last(n)))
-    return full(r, (F.get(held, F.lit((n - 1) // 2)) + F.get(held, F.lit(n // 2))) / 2, n)
-
-
 def win_rate(x: Column, n: int, threshold: float = 0.0) -> Column:
     """Share of the window's rows with a return over the threshold; a row without a return is none."""
     wins = F.coalesce((simple_return(x) > threshold).cast("double"), F.lit(0.0))
     return F.when(F.count(F.lit(1)).over(last(n)) == n, F.avg(wins).over(last(n)))
 
 
-def consistency(x: Column, n: int, least: float = 1e-12) -> Column:
-    """Median return over the size of the mean return."""
-    mean = F.abs(rolling(simple_return(x), n, "mean"))
-    return F.when(mean > least, median_return(x, n) / mean)
-
-
-def trend_quality(x: Column, n: int) -> Column:
-    """Slope of the log of x by row, times the fit's R2."""
-    y, i, w = F.when(x > 0, F.log(x)), F.row_number().over(by_time()).cast("double"), last(n)
-    both, vi, vy = F.covar_pop(y, i).over(w), (n * n - 1) / 12, F.var_pop(y).over(w)
-    return full(y, F.when(F.min(y).over(w) < F.max(y).over(w), both / vi * both * both / (vi * vy)), n)
-
-
-def sample_beta(r: Column, ref: Column, n: int) -> Column:
-    pair = F.when(r.isNotNull() & ref.isNotNull(), 1)
-    return full(pair, F.try_divide(F.covar_samp(r, ref).over(last(n)), F.var_samp(ref).over(last(n))), n)
-
-
 def weighted_momentum(x: Column, turnover: Column, n: int) -> Column:
     """Sum of returns weighted by turnover, over the turnover's sum."""
     part, total = simple_return(x) * turnover, F.sum(turnover).over(last(n))
@@ -226,11 +177,12 @@ def mid_rank(df: DataFrame, x: str, n: int, least: int, name: str = "mid") -> Da
     return out.withColumn(name, F.when(F.col("held") >= least, F.try_divide(F.col("less") + F.col("equal") / 2, "held"))).drop("less", "equal", "held")
 
 
-def turnover_scores(x: Column, n: int) -> tuple[Column, Column]:
-    """Over the window's mean, and as a z-score with the sample deviation, of log1p of x."""
+def turnover_scores(df: DataFrame, x: str, n: int, ratio: str = "turn_ratio", z: str = "turn_z") -> DataFrame:
+    """Adds log1p of x over its window mean, and as a z-score with the sample deviation."""
     y = F.log1p(x)
-    mean, std = rolling(y, n, "mean"), full(y, F.stddev_samp(y).over(last(n)), n)
-    return F.when(mean != 0, y / mean), F.when(std > 0, (y - mean) / std)
+    made = sliding.over_last(df, n, "__w", sliding.moments(("x", y)))
+    mean, std = sliding.mean("__w", n), sliding.std("__w", n, sample=True)
+    return made.select(*df.columns, F.when(mean != 0, y / mean).alias(ratio), F.when(std > 0, (y - mean) / std).alias(z))
 
 
 def expanding_percentile(df: DataFrame, x: str, least: int, name: str = "percentile") -> DataFrame:

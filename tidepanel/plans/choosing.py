@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import elementwise as ew
 from ..operators import cross_section as xs
-from ..operators import rolling, universe, weights
+from ..operators import rolling, sliding, universe, weights
 from ..sources import panel
 from .queries import SIZE, TYPE, WM, _r, _registered
 from .transforms import BY_MARKET, GRID
@@ -105,11 +105,11 @@ t AS (SELECT *, avg(y) OVER w AS my, stddev_samp(y) OVER w AS sy, avg(volume) OV
 SELECT ts, market, round(CASE WHEN len(l) = 10 THEN list_min(list_transform(l, lambda x, i: x / list_max(l[1:i]) - 1)) END, 6) AS worst10, round(CASE WHEN v = 0 THEN 2.0 WHEN v > 0 THEN greatest(least(0.15 / sqrt(252) / v, 2.0), 0.1) END, 6) AS vol_weight,
   round(least(ceil(volume / 50 - 1e-12) * 0.05, 0.4), 6) AS up, round(CASE WHEN volume >= 100 - 1e-12 THEN 100 ELSE least(10 + floor((volume - 10) / 25 + 0.5 + 1e-12) * 25, 100) END, 6) AS near FROM t""")
 def bounded_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = panel.build_panel(spark, sf_dir, "type")
+    p = sliding.worst_drawdown(panel.build_panel(spark, sf_dir, "type"), "price", 10, "worst10")
     w = Window.partitionBy("market").orderBy("ts").rowsBetween(-9, 0)
     vol = F.stddev_samp(F.col("price") / 1400).over(w)
     return p.select(
-        "ts", "market", _r(rolling.worst_drawdown(F.col("price"), 10), "worst10"), _r(ew.target_vol(vol, 0.15, 252, 0.1, 2.0), "vol_weight"),
+        "ts", "market", _r("worst10", "worst10"), _r(ew.target_vol(vol, 0.15, 252, 0.1, 2.0), "vol_weight"),
         _r(F.least(ew.quantize(F.col("volume") / 1000, 0.05, "ceil"), F.lit(0.4)), "up"), _r(ew.quantize(F.col("volume"), 25.0, "nearest", 10.0, 100.0), "near"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import elementwise as ew
-from ..operators import asof, curves, research, rolling, weights
+from ..operators import asof, curves, research, rolling, sliding, weights
 from ..operators import cross_section as xs
 from ..sources import panel
 from ..streaming import bars as bars_
@@ -90,9 +90,11 @@ SELECT ts, market, round(price - lag(price, 3) OVER ({WM}), 6) AS delta3, round(
 FROM panel WINDOW w20 AS ({WM} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), e AS ({WM} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def rolling_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("price")
-    return panel.build_panel(spark, sf_dir, "brand").select(
-        "ts", "market", _r(rolling.delta(p, 3), "delta3"), _r(rolling.simple_return(p, 5), "ret5"), _r(rolling.momentum(p, 20), "mom20"), _r(rolling.rolling(p, 20, "mean"), "mean20"),
-        _r(rolling.rolling(p, 20, "std"), "std20"), _r(rolling.rolling(p, 20, "max"), "max20"), _r(rolling.zscore(p, 20), "z20"), _r(rolling.expanding_std(p, 10), "estd"), rolling.age_days(p, F.col("ts")).cast("long").alias("age"),
+    made = sliding.over_last(panel.build_panel(spark, sf_dir, "brand"), 20, "w", sliding.moments(("x", p)))
+    made = sliding.rolling(made, "price", 20, "max", "high")
+    return made.select(
+        "ts", "market", _r(rolling.delta(p, 3), "delta3"), _r(rolling.simple_return(p, 5), "ret5"), _r(rolling.momentum(p, 20), "mom20"), _r(sliding.mean("w", 20), "mean20"),
+        _r(sliding.std("w", 20), "std20"), _r("high", "max20"), _r(sliding.zscore("w", 20, p), "z20"), _r(rolling.expanding_std(p, 10), "estd"), rolling.age_days(p, F.col("ts")).cast("long").alias("age"),
     )
 
 
@@ -124,7 +126,7 @@ SELECT ts, market, round(CASE WHEN count(*) OVER w = 30 AND var_pop(ref) OVER w
 FROM j WINDOW w AS ({WM} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""")
 def rolling_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel.build_panel(spark, sf_dir, "type").withColumn("ref", F.avg("price").over(xs.at()))
-    return p.select("ts", "market", _r(rolling.beta(F.col("price"), F.col("ref"), 30), "beta30"))
+    return sliding.beta(p, "price", "ref", 30).select("ts", "market", _r("beta", "beta30"))
 
 
 @_registered(f"""WITH {TYPE} SELECT ts, market, round(CASE WHEN count(*) OVER w = 5 THEN lead(price, 5) OVER ({WM}) / price - 1 END, 6) AS fwd5,

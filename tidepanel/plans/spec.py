@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import elementwise as ew
-from ..operators import calendar, rolling, universe, weights
+from ..operators import calendar, rolling, sliding, universe, weights
 from ..operators import cross_section as xs
 
 
@@ -34,8 +34,8 @@ _back = lambda p: p["n"]
 TRANSFORMS: dict[str, Transform] = {
     "abs": Transform(F.abs), "log": Transform(ew.log), "clip": Transform(ew.clip), "linear_ramp": Transform(ew.linear_ramp), "quantize": Transform(ew.quantize), "target_vol": Transform(ew.target_vol),
     "shift": Transform(rolling.shift, _back), "delta": Transform(rolling.delta, _back), "simple_return": Transform(rolling.simple_return, _back), "momentum": Transform(rolling.momentum, _back),
-    "rolling": Transform(rolling.rolling, _window), "zscore": Transform(rolling.zscore, _window), "wma": Transform(rolling.wma, _window), "efficiency_ratio": Transform(rolling.efficiency_ratio, _back), "downside_vol": Transform(rolling.downside_vol, _back),
-    "worst_drawdown": Transform(rolling.worst_drawdown, _window), "cross_rank": Transform(xs.rank), "cross_percentile": Transform(xs.percentile), "quantile_bucket": Transform(xs.quantile_bucket),
+    "rolling": Transform(lambda df, x, name, n, kind: sliding.rolling(df, x, n, kind, name), _window, True), "zscore": Transform(lambda df, x, name, n: sliding.standardised(df, x, n, name), _window, True), "wma": Transform(rolling.wma, _window), "efficiency_ratio": Transform(rolling.efficiency_ratio, _back), "downside_vol": Transform(rolling.downside_vol, _back),
+    "worst_drawdown": Transform(lambda df, x, name, n: sliding.worst_drawdown(df, x, n, name), _window, True), "median": Transform(lambda df, x, name, n: sliding.median(df, x, n, name), _window, True), "cross_rank": Transform(xs.rank), "cross_percentile": Transform(xs.percentile), "quantile_bucket": Transform(xs.quantile_bucket),
     "percentile_of_last": Transform(lambda df, x, name, n: rolling.percentile_of_last(df, x, n, name), _window, True), "ewma": Transform(lambda df, x, name, n: rolling.ewma(df, x, n, name), lambda p: 8 * p["n"], True),
     "period_mean": Transform(lambda df, x, name, unit, timing="next_period": calendar.period_mean(df, x, unit, timing, name), lambda p: 2 * 31 * calendar.MONTHS.get(p["unit"], 1), True),
     "period_return": Transform(lambda df, x, name, unit, periods=1, timing="next_period": calendar.period_return(df, x, unit, periods, timing, name), lambda p: (p.get("periods", 1) + 2) * 31 * calendar.MONTHS.get(p["unit"], 1), True),

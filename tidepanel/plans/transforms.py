@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import elementwise as ew
-from ..operators import calendar, curves, rolling, weights
+from ..operators import calendar, curves, rolling, sliding, weights
 from ..operators import cross_section as xs
 from ..sources import panel
 from .queries import BRAND, CURVES, SIZE, TYPE, WM, _curves, _r, _registered
@@ -54,10 +54,10 @@ SELECT ts, market, round(CASE WHEN count(ret) OVER w = 15 THEN median(ret) OVER
 FROM r WINDOW w AS ({WM} ROWS BETWEEN 14 PRECEDING AND CURRENT ROW)""")
 def trend_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, v = F.col("price"), F.col("volume")
-    ratio, z = rolling.turnover_scores(v, 15)
-    return _panel(spark, sf_dir, "brand").select(
-        "ts", "market", _r(rolling.median_return(p, 15), "med"), _r(rolling.win_rate(p, 15), "wins"), F.round(rolling.consistency(p, 15, 0.001), 5).alias("consistent"), _r(rolling.trend_quality(p, 15), "trend"),
-        _r(rolling.weighted_momentum(p, v, 15), "weighted"), _r(rolling.next_open_label(p, 3), "label3"), _r(ratio, "turn_ratio"), F.round(z, 5).alias("turn_z"),
+    made = sliding.trend_quality(sliding.consistency(_panel(spark, sf_dir, "brand"), "price", 15, 0.001, median_name="med"), "price", 15)
+    return rolling.turnover_scores(made, "volume", 15).select(
+        "ts", "market", _r("med", "med"), _r(rolling.win_rate(p, 15), "wins"), F.round("consistency", 5).alias("consistent"), _r("trend", "trend"),
+        _r(rolling.weighted_momentum(p, v, 15), "weighted"), _r(rolling.next_open_label(p, 3), "label3"), _r("turn_ratio", "turn_ratio"), F.round("turn_z", 5).alias("turn_z"),
     )
 
 
@@ -69,8 +69,9 @@ FROM j WINDOW w AS ({WM} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
 def residual_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = _panel(spark, sf_dir, "type").withColumn("ref", F.avg("price").over(xs.at()))
     p, ref = F.col("price"), F.col("ref")
-    beta = rolling.sample_beta(rolling.simple_return(p), rolling.simple_return(ref), 20)
-    return j.select("ts", "market", F.round(rolling.residual(p, ref, 20), 4).alias("residual"), F.round(beta, 5).alias("beta20"), F.round(rolling.simple_return(p, 5) - beta * rolling.simple_return(ref, 5), 5).alias("residual_momentum"))
+    moves = j.withColumns({"r": rolling.simple_return(p), "rr": rolling.simple_return(ref)})
+    made = sliding.beta(sliding.residual(moves, "price", "ref", 20), "r", "rr", 20, "beta20")
+    return made.select("ts", "market", F.round("residual", 4).alias("residual"), F.round("beta20", 5).alias("beta20"), F.round(rolling.simple_return(p, 5) - F.col("beta20") * rolling.simple_return(ref, 5), 5).alias("residual_momentum"))
 
 
 @_registered(f"""WITH {TYPE}, h AS (SELECT ts, market, round(price, 8) AS price, list(round(price, 8)) OVER ({BY_MARKET} UNBOUNDED PRECEDING AND CURRENT ROW) AS held, list(round(price, 8)) OVER ({BY_MARKET} 29 PRECEDING AND CURRENT ROW) AS l30 FROM panel)
