@@ -48,6 +48,26 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables that only steps before clear() read: then they are deleted, so that they do not pile up."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.spark: SparkSession | None = None
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        out = stage(df, name)
+        self.spark = df.sparkSession
+        self.paths += [f.rpartition("/")[0] for f in out.inputFiles()[:1]]
+        return out
+
+    def clear(self) -> None:
+        for path in self.paths:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.paths = []
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

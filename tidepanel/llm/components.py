@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, salted_join, stage
+from .common import Scratch, hot_keys, salted_join
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -19,8 +19,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
     return salted_join(both.where("b > a"), low, "a", hot_keys(both, "a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "down")
+def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    down = scratch.stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "down")
     low = down.groupBy("a").agg(F.min("b").alias("m"))
     moved = salted_join(down, low, "a", hot_keys(down, "a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
@@ -28,10 +28,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """edges: a, b (long). Returns node, root: the smallest node that each node with an edge reaches."""
-    now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    old, before = Scratch(), None
+    now = old.stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(rounds):
-        now = stage(_small_star(_large_star(now)), "edges")
+        new = Scratch()
+        now = new.stage(_small_star(_large_star(now), old), "edges")
+        old.clear()
+        old = new
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(mark) == before:
             break

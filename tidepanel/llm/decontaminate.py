@@ -146,9 +146,7 @@ def _find(sent, sizes: list[int], width: int):
         for batch in batches:
             at = batch.schema.get_field_index("__text")
             others = [k for k in range(batch.num_columns) if k != at]
-            # kept texts are not sent twice
-            whole = batch.column(at) if at >= 0 else pc.fill_null(pc.struct_field(batch.column(batch.schema.get_field_index("kept")), "text"), "")
-            for texts, done in text_slices(whole, SLICE_BYTES):
+            for texts, done in text_slices(batch.column(at), SLICE_BYTES):
                 flat, hashes, cuts = _split(texts)
                 places: list[list[dict]] = [[] for _ in range(len(texts))]
                 for n in sizes:
@@ -172,11 +170,10 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(F.sort_array(spans), start, step)["total"]
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = (), width: int = WIDTH, hot: int = 1000) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, items (array of item ids, sorted as strings) and kept (struct of the
-    columns in keep, if any)."""
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, hot: int = 1000) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit and items (array of item ids, sorted as strings)."""
     spark = docs.sparkSession
-    source = docs.select("doc_id", *([F.struct(*keep).alias("kept")] if keep else []), text_of().alias("__text"))
+    source = docs.select("doc_id", text_of().alias("__text"))
     held = stage(item_windows(items, width), "item-windows")
     windows = stage(held.groupBy("win").agg(F.first("words").alias("words"), F.first("size").alias("size"), F.first("keys").alias("keys")), "windows")
     sizes = sorted(r.size for r in windows.select("size").distinct().collect())  # SHINGLE values at most
@@ -187,8 +184,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = (),
     prefixes = stage(tokens.join(every, "key").groupBy("win", "words").agg(rarest).where("rarest.n > 0").select("win", "words", "rarest.key", "rarest.at", "rarest.n"), "prefixes")
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text")
-    once = source.drop("__text") if "text" in keep and docs.schema["text"].dataType.simpleString() == "string" else source
-    found = once.mapInArrow(_find(spark.sparkContext.broadcast(bloom(prefixes)), sizes, width), f"{fields}, {_FOUND}")
+    found = source.mapInArrow(_find(spark.sparkContext.broadcast(bloom(prefixes)), sizes, width), f"{fields}, {_FOUND}")
     found = stage(found.withColumn("row", F.monotonically_increasing_id()), "places")  # a row's number is given once and written
     places = stage(found.select("row", "n_words", F.explode("places").alias("p")).select("row", "n_words", "p.*"), "place-rows")
     pairs = salted_join(places, prefixes.drop("n"), "key", hot_keys(places, "key", least=hot))
@@ -202,4 +198,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = (),
     listed = named.groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     out = found.drop("places").join(covered, "row", "left").join(listed, "row", "left")
     none = F.array().cast("array<string>")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), *(["kept"] if keep else []))
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The documents, with their own columns only, that hold no window of an item. docs must be read from files, so that its
+    rows keep their places when read again: only the numbers of hit rows are joined back, never a text."""
+    numbered = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.monotonically_increasing_id().alias("__row"))
+    found = decontaminate(numbered.select(F.col("__row").alias("doc_id"), "text"), items, width)
+    hit = stage(found.where("n_hit > 0").select(F.col("doc_id").alias("__row")), "hit-rows")
+    return numbered.join(hit, "__row", "left_anti").select("__doc.*")
