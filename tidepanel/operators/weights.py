@@ -59,15 +59,20 @@ def keep_cash(weight: Column, cap: Column) -> Column:
     return F.least(weight, cap)
 
 
+def cap_scale(w: Column, c: Column) -> Column:
+    """What a time's weights are multiplied by so that, with those above their caps cut, nothing is lost: the largest over its rows."""
+    order = Window.partitionBy("ts").orderBy(F.try_divide(c, w).asc_nulls_last(), F.col("market"))
+    capped_before = F.coalesce(F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    backwards = Window.partitionBy("ts").orderBy(F.try_divide(c, w).desc_nulls_first(), F.desc("market"))
+    rest = F.sum(w).over(backwards.rowsBetween(Window.unboundedPreceding, 0))
+    return F.when(w != 0, F.try_divide(F.sum(w).over(xs.at()) - capped_before, rest))
+
+
 def redistribute(df: DataFrame, weight: str, cap: str) -> DataFrame:
     """Excess over the caps is shared by weight among the rest until no cap is passed: closed form by cap / weight. Markets of no
     weight get none."""
     w, c = F.col(weight), F.col(cap)
-    order = Window.partitionBy("ts").orderBy(F.try_divide(c, w).asc_nulls_last(), F.col("market"))
-    capped_before = F.coalesce(F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum(w).over(order.rowsBetween(0, Window.unboundedFollowing))
-    scale = F.try_divide(F.sum(w).over(xs.at()) - capped_before, rest)
-    out = df.withColumn("__scale", F.when(w != 0, scale)).withColumn("__scale", F.max("__scale").over(xs.at()))
+    out = df.withColumn("__scale", cap_scale(w, c)).withColumn("__scale", F.max("__scale").over(xs.at()))
     return out.withColumn("final", F.coalesce(F.least(c, w * F.col("__scale")), F.lit(0.0))).drop("__scale")
 
 

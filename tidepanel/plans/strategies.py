@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import cross_section as xs
 from ..operators import covariance, rolling, weights
 from ..sources import panel
-from . import spec
+from . import graph, spec
 from .queries import TYPE, WM, _r, _registered
 from .transforms import BY_MARKET, GRID
 
@@ -34,6 +34,29 @@ def spec_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spec.targets(g, spec.load(SPEC, **WANTED)).select("ts", "market", _r("weight", "weight"))
 
 
+GRID_SPEC = """{
+ "features": [
+  {"name": "score", "input": "ret", "steps": [{"op": "shift", "n": 1}]},
+  {"name": "ret", "input": "price", "steps": [{"op": "simple_return", "n": "{n}"}]},
+  {"name": "busy", "input": "volume", "steps": [{"op": "rolling", "n": 3, "kind": "mean"}]},
+  {"name": "lively", "input": "busy", "compare": "ge", "other": 10}],
+ "universe": {"values": [["lively", "gt", 0.0, 0]], "final": {"x": "score", "top_n": "{k}"}},
+ "weights": {"kind": "equal", "every": "monthly", "gross": 0.9}}"""
+AXES = {"n": [2, 5, 10, 20], "k": [2, 3, 5, 8]}
+
+
+@_registered(f"""WITH {TYPE}, {GRID}, b AS (SELECT *, CASE WHEN count(volume) OVER w3 = 3 THEN avg(volume) OVER w3 END AS busy FROM grid WINDOW w3 AS ({BY_MARKET} 2 PRECEDING AND CURRENT ROW)),
+r AS (SELECT v.i, ts, market, price, busy, CASE WHEN lag(price, v.n) OVER w <> 0 THEN price / lag(price, v.n) OVER w - 1 END AS ret FROM b CROSS JOIN (VALUES (0, 2), (1, 5), (2, 10), (3, 20)) v(i, n) WINDOW w AS (PARTITION BY v.i, market ORDER BY ts)),
+s AS (SELECT *, lag(ret) OVER (PARTITION BY i, market ORDER BY ts) AS score, price IS NOT NULL AND coalesce(busy >= 10, false) AS base FROM r),
+e AS (SELECT i, ts, market, base AND score IS NOT NULL AS may, row_number() OVER (PARTITION BY i, ts, base AND score IS NOT NULL ORDER BY score DESC, market) AS place FROM s),
+c AS (SELECT i * 4 + j AS candidate, ts, market, may AND place <= k AS sel FROM e CROSS JOIN (VALUES (0, 2), (1, 3), (2, 5), (3, 8)) u(j, k) WHERE ts IN (SELECT min(ts) FROM grid GROUP BY date_trunc('month', ts)))
+SELECT candidate, ts, market, round(CASE WHEN sel THEN 0.9 / count(*) FILTER (sel) OVER (PARTITION BY candidate, ts) ELSE 0 END, 6) AS weight FROM c""")
+def grid_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen candidates of one JSON text in one plan."""
+    g = panel.dense_grid(panel.build_panel(spark, sf_dir, "type").select("ts", "market", "price", "volume"))
+    return graph.targets(g, graph.grid(GRID_SPEC, AXES)).select("candidate", "ts", "market", _r("weight", "weight"))
+
+
 @_registered(f"""WITH {TYPE}, {GRID}, t AS (SELECT ts, market, price, row_number() OVER (PARTITION BY market ORDER BY ts DESC) AS i FROM grid) SELECT market, ts, round(price, 6) AS price FROM t WHERE i <= 6""")
 def warm_up_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the spec's longest feature needs for its last value."""
