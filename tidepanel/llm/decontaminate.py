@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, salted_join, stage, text_of, text_slices
+from .common import hot_keys, salted_join, stage, text_of, text_slices, tidy
 
 WIDTH = 10
 SHINGLE = 3
@@ -131,6 +131,7 @@ def _count(sent, sizes: list[int]):
                     keys = _shingles(hashes, n)[_inside(cuts, n, len(hashes))]
                     own, counts = np.unique(keys[_passes(keys, sent.value)].view(np.int64), return_counts=True)
                     yield pa.RecordBatch.from_pydict({"key": pa.array(own, pa.int64()), "n": pa.array(counts, pa.int64())})
+        tidy()
 
     return run
 
@@ -159,6 +160,7 @@ def _find(sent, sizes: list[int], width: int):
                         places[t].append({"key": key, "pos": p - int(cuts[t]), "first": lo - int(cuts[t]), "around": flat.slice(lo, hi - lo).to_pylist()})
                 kept = [batch.column(k).slice(done, len(texts)) for k in others]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(cuts), pa.int64()), pa.array(places, kind)], [*(batch.schema.names[k] for k in others), "n_words", "places"])
+        tidy()
 
     return run
 

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stage, text_of, text_slices
+from .common import partitions, stage, text_of, text_slices, tidy
 
 END_ID = 1
 BLOCK_IDS = 1 << 18
@@ -38,6 +38,7 @@ CHECKPOINT = 256
 MAX_BITS = 20
 CACHE_WORDS = 1_000_000
 STRING_WORDS = 1000
+SLICE_BYTES = 1 << 22
 
 _encoders: dict[str, Encoder] = {}
 
@@ -245,7 +246,7 @@ def _chunks(tokenizer_file: str, end_id: int):
             texts, names = batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             if part is None and len(names):
                 part = batch.column(batch.schema.get_field_index("part"))[0].as_py()
-            for some, lo in text_slices(texts):
+            for some, lo in text_slices(texts, SLICE_BYTES):
                 ids, counts = encode_texts(some, tokenizer_file)
                 cuts = np.r_[0, np.cumsum(counts)].tolist()
                 for k in range(len(some)):
@@ -258,6 +259,7 @@ def _chunks(tokenizer_file: str, end_id: int):
                         docs, sizes, held, total, block = [], [], [], 0, block + 1
         if docs:
             yield out()
+        tidy()
 
     return run
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage, text_of, text_slices
-from .huffman_ids import encode_texts
+from .huffman_ids import SLICE_BYTES, encode_texts
 
 CAPACITY = 2048
 END_ID = 0
@@ -117,7 +117,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            for texts, lo in text_slices(batch.column(1)):
+            for texts, lo in text_slices(batch.column(1), SLICE_BYTES):
                 ids, counts = encode_texts(texts, tokenizer_file)
                 counts = counts + 1
                 ends = np.cumsum(counts)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, crc_of_id, stage, text_of
+from .common import as_bytes, crc_of_id, stage, text_of, tidy
 
 BITS = 16
 FACTORS = 4
@@ -171,6 +171,8 @@ def scorer(spark: SparkSession, model: tuple[float, np.ndarray, np.ndarray]):
                 raw = fm_score(np.concatenate([x[0] for x in both]).astype(np.int64), np.concatenate([x[1] for x in both]), starts, b, w, v)
                 scores += (1 / (1 + np.exp(-np.clip(raw, -30, 30)))).tolist()
             yield pa.array(scores, pa.float64())
+        _slot.clear()
+        tidy()
 
     return score
 
