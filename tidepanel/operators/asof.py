@@ -33,3 +33,20 @@ def drop_superseded(events: DataFrame, by: list[str], ts: str, period: str) -> D
     before = Window.partitionBy(*by).orderBy(ts, period).rowsBetween(Window.unboundedPreceding, -1)
     seen = F.max(period).over(before)
     return events.withColumn("__m", seen).where(F.col("__m").isNull() | (F.col(period) >= F.col("__m"))).drop("__m")
+
+
+def around(asks: DataFrame, points: DataFrame, at: str, t: str, name: str, later: bool = False, unit: str = "month") -> DataFrame:
+    """Adds to each row of asks the struct `name`: the last of the points with t <= at, or with later the first with t >= at; null if there
+    is none. Points have one row a time t. There is no key to deal rows by, so time itself is: within a unit of time by a running window,
+    from unit to unit by a table of one row each."""
+    order = (lambda c: F.desc(c)) if later else (lambda c: F.asc(c))
+    point = F.struct(*points.columns)
+    marks = points.select(F.col(t).alias("__t"), F.lit(0).alias("__side"), point.alias("__p"), F.lit(None).cast(asks.schema.simpleString()).alias("__row"))
+    rows = marks.unionByName(asks.select(F.col(at).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(marks.schema["__p"].dataType).alias("__p"), F.struct(*asks.columns).alias("__row")))
+    rows = rows.withColumn("__u", F.date_trunc(unit, "__t"))
+    inside = F.last("__p", ignorenulls=True).over(Window.partitionBy("__u").orderBy(order("__t"), "__side").rowsBetween(Window.unboundedPreceding, 0))
+    edge = (F.min_by if later else F.max_by)("__p", F.when(F.col("__side") == 0, F.col("__t")))
+    units = rows.groupBy("__u").agg(edge.alias("__e"))
+    carried = units.select("__u", F.last("__e", ignorenulls=True).over(Window.orderBy(order("__u")).rowsBetween(Window.unboundedPreceding, -1)).alias("__c"))  # one row a unit
+    found = rows.withColumn("__p", inside).where("__side = 1").join(carried, "__u", "left")
+    return found.select("__row.*", F.coalesce("__p", "__c").alias(name))

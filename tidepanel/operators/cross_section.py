@@ -10,6 +10,11 @@ def at() -> WindowSpec:
     return Window.partitionBy("ts")
 
 
+def exact_sum(x: Column) -> Column:
+    """A sum that is the same in any order: of decimals with twelve places."""
+    return F.sum(x.cast("decimal(28,12)"))
+
+
 def rank(x: Column, by: tuple[str, ...] = ("ts",), descending: bool = False) -> Column:
     known = x.isNotNull()
     order = Window.partitionBy(*by, known).orderBy(x.desc() if descending else x.asc(), F.col("market").asc())

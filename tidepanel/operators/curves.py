@@ -53,9 +53,9 @@ def episode_table(curves: DataFrame, least: float = 0.0) -> DataFrame:
     """One row for each stretch below a high that is at least so deep: peak, onset, qualifying (first row so deep), trough and recovery
     (the next high; null while open), depth and rows."""
     r = with_returns(curves)
-    so_far, ahead = run().rowsBetween(Window.unboundedPreceding, 0), run().rowsBetween(1, Window.unboundedFollowing)
+    so_far, backwards = run().rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("run_id").orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, -1)
     high = F.when(F.col("drawdown") >= 0, F.col("ts"))
-    rows = r.withColumn("peak", F.last(high, ignorenulls=True).over(so_far)).withColumn("recovery", F.first(high, ignorenulls=True).over(ahead)).where("drawdown < 0")
+    rows = r.withColumn("peak", F.last(high, ignorenulls=True).over(so_far)).withColumn("recovery", F.last(high, ignorenulls=True).over(backwards)).where("drawdown < 0")
     by = rows.groupBy("run_id", "peak").agg(
         F.min("ts").alias("onset"), F.min(F.when(F.col("drawdown") <= -least, F.col("ts"))).alias("qualifying"), F.min_by("ts", F.struct("drawdown", "ts")).alias("trough"), F.first("recovery").alias("recovery"),
         F.min("drawdown").alias("depth"), F.count("*").alias("bars"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import asof
 from . import cross_section as xs
 
 
@@ -160,11 +161,19 @@ def event_profile(rows: DataFrame) -> DataFrame:
 def overlapping_events(own: DataFrame, market: DataFrame) -> DataFrame:
     """own and market: event_id, start, end. Each own event with the first market event that contains its start (inside), or else the one
     whose start is nearest (ties: the earlier), and how many days that lies away."""
-    both = own.select(F.col("event_id").alias("own_id"), "start", "end").join(F.broadcast(market.select(F.col("event_id").alias("market_id"), F.col("start").alias("__s"), F.col("end").alias("__e"))), F.lit(True))  # drawdown episodes of one market
-    inside = (F.col("start") >= F.col("__s")) & (F.col("start") <= F.col("__e"))
-    away = F.datediff("__s", "start")
-    best = Window.partitionBy("own_id").orderBy(F.desc(inside), F.when(inside, F.col("__s")), F.abs(away), "__s", "market_id")
-    return both.withColumn("inside", inside).withColumn("days", away).withColumn("__n", F.row_number().over(best)).where("__n = 1").select("own_id", "market_id", "inside", "days")
+    points = market.select(F.col("event_id").alias("market_id"), F.col("start").alias("at"), F.col("end").alias("until"))
+    first = points.groupBy("at").agg(F.min("market_id").alias("market_id"))
+    # of the market's events by start, only those that end later than all before can be the first to contain a time
+    longest = points.groupBy("at").agg(F.max("until").alias("until")).groupBy("until").agg(F.min("at").alias("at"))
+    record = longest.withColumn("__m", F.max("until").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1))).where("__m is null or until > __m")  # one market's events
+    owner = points.join(record.select("at", "until"), ["at", "until"]).groupBy("at", "until").agg(F.min("market_id").alias("market_id"))
+    asks = own.select(F.col("event_id").alias("own_id"), "start")
+    found = asof.around(asof.around(asof.around(asks, owner, "start", "until", "__in", later=True), first, "start", "at", "__before"), first, "start", "at", "__after", later=True)
+    inside = F.coalesce(F.col("__in.at") <= F.col("start"), F.lit(False))
+    back, ahead = F.datediff("start", "__before.at"), F.datediff("__after.at", "start")
+    near = F.when(back.isNull() | (ahead < back), F.col("__after")).otherwise(F.col("__before"))
+    made = found.withColumn("inside", inside).withColumn("__near", near)
+    return made.select("own_id", F.when(inside, F.col("__in.market_id")).otherwise(F.col("__near.market_id")).alias("market_id"), "inside", F.datediff(F.when(inside, F.col("__in.at")).otherwise(F.col("__near.at")), "start").alias("days")).where("market_id is not null")
 
 
 def bucket_matrix(df: DataFrame, x: str, y: str, label: str, q: int) -> DataFrame:
@@ -183,4 +192,5 @@ def adjusted_p(df: DataFrame, p: str, family: list[str]) -> DataFrame:
     harmonic = F.aggregate(F.sequence(F.lit(1), m.cast("int")), F.lit(0.0), lambda a, k: a + 1 / k)
     raw = F.col(p) * m * harmonic / F.row_number().over(w.orderBy(p))
     placed = df.withColumn("__raw", raw)
-    return placed.withColumn("adjusted", F.least(F.lit(1.0), F.min("__raw").over(w.orderBy(p).rangeBetween(Window.currentRow, Window.unboundedFollowing)))).drop("__raw")
+    from_above = w.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow)  # the least of those with as large a p or a larger one
+    return placed.withColumn("adjusted", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("__raw").over(from_above)))).drop("__raw")

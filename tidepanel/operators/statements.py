@@ -52,7 +52,7 @@ def in_fiscal_period(payments: DataFrame, periods: DataFrame, date: str) -> Data
     spans = periods.select("code", "fiscal_year", "fiscal_end", F.coalesce(before, F.add_months("fiscal_end", -12)).alias("__from"))
     marks = spans.select("code", F.col("fiscal_end").alias("__t"), F.lit(1).alias("__s"), F.struct("fiscal_year", "fiscal_end", "__from").alias("__p"), F.lit(None).cast(payments.schema.simpleString()).alias("__row"))
     asks = payments.select("code", F.col(date).alias("__t"), F.lit(0).alias("__s"), F.lit(None).cast(marks.schema["__p"].dataType).alias("__p"), F.struct(*payments.columns).alias("__row"))
-    following = F.first("__p", ignorenulls=True).over(Window.partitionBy("code").orderBy("__t", "__s").rowsBetween(0, Window.unboundedFollowing))
+    following = F.last("__p", ignorenulls=True).over(Window.partitionBy("code").orderBy(F.desc("__t"), F.desc("__s")).rowsBetween(Window.unboundedPreceding, 0))  # running from the end
     found = marks.unionByName(asks).withColumn("__f", following).where((F.col("__s") == 0) & (F.col("__t") > F.col("__f.__from")))
     return found.select("__row.*", F.col("__f.fiscal_year").alias("fiscal_year"), F.col("__f.fiscal_end").alias("fiscal_end"))
 

@@ -135,7 +135,7 @@ def adjusted_prices(bars: DataFrame, least_ratio: float = 1.5, limit: float = 0.
     moved = F.abs(F.try_divide(F.col("close"), previous) - 1) > limit
     rows = bars.withColumn("base", base).withColumn("__f", factor).withColumn("__r", ratio).withColumn("__o", F.coalesce(linked & (F.abs(factor - 1) <= 1e-9) & halted & (ratio >= least_ratio) & moved, F.lit(False))).withColumn("__bad", F.coalesce(linked & ~(base > 0), F.lit(False)))
     rows = rows.withColumn("factor", F.when(F.col("__o"), F.col("__r")).otherwise(F.col("__f")))
-    later = F.sum(F.log("factor")).over(w.rowsBetween(1, Window.unboundedFollowing))
+    later = F.sum(F.log("factor")).over(Window.partitionBy("code").orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, -1))  # running from the end
     kind = F.when(F.col("__bad"), "invalid_base").when(F.col("__o"), "share_ratio_override").when(F.abs(F.col("factor") - 1) > 1e-9, "adjustment")
     return rows.withColumn("kind", kind).withColumn("adjusted", F.col("close") * F.exp(F.coalesce(later, F.lit(0.0)))).drop("__f", "__r", "__o", "__bad")
 

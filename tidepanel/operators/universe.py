@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from ..sources.files import written
 from . import cross_section as xs
 from .rolling import shift
 
@@ -188,8 +189,8 @@ def screened(panel: DataFrame, screen: DataFrame) -> DataFrame:
 def gaps(grid: DataFrame, x: str) -> DataFrame:
     """market, gap_start, gap_end, bars: the runs of missing x between known ones, on a dense grid."""
     w = Window.partitionBy("market").orderBy("ts")
-    seen, later = F.count(x).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.count(x).over(w.rowsBetween(1, Window.unboundedFollowing))
-    inside = grid.withColumn("island", seen).withColumn("later", later).where(F.col(x).isNull() & (F.col("island") > 0) & (F.col("later") > 0))
+    seen, every = F.count(x).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.count(x).over(Window.partitionBy("market"))
+    inside = grid.withColumn("island", seen).withColumn("__n", every).where(F.col(x).isNull() & (F.col("island") > 0) & (F.col("island") < F.col("__n")))
     return inside.groupBy("market", "island").agg(F.min("ts").alias("gap_start"), F.max("ts").alias("gap_end"), F.count("*").alias("bars")).drop("island")
 
 
@@ -214,7 +215,7 @@ def parameter_grid(spark: SparkSession, axes: dict[str, list], constraint: str |
     """Every combination of the axes' values that meets the constraint, an SQL condition over their names."""
     out = None
     for name, values in axes.items():
-        side = spark.createDataFrame([(v,) for v in values], [name])
+        side = spark.createDataFrame([(v,) for v in values], [name]).coalesce(1)
         out = side if out is None else out.crossJoin(side)  # the product is what is asked for
     return out.where(F.expr(constraint)) if constraint else out
 
@@ -222,6 +223,7 @@ def parameter_grid(spark: SparkSession, axes: dict[str, list], constraint: str |
 def plateau(grid: DataFrame, numeric: list[str], categories: list[str], metric: str) -> DataFrame:
     """plateau: mean metric of the neighbours: the same categories, on each numeric axis the same value or the next one on
     either side, the row itself left out. neighbours: how many."""
+    grid = written(grid, "grid")  # read for each axis and on both sides of the join
     placed = grid
     for c in numeric:
         axis = grid.select(c).distinct().withColumn(f"__{c}", F.dense_rank().over(Window.orderBy(c)))  # an axis's values

@@ -78,8 +78,8 @@ def redistribute(df: DataFrame, weight: str, cap: str) -> DataFrame:
 
 def rescale_to(weight: Column, total: float) -> Column:
     """All weights of a time times what makes their sum the total; a sum of 0 stays."""
-    held = F.sum(weight).over(xs.at())
-    return F.when(held > 0, weight * F.try_divide(F.lit(total), held)).otherwise(weight)
+    held = xs.exact_sum(weight).over(xs.at()).cast("double")
+    return F.when(held > 0, F.try_divide(weight * total, held)).otherwise(weight)
 
 
 def changes_only(targets: DataFrame, weight: str, scope: str = "portfolio") -> DataFrame:
@@ -187,7 +187,7 @@ def held_targets(grid: DataFrame, weight: str) -> DataFrame:
 def with_hedge(targets: DataFrame, weight: str, beta: str | None, hedge: str, ratio: float = 1.0) -> DataFrame:
     """One more row a time: the hedge market at -ratio times the sum of weight times beta (a null one raises), or of weight alone."""
     known = F.lit(1.0) if beta is None else F.when(F.col(beta).isNull() & (F.col(weight) != 0), F.raise_error(F.lit("a held market has no beta")).cast("double")).otherwise(F.coalesce(beta, F.lit(0.0)))
-    leg = targets.groupBy("ts").agg((F.lit(0.0) - F.sum(F.col(weight) * known) * ratio).alias(weight)).withColumn("market", F.lit(hedge))
+    leg = targets.groupBy("ts").agg((F.lit(0.0) - xs.exact_sum(F.col(weight) * known).cast("double") * ratio).alias(weight)).withColumn("market", F.lit(hedge))
     return targets.select("ts", "market", weight).unionByName(leg.select("ts", "market", weight)).groupBy("ts", "market").agg(F.sum(weight).alias(weight))
 
 

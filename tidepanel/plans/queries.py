@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import elementwise as ew
-from ..operators import asof, curves, research, rolling, sliding, weights
+from ..operators import asof, curves, research, rolling, sliding, universe, weights
 from ..operators import cross_section as xs
 from ..sources import panel
 from ..streaming import bars as bars_
@@ -332,11 +332,7 @@ def cscv_overfitting(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o.market, a.ts AS gap_start, b.ts AS gap_end, nxt - o.i - 1 AS bars FROM o JOIN cal a ON a.i = o.i + 1 JOIN cal b ON b.i = nxt - 1 WHERE nxt > o.i + 1""")
 def price_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = panel.dense_grid(panel.build_panel(spark, sf_dir, "brand").select("ts", "market", "price"))
-    w = rolling.by_time()
-    seen = F.count("price").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    later = F.count("price").over(w.rowsBetween(1, Window.unboundedFollowing))
-    g = grid.withColumn("island", seen).withColumn("later", later).where("price is null and island > 0 and later > 0")
-    return g.groupBy("market", "island").agg(F.min("ts").alias("gap_start"), F.max("ts").alias("gap_end"), F.count("*").alias("bars")).drop("island")
+    return universe.gaps(grid, "price")
 
 
 @_registered("""SELECT date_trunc('hour', ts) AS ts, event_type AS market, arg_min(value, event_id_ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, event_id_ts) AS close, round(sum(value), 6) AS total, count(*) AS n_ticks

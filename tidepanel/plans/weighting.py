@@ -82,7 +82,7 @@ def defensive_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_registered(f"""WITH {BOOK}, t AS (SELECT ts, market, target, round(price / 1400, 6) AS beta FROM b WHERE target IS NOT NULL)
-SELECT ts, market, round(target, 6) AS target FROM t UNION ALL SELECT ts, 'HEDGE', round(0 - 0.5 * sum(target * coalesce(beta, 0)), 6) FROM t GROUP BY ts""")
+SELECT ts, market, round(target, 6) AS target FROM t UNION ALL SELECT ts, 'HEDGE', round(0 - 0.5 * CAST(sum(CAST(target * coalesce(beta, 0) AS DECIMAL(28,12))) AS DOUBLE), 6) FROM t GROUP BY ts""")
 def hedged_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _book(spark, sf_dir).where("target is not null").withColumn("beta", F.round(F.col("price") / 1400, 6))
     return weights.with_hedge(t, "target", "beta", "HEDGE", 0.5).select("ts", "market", _r("target", "target"))
@@ -105,7 +105,7 @@ def smoothed_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.ewm_targets(_book(spark, sf_dir).where("target is not null"), "target", 3).select("ts", "market", _r("average", "average"))
 
 
-@_registered(f"""WITH {SIZE}, t AS (SELECT ts, market, least(volume / 400, 0.3) AS w FROM panel), r AS (SELECT ts, market, w, CASE WHEN sum(w) OVER (PARTITION BY ts) > 0 THEN w * 0.8 / sum(w) OVER (PARTITION BY ts) ELSE w END AS scaled FROM t)
+@_registered(f"""WITH {SIZE}, t AS (SELECT ts, market, least(volume / 400, 0.3) AS w FROM panel), r AS (SELECT ts, market, w, CASE WHEN total > 0 THEN w * 0.8 / total ELSE w END AS scaled FROM (SELECT *, CAST(sum(CAST(w AS DECIMAL(28,12))) OVER (PARTITION BY ts) AS DOUBLE) AS total FROM t))
 SELECT ts, market, round(w, 6) AS w, round(scaled, 6) AS scaled FROM r""")
 def rescaled_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = panel.build_panel(spark, sf_dir, "size").select("ts", "market", F.least(F.col("volume") / 400, F.lit(0.3)).alias("w"))

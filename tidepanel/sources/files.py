@@ -25,6 +25,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back: what is read more than once is computed once, and lost executors cost no more than a read."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_table(df: DataFrame, path: str, form: str = "parquet", by: str | None = None) -> str:
     """Parquet (zstd) or CSV with a header (nulls empty, numbers to the last digit)."""
     out = df.write.partitionBy(by) if by else df.write
