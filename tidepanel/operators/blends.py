@@ -70,34 +70,32 @@ def rebalanced(curves: DataFrame, weights: dict[str, float], every: str = "month
 
 def trend_exposed(curves: DataFrame, weights: dict[str, float], lookback: int, exposure: float, fee_bps: float = 0.0) -> DataFrame:
     """ts, value, turnover: as rebalanced() by month, with a run's weight times `exposure` in months after its month-end value was not
-    above that of `lookback` months before; the rest is cash. The portfolio is one series, folded by month in one group of the
-    few curves that it is made of."""
-    chosen = curves.where(F.col("run_id").isin(*weights)).select(F.lit(1).alias("__k"), "ts", "run_id", "value")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="ts", columns="run_id", values="value").sort_index()[list(weights)]
-        month = pd.to_datetime(wide.index).to_period("M")
-        ends = wide.groupby(month).last().asfreq("M")
-        off = (ends.pct_change(lookback, fill_method=None) <= 0).shift(1, freq="M").reindex(ends.index.union(ends.index + 1)).fillna(False)
-        want = np.array(list(weights.values()))
-        value, moved, share, cash, out = 1.0, 0.0, want.copy(), max(0.0, 1 - want.sum()), []
-        before = None
-        for m, part in wide.groupby(month):
-            if before is not None:
-                target = want * np.where(off.loc[m].to_numpy(bool), exposure, 1.0)
-                rest = max(0.0, 1 - target.sum())
-                turn = (np.abs(target - share).sum() + abs(rest - cash)) / 2
-                moved += turn
-                value *= max(0.0, 1 - turn * fee_bps / 10_000)
-                share, cash = target, rest
-            grown = share * (part / (part.iloc[0] if before is None else before)).to_numpy()
-            levels = value * (grown.sum(1) + cash)
-            out.append(pd.DataFrame({"ts": part.index, "value": levels, "turnover": moved}))
-            total = grown[-1].sum() + cash
-            value, share, cash, before = levels[-1], grown[-1] / total, cash / total, part.iloc[-1]
-        return pd.concat(out)
-
-    return chosen.groupBy("__k").applyInPandas(fold, "ts date, value double, turnover double")
+    above that of `lookback` months before; the rest is cash. The first month has the weights themselves.
+
+    A month's shares at its end follow from its targets and its growth alone, so its turnover does not depend on the value before:
+    the value is a running product over the months, one row each, and no month waits for the one before.
+    """
+    share = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])[F.col("run_id")]
+    rows = curves.where(F.col("run_id").isin(*weights)).select("ts", "run_id", "value", (F.year("ts") * 12 + F.month("ts")).alias("m"))
+    ends = rows.groupBy("run_id", "m").agg(F.max_by("value", "ts").alias("end"), F.min_by("value", "ts").alias("start"))
+    of_run = Window.partitionBy("run_id").orderBy("m")
+    late = lambda k, c: ends.select("run_id", (F.col("m") + k).alias("m"), F.col("end").alias(c))
+    before = F.lag("end").over(of_run)
+    joined = ends.withColumn("before", before).join(late(1, "__last"), ["run_id", "m"], "left").join(late(1 + lookback, "__old"), ["run_id", "m"], "left")
+    off = F.col("before").isNotNull() & F.coalesce(F.try_divide("__last", "__old") - 1 <= 0, F.lit(False))
+    months = joined.select("run_id", "m", F.coalesce("before", "start").alias("base"), (share * F.when(off, exposure).otherwise(1.0)).alias("target"), "end")
+    months = months.withColumn("grown", F.col("target") * F.try_divide("end", "base")).withColumn("rest", F.greatest(F.lit(0.0), 1 - F.sum("target").over(Window.partitionBy("m"))))
+    months = months.withColumn("growth", F.sum("grown").over(Window.partitionBy("m")) + F.col("rest"))
+    months = months.withColumn("__moved", F.abs(F.col("target") - F.lag(F.col("grown") / F.col("growth")).over(of_run)))
+    by_month = months.groupBy("m").agg(F.first("rest").alias("rest"), F.first("growth").alias("growth"), F.sum("__moved").alias("moved"))
+    in_order = Window.orderBy("m")  # one row a month
+    turn = F.coalesce((F.col("moved") + F.abs(F.col("rest") - F.lag(F.col("rest") / F.col("growth")).over(in_order))) / 2, F.lit(0.0))
+    kept = F.greatest(F.lit(0.0), 1 - F.col("turn") * (fee_bps / 10_000))
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    levels = by_month.withColumn("turn", turn).withColumn("kept", kept).withColumn("at", F.coalesce(F.exp(F.sum(F.log(F.col("growth") * F.col("kept"))).over(earlier)), F.lit(1.0)) * F.col("kept"))
+    levels = levels.select("m", F.col("rest").alias("cash"), "at", F.sum("turn").over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("turnover"))
+    held = rows.join(months.select("run_id", "m", "base", "target"), ["run_id", "m"]).join(levels, "m")
+    return held.groupBy("ts").agg(((F.sum(F.col("target") * F.try_divide("value", "base")) + F.first("cash")) * F.first("at")).alias("value"), F.first("turnover").alias("turnover"))
 
 
 def fold_winners(scores: DataFrame, metric: str = "inside") -> DataFrame:

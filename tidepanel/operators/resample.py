@@ -6,6 +6,8 @@ of all series are one job: a table of positions joined to the returns.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,96 @@ def stationary_positions(n: DataFrame, block: int, reps: int, seed: int) -> Data
     return cells.withColumn("__r", run).select("rep", "k", F.pmod(F.col("__r.at") + F.col("k") - F.col("__r.k0"), F.col("n")).cast("int").alias("pos"))
 
 
+def block_positions(n: DataFrame, block: int, reps: int, seed: int, wrap: bool) -> DataFrame:
+    """As stationary_positions, in blocks of one length: with wrap they start anywhere and go on at the first row after the last
+    (circular), else they start where they fit (moving)."""
+    cells = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    starts = F.col("n") if wrap else F.greatest(F.lit(1), F.col("n") - block + 1)
+    at = F.floor(uniform(seed, "block", F.col("rep"), F.floor(F.col("k") / block)) * starts)
+    return cells.select("rep", "k", F.pmod(at + F.col("k") % block, F.col("n")).cast("int").alias("pos"))
+
+
+def positions_of(kind: str, n: DataFrame, block: int, reps: int, seed: int) -> DataFrame:
+    """Positions of the replicates by kind: stationary, circular or moving."""
+    if kind == "stationary":
+        return stationary_positions(n, block, reps, seed)
+    if kind not in ("circular", "moving"):
+        raise ValueError(f"no bootstrap of kind {kind}")
+    return block_positions(n, block, reps, seed, kind == "circular")
+
+
+LAG_BLOCK = 4096
+
+
+def lag_products(df: DataFrame, x: str, by: str) -> DataFrame:
+    """by, n, lag, cross, head, tail: of each series less its mean, the sum of products lag rows apart, and the sums of squares of its
+    first and last lag + 1 rows, for lags up to sqrt(n) and a few more. Rows are dealt in blocks with the rows before them that
+    they need, so a task holds a block, and the work is rows times lags without a row for each."""
+    order = Window.partitionBy(by).orderBy("ts")
+    known = df.where(F.col(x).isNotNull()).select(by, "ts", F.col(x).cast("double").alias("__x"))
+    size = known.groupBy(by).agg(F.count("*").alias("n"), F.avg("__x").alias("__mean"))
+    size = size.withColumn("most", F.ceil(F.sqrt("n")) + F.greatest(F.lit(5), F.floor(F.log10("n"))))
+    rows = known.withColumn("i", F.row_number().over(order) - 1).join(size, by).withColumn("e", F.col("__x") - F.col("__mean"))
+    length = F.greatest(F.lit(LAG_BLOCK), F.col("most"))
+    own = F.floor(F.col("i") / length)
+    late = F.col("i") % length >= length - F.col("most")
+    dealt = rows.select(by, "n", "most", "i", "e", own.alias("own"), F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))).alias("block"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        e, mine = pdf["e"].to_numpy(), (pdf["own"] == pdf["block"]).to_numpy()
+        n, most = int(pdf["n"].iloc[0]), int(pdf["most"].iloc[0])
+        at = pdf["i"].to_numpy()
+        now, first = np.flatnonzero(mine), int(at[0])
+        cross = np.zeros(most + 1)
+        for lag in range(min(most, n - 1) + 1) if len(now) else []:
+            here = now[at[now] - lag >= first]
+            cross[lag] = e[here] @ e[here - lag]
+        lags = np.arange(most + 1)
+        ends = [np.bincount(places[mine & (places <= most)], e[mine & (places <= most)] ** 2, minlength=most + 1) for places in (at, n - 1 - at)]
+        return pd.DataFrame({by: pdf[by].iloc[0], "n": n, "lag": lags, "cross": cross, "head": ends[0], "tail": ends[1]})
+
+    parts = dealt.groupBy(by, "block").applyInPandas(run, f"{by} {df.schema[by].dataType.simpleString()}, n long, lag int, cross double, head double, tail double")
+    sums = parts.groupBy(by, "n", "lag").agg(*[F.sum(c).alias(c) for c in ("cross", "head", "tail")])
+    so_far = Window.partitionBy(by).orderBy("lag").rowsBetween(Window.unboundedPreceding, 0)
+    return sums.withColumns({c: F.sum(c).over(so_far) for c in ("head", "tail")})
+
+
+def block_lengths(df: DataFrame, x: str, by: str = "run_id") -> DataFrame:
+    """by, n, lags, stationary, circular: the block lengths that make the error of a bootstrap's variance least, from the series'
+    own autocovariances (Politis and White, with Patton's correction): a flat-top window of twice the first lag after which a run of
+    lags is insignificant. Series of fewer than ten values or without variance get nulls."""
+    w = Window.partitionBy(by)
+    lags = lag_products(df, x, by).where(F.col("n") >= 10)
+    square = F.max(F.when(F.col("lag") == 0, F.col("cross"))).over(w)
+    run = F.greatest(F.lit(5), F.floor(F.log10("n")))
+    rho = F.try_divide(F.abs("cross"), F.sqrt((square - F.col("head")) * (square - F.col("tail"))))
+    rows = lags.withColumn("small", (rho < 2 * F.sqrt(F.log10("n") / F.col("n"))).cast("int")).withColumn("run", run.cast("int")).withColumn("most", F.max("lag").over(w))
+    counted = rows.withColumn("__s", F.sum("small").over(w.orderBy("lag").rowsBetween(Window.unboundedPreceding, -1)))
+    before = F.when(F.col("lag") == F.col("run"), F.lit(0)).otherwise(F.col("__b"))
+    # how many of the run lags right before this one are small
+    earlier = counted.select(by, (F.col("lag") + F.col("run")).alias("lag"), F.coalesce("__s", F.lit(0)).alias("__b"))
+    starts = counted.join(earlier, [by, "lag"]).where(F.col("__s") - before == F.col("run")).groupBy(by).agg(F.min(F.col("lag") - F.col("run")).alias("first"))
+    chosen = rows.join(starts, by, "left").withColumn("lags", F.when(F.col("first").isNull(), F.col("most")).otherwise(F.least(F.col("most"), 2 * F.greatest(F.col("first"), F.lit(1)))))
+    ratio = F.col("lag") / F.col("lags")
+    weight = F.when(F.col("lag") > F.col("lags"), 0.0).when(ratio <= 0.5, 1.0).otherwise(2 * (1 - ratio))
+    cov = F.col("cross") / F.col("n")
+    sums = chosen.groupBy(by, "n", "lags").agg(F.sum(2 * weight * F.col("lag") * cov).alias("g"), F.sum(F.when(F.col("lag") == 0, cov).otherwise(2 * weight * cov)).alias("long_run"))
+    limit = F.ceil(F.least(3 * F.sqrt("n"), F.col("n") / 3)).cast("double")
+    best = lambda c: F.when(F.col("long_run") != 0, F.least(limit, F.pow(F.try_divide(2 * F.col("g") * F.col("g"), c * F.col("long_run") * F.col("long_run")), 1 / 3) * F.pow(F.col("n").cast("double"), 1 / 3)))
+    made = sums.select(by, "n", F.col("lags").cast("int").alias("lags"), best(F.lit(2.0)).alias("stationary"), best(F.lit(4.0) / 3).alias("circular"))
+    every = df.groupBy(by).agg(F.count(x).alias("n"))
+    return every.join(made.drop("n"), by, "left")
+
+
+def chosen_block(df: DataFrame, x: str, block: int | str, by: str, kind: str = "stationary") -> int:
+    """block itself, or for "auto" the median of the series' best lengths for that kind, 1 at least: one number for all of them."""
+    if block != "auto":
+        return int(block)
+    length = block_lengths(df, x, by).agg(F.percentile("stationary" if kind == "stationary" else "circular", 0.5)).first()[0]
+    return max(1, round(length or 1))
+
+
 def _numbered(returns: DataFrame, series: str) -> DataFrame:
     """Only times at which every series has a return, numbered from 0."""
     kinds = returns.select(series).distinct().count()
@@ -51,15 +143,16 @@ def _numbered(returns: DataFrame, series: str) -> DataFrame:
     return returns.join(full, "ts")
 
 
-def uncertainty(pairs: DataFrame, block: int, reps: int, seed: int, per_year: int) -> DataFrame:
-    """pairs: run_id, ts, strategy, benchmark (returns). By run over stationary replicates: 5 % quantiles of growth a year and of its
+def uncertainty(pairs: DataFrame, block: int | str, reps: int, seed: int, per_year: int, kind: str = "stationary") -> DataFrame:
+    """pairs: run_id, ts, strategy, benchmark (returns). By run over replicates of one kind: 5 % quantiles of growth a year and of its
     excess, the share below the benchmark, and 95 % quantiles of the worst drawdown and of the longest time below a high."""
+    block = chosen_block(pairs, "strategy", block, "run_id", kind)
     order = Window.partitionBy("run_id").orderBy("ts")
     rows = pairs.withColumn("pos", F.row_number().over(order) - 1)
     sizes = rows.groupBy("run_id").agg(F.count("*").alias("n"))
     positions = None
     for r in sizes.select("n").distinct().collect():  # as many as there are lengths of history
-        one = stationary_positions(sizes.where(F.col("n") == r.n).select("n").distinct(), block, reps, seed).withColumn("n", F.lit(r.n))
+        one = positions_of(kind, sizes.where(F.col("n") == r.n).select("n").distinct(), block, reps, seed).withColumn("n", F.lit(r.n))
         positions = one if positions is None else positions.unionByName(one)
     drawn = sizes.join(positions, "n").join(rows, ["run_id", "pos"]).select("run_id", "n", "rep", "k", "strategy", "benchmark")
     so_far = Window.partitionBy("run_id", "rep").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
@@ -79,12 +172,14 @@ def uncertainty(pairs: DataFrame, block: int, reps: int, seed: int, per_year: in
     )
 
 
-def bootstrap_means(returns: DataFrame, block: int, reps: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """returns: candidate, ts, d. (candidate, n, mean, omega) over the common times, and (candidate, rep, m): the means of the stationary
-    replicates, which take the same rows of all candidates; omega is sqrt(n) times their deviation."""
+def bootstrap_means(returns: DataFrame, block: int | str, reps: int, seed: int, kind: str = "stationary") -> tuple[DataFrame, DataFrame]:
+    """returns: candidate, ts, d. (candidate, n, mean, omega) over the common times, and (candidate, rep, m): the means of the
+    replicates (stationary, circular or moving), which take the same rows of all candidates; omega is sqrt(n) times their
+    deviation. The block may be "auto"."""
+    block = chosen_block(returns, "d", block, "candidate", kind)
     rows = _numbered(returns, "candidate")
     stats = rows.groupBy("candidate").agg(F.count("*").alias("n"), F.avg("d").alias("mean"))
-    positions = stationary_positions(stats.agg(F.max("n").alias("n")), block, reps, seed)
+    positions = positions_of(kind, stats.agg(F.max("n").alias("n")), block, reps, seed)
     # a replicate takes some rows more than once: their counts come first, so the join is smaller
     times = positions.groupBy("rep", "pos").agg(F.count("*").alias("__t"))
     means = rows.select("candidate", "pos", "d").join(times, "pos").groupBy("candidate", "rep").agg((F.sum(F.col("d") * F.col("__t")) / F.sum("__t")).alias("m"))
@@ -92,10 +187,10 @@ def bootstrap_means(returns: DataFrame, block: int, reps: int, seed: int) -> tup
     return stats.join(spread, "candidate").withColumn("omega", F.col("__s") * F.sqrt("n")).drop("__s"), means
 
 
-def superior_ability(returns: DataFrame, block: int, reps: int, seed: int) -> DataFrame:
+def superior_ability(returns: DataFrame, block: int | str, reps: int, seed: int, kind: str = "stationary") -> DataFrame:
     """One row: the studentised maximum of sqrt(n) mean / omega over candidates and its p-values by three recentrings of the
     replicates: lower (negative means stay), consistent (means far below 0 stay), upper (all are centred)."""
-    stats, means = bootstrap_means(returns, block, reps, seed)
+    stats, means = bootstrap_means(returns, block, reps, seed, kind)
     stats = stats.where("omega > 0")
     t = F.sqrt("n") * F.col("mean") / F.col("omega")
     far = F.col("mean") < -F.col("omega") / F.sqrt("n") * F.sqrt(2 * F.log(F.log("n")))
@@ -107,7 +202,7 @@ def superior_ability(returns: DataFrame, block: int, reps: int, seed: int) -> Da
     return best.crossJoin(observed).groupBy("candidates", "statistic").agg(*[F.avg((F.col(k) > F.col("statistic")).cast("double")).alias(f"p_{k}") for k in kinds])  # one row beside
 
 
-def stepwise_superior(returns: DataFrame, block: int, reps: int, seed: int, size: float = 0.05) -> DataFrame:
+def stepwise_superior(returns: DataFrame, block: int | str, reps: int, seed: int, size: float = 0.05, kind: str = "stationary") -> DataFrame:
     """Candidates whose mean is above 0 by step-down tests: in each step those beyond the (1 - size) quantile of the largest
     studentised deviation of the candidates left are taken out; superior, and step (1, 2, ...) for those.
 
@@ -116,7 +211,7 @@ def stepwise_superior(returns: DataFrame, block: int, reps: int, seed: int, size
     """
     from ..sources.files import read_table, scratch, write_table
 
-    stats, means = bootstrap_means(returns, block, reps, seed)
+    stats, means = bootstrap_means(returns, block, reps, seed, kind)
     spark = returns.sparkSession
     stats = read_table(spark, write_table(stats.where("omega > 0"), scratch(spark, "step-stats")))
     z = means.join(stats, "candidate").select("candidate", "rep", (F.sqrt("n") * (F.col("m") - F.col("mean")) / F.col("omega")).alias("z"))
@@ -144,28 +239,80 @@ def without_twins(returns: DataFrame) -> DataFrame:
     return returns.join(first.select("candidate"), "candidate", "left_semi")
 
 
-def confidence_set(returns: DataFrame, block: int, reps: int, seed: int) -> DataFrame:
-    """candidate, mean, order, p: candidates leave one by one, each time the one furthest below the mean of those left, by studentised
-    deviations; p is the share of replicates with a deviation as large, and never less than that of one that left before. Who has
-    p above a level is in the set of that level; the last one has p = 1. The table of candidates by replicate is written once; a
-    step is one pass over it."""
-    from ..sources.files import read_table, scratch, write_table
+def confidence_set(returns: DataFrame, block: int | str, reps: int, seed: int, kind: str = "stationary", method: str = "max") -> DataFrame:
+    """candidate, mean, order, p: candidates leave one by one, and p is the share of replicates with a deviation as large as theirs, and never
+    less than that of one that left before. Who has p above a level is in the set of that level; the last one has p = 1.
+    By "max" the one furthest below the mean of those left goes, by studentised deviations from it; by "R" the one with the largest
+    studentised distance to another that is better, tested by the range over all pairs left.
 
-    stats, means = bootstrap_means(returns, block, reps, seed)
-    spark = returns.sparkSession
-    table = means.join(stats.select("candidate", "mean"), "candidate")
-    left = read_table(spark, write_table(table, scratch(spark, "set-means")))
-    out, floor = [], 0.0
-    for order in range(1, left.select("candidate").distinct().count()):
-        here = Window.partitionBy("rep")
-        dev = (F.col("m") - F.col("mean")) - F.avg(F.col("m") - F.col("mean")).over(here)
-        rows = left.withColumn("__d", dev).withColumn("__g", F.col("mean") - F.avg("mean").over(here))
-        spread = rows.groupBy("candidate").agg(F.sqrt(F.avg(F.col("__d") * F.col("__d"))).alias("__s"), F.first("__g").alias("__g"), F.first("mean").alias("mean"))
-        worst = spread.withColumn("t", F.try_divide(-F.col("__g"), "__s")).orderBy(F.col("t").desc_nulls_last(), "candidate").first()
-        largest = rows.join(spread.select("candidate", "__s"), "candidate").groupBy("rep").agg(F.max(F.try_divide(-F.col("__d"), "__s")).alias("z"))
-        p = largest.agg(F.avg((F.col("z") >= worst.t).cast("double")).alias("p")).first().p
-        floor = max(floor, p)
-        out.append((worst.candidate, worst["mean"], order, floor))
-        left = left.where(F.col("candidate") != worst.candidate)
-    last = left.select("candidate", "mean").distinct().first()
-    return spark.createDataFrame([*out, (last.candidate, last["mean"], len(out) + 1, 1.0)], "candidate string, mean double, `order` int, p double")
+    Both need only the candidates' products over the replicates, K x K numbers of K candidates (a matrix of one task, so the
+    candidates are as many as its memory takes): they fix the order in which candidates leave. One pass over the replicates then
+    gives all steps' deviations at once, and a running maximum the p. So it is one written table and one action, however many candidates leave.
+    """
+    from ..sources.files import written
+
+    stats, means = bootstrap_means(returns, block, reps, seed, kind)
+    centred = means.join(stats.select("candidate", "mean"), "candidate").select("candidate", "rep", "mean", (F.col("m") - F.col("mean")).alias("c"))
+    vectors = centred.groupBy("candidate").agg(F.first("mean").alias("mean"), F.transform(F.array_sort(F.collect_list(F.struct("rep", "c"))), lambda x: x["c"]).alias("held"))
+    vectors = written(vectors, "set-vectors")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("candidate", ignore_index=True)
+        deviations, average = np.stack(pdf["held"]).T, pdf["mean"].to_numpy()
+        order, largest, observed = (_leave_by_mean if method == "max" else _leave_by_range)(deviations, average)
+        p = np.maximum.accumulate(np.r_[(largest >= observed).mean(0) if len(order) > 1 else [], 1.0])
+        return pd.DataFrame({"candidate": pdf["candidate"].to_numpy()[order], "mean": average[order], "order": np.arange(1, len(order) + 1, dtype=np.int32), "p": p})
+
+    return vectors.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(run, "candidate string, mean double, `order` int, p double")
+
+
+def _leave_by_mean(dev: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """dev: replicates by candidates. The order of leaving; for each step but the last the replicates' largest deviation, and the
+    observed one. Sums over those left are kept up, so a step costs one row of the products."""
+    reps, k = dev.shape
+    gram = dev.T @ dev / reps
+    left, row, total, means = np.ones(k, bool), gram.sum(1), gram.sum(), mean.sum()
+    own, sums, order = np.diag(gram).copy(), dev.sum(1), []
+    largest, observed = np.zeros((reps, max(0, k - 1))), np.zeros(max(0, k - 1))
+    for step in range(k - 1):
+        n = k - step
+        spread = np.sqrt(np.maximum(own - 2 * row / n + total / (n * n), 0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = np.where(left & (spread > 0), (means / n - mean) / spread, -np.inf)
+            z = (sums[:, None] / n - dev[:, left]) / spread[left]
+        out = int(np.argmax(t)) if np.isfinite(t).any() else int(np.flatnonzero(left)[0])
+        largest[:, step], observed[step] = np.nanmax(np.where(np.isfinite(z), z, -np.inf), axis=1), t[out]
+        order.append(out)
+        left[out] = False
+        total += own[out] - 2 * row[out]
+        row, means, sums = row - gram[out], means - mean[out], sums - dev[:, out]
+    return np.array([*order, *np.flatnonzero(left)]), largest, observed
+
+
+def _leave_by_range(dev: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _leave_by_mean, by the range over pairs: a pair's spread does not change when others leave, so each pair's largest deviation is
+    taken once, and pairs leave with their members."""
+    reps, k = dev.shape
+    gram = dev.T @ dev / reps
+    own = np.diag(gram)
+    spread = np.sqrt(np.maximum(own[:, None] + own[None, :] - 2 * gram, 0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.where(spread > 0, (mean[None, :] - mean[:, None]) / spread, -np.inf)  # row below column
+    left, order = np.ones(k, bool), []
+    for _ in range(k - 1):
+        here = np.where(left[:, None] & left[None, :], t, -np.inf)
+        out = int(np.argmax(here.max(1))) if np.isfinite(here).any() else int(np.flatnonzero(left)[0])
+        order.append(out)
+        left[out] = False
+    order = np.array([*order, *np.flatnonzero(left)])
+    # from the last to the first: a step's pairs are those of the step after and those of the one that leaves
+    largest, observed = np.zeros((reps, max(0, k - 1))), np.zeros(max(0, k - 1))
+    high, seen = np.zeros(reps), 0.0
+    for step in range(k - 2, -1, -1):
+        one, others = order[step], order[step + 1 :]
+        ok = spread[one, others] > 0
+        if ok.any():
+            high = np.maximum(high, np.abs((dev[:, others[ok]] - dev[:, [one]]) / spread[one, others[ok]]).max(1))
+            seen = max(seen, float((np.abs(mean[others[ok]] - mean[one]) / spread[one, others[ok]]).max()))
+        largest[:, step], observed[step] = high, seen
+    return order, largest, observed

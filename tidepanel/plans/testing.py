@@ -163,9 +163,14 @@ def rebalanced_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blends.rebalanced(blends.aligned(_curves(spark, sf_dir)), SHARES, "monthly", 10.0).select("ts", _r("value", "value"), _r("turnover", "turnover"))
 
 
-@_registered("")
+@_registered(f"""WITH {ALIGNED}, b AS (SELECT *, {SHARE_SQL} AS w, year(ts) * 12 + month(ts) AS p FROM al WHERE run_id IN ('ECONOMY', 'SMALL', 'PROMO')), e AS (SELECT run_id, p, any_value(w) AS w, arg_max(value, ts) AS e, arg_min(value, ts) AS f FROM b GROUP BY run_id, p),
+x AS (SELECT e.*, coalesce(lag(e.e) OVER (PARTITION BY e.run_id ORDER BY e.p), e.f) AS base, e.w * CASE WHEN lag(e.e) OVER (PARTITION BY e.run_id ORDER BY e.p) IS NOT NULL AND coalesce(a.e / c.e - 1 <= 0, false) THEN 0.4 ELSE 1.0 END AS tg
+  FROM e LEFT JOIN e a ON a.run_id = e.run_id AND a.p = e.p - 1 LEFT JOIN e c ON c.run_id = e.run_id AND c.p = e.p - 4),
+t AS (SELECT p, greatest(0, 1 - sum(tg)) AS rest, sum(tg * e / base) + greatest(0, 1 - sum(tg)) AS growth FROM x GROUP BY p), s AS (SELECT x.p, tg, lag(tg * e / base / growth) OVER (PARTITION BY run_id ORDER BY x.p) AS old FROM x JOIN t USING (p)),
+u AS (SELECT p, sum(abs(tg - old)) AS moved FROM s GROUP BY p), k AS (SELECT t.p, rest, growth, coalesce((moved + abs(rest - lag(rest / growth) OVER (ORDER BY t.p))) / 2, 0) AS turn FROM t JOIN u USING (p)), v AS (SELECT *, greatest(0, 1 - turn * 0.001) AS kept FROM k),
+z AS (SELECT p, rest, coalesce(exp(sum(ln(growth * kept)) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) * kept AS lvl, sum(turn) OVER (ORDER BY p) AS turnover FROM v)
+SELECT ts, round((sum(tg * value / base) + any_value(rest)) * any_value(lvl), 6) AS value, round(any_value(turnover), 6) AS turnover FROM b JOIN x USING (run_id, p) JOIN z USING (p) GROUP BY ts""")
 def trend_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL for the fold by month; tested against a plain loop."""
     return blends.trend_exposed(blends.aligned(_curves(spark, sf_dir)), SHARES, 3, 0.4, 10.0).select("ts", _r("value", "value"), _r("turnover", "turnover"))
 
 
