@@ -1,5 +1,5 @@
-"""Weights from the correlations of a book's markets. Pairs' moments are summed by Spark, over the members of each book's time and its
-window; one time's matrix, as many rows as members squared, is one group."""
+"""Weights from the correlations of a book's markets. Pairs' moments come from products of blocks of the members' windows; one time's
+matrix, as many numbers as members squared, is one group."""
 
 from __future__ import annotations
 
@@ -11,37 +11,45 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import products
+
 
 def pair_moments(returns: DataFrame, book: DataFrame, window: int, before: bool = False) -> DataFrame:
-    """returns: ts, market, ret on a dense grid; book: ts, market. By ts and ordered pair of members (a, b; a = b too): n, cov and corr
-    (sample) over the times of the window at which both are known. The window ends at ts, or with before right before it."""
-    calendar = returns.select("ts").distinct().withColumn("__i", F.row_number().over(Window.orderBy("ts")))  # a calendar
-    end = F.col("__e") - int(before)
-    members = book.select("ts", "market").join(calendar.withColumnRenamed("__i", "__e"), "ts").withColumn("__i", F.explode(F.sequence(end - window + 1, end)))
-    known = returns.where("ret is not null").join(calendar, "ts").select("market", "__i", "ret")
-    rows = members.select("ts", "market", "__i").join(known, ["market", "__i"])
-    other = rows.select("ts", "__i", F.col("market").alias("b"), F.col("ret").alias("__q"))
-    pairs = rows.withColumnRenamed("market", "a").join(other, ["ts", "__i"])
-    corr = F.try_divide(F.covar_samp("ret", "__q"), F.stddev_samp("ret") * F.stddev_samp("__q"))
-    return pairs.groupBy("ts", "a", "b").agg(F.count("*").alias("n"), F.covar_samp("ret", "__q").alias("cov"), corr.alias("corr"))
-
-
-def _by_time(book: DataFrame, moments: DataFrame, least: int, made: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]) -> DataFrame:
+    """returns: ts, market, ret on a dense grid; book: ts, market. By ts and member: the other members in arrays (products.PAIRS), with
+    n, cov and corr (sample) over the times of the window at which both are known. The window ends at ts, or with before right
+    before it."""
+    calendar = returns.select("ts").distinct().withColumn("i", F.row_number().over(Window.orderBy("ts")))  # a calendar
+    ends = book.select("ts").distinct().join(calendar, "ts").select("ts", (F.col("i") - int(before)).alias("e"))
+    rows = returns.join(calendar, "ts").select("i", "market", F.col("ret").alias("x"))
+    return products.moments(products.packed(ends, rows, window, ["ts"], book.select("ts", "market")), window, ["ts"])
+
+
+def _matrices(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n, cov and corr of one group's members, in the rows' order; 0 or NaN where a pair has nothing in common."""
+    names = pd.Index(pdf["market"])
+    n, cov, corr = np.zeros((len(names),) * 2, np.int64), *np.full((2, len(names), len(names)), np.nan)
+    for k, parts in enumerate(pdf["parts"]):
+        for p in parts if parts is not None else []:
+            at = names.get_indexer(p["others"])
+            ok = at >= 0
+            for matrix, c in ((n, "n"), (cov, "cov"), (corr, "corr")):
+                matrix[k, at[ok]] = np.asarray(p[c], float)[ok]
+    return n, cov, corr
+
+
+def _by_time(book: DataFrame, moments: DataFrame, least: int, made: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """made(covariances, correlations) gives a time's weights; equal ones where a pair has fewer than least common times."""
-    pairs = moments.groupBy("ts", F.col("a").alias("market")).agg(F.collect_list(F.struct("b", "n", "cov", "corr")).alias("pairs"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("market")
-        names = pdf["market"].tolist()
-        cells = [(m, p["b"], p["n"], p["cov"], p["corr"]) for m, ps in zip(names, pdf["pairs"], strict=True) if ps is not None for p in ps]
-        table = pd.DataFrame(cells, columns=["a", "b", "n", "cov", "corr"])
-        n, cov, corr = (table.pivot(index="a", columns="b", values=c).reindex(index=names, columns=names).astype(float) for c in ("n", "cov", "corr"))
-        thin = (n.fillna(0) < least).to_numpy().any() or not np.isfinite(corr.to_numpy()).all()
-        weight = np.full(len(names), 1 / len(names)) if thin or len(names) == 1 else made(cov.to_numpy(), corr.to_numpy())
-        return pd.DataFrame({"ts": pdf["ts"], "market": names, "weight": weight})
+        pdf = pdf.sort_values("market", ignore_index=True)
+        n, cov, corr = _matrices(pdf)
+        thin = (n < least).any() or not np.isfinite(corr).all()
+        weight = np.full(len(pdf), 1 / len(pdf)) if thin or len(pdf) == 1 else made(cov, corr)
+        return pd.DataFrame({"ts": pdf["ts"], "market": pdf["market"], "weight": weight})
 
     ts = book.schema["ts"].dataType.simpleString()
-    return book.select("ts", "market").join(pairs, ["ts", "market"], "left").groupBy("ts").applyInPandas(run, f"ts {ts}, market string, weight double")
+    rows = book.select("ts", "market").join(products.gathered(moments, ["ts"]), ["ts", "market"], "left")
+    return rows.groupBy("ts").applyInPandas(run, f"ts {ts}, market string, weight double")
 
 
 def cluster_equal(book: DataFrame, moments: DataFrame, threshold: float, least: int) -> DataFrame:
@@ -57,22 +65,67 @@ def cluster_equal(book: DataFrame, moments: DataFrame, threshold: float, least:
     return _by_time(book, moments, least, made)
 
 
-def risk_parity_tree(book: DataFrame, moments: DataFrame, least: int) -> DataFrame:
-    """Hierarchical risk parity: markets in the order of their single-linkage tree over sqrt((1 - corr) / 2), whose halves share the
-    weight by inverse variance, and so on down."""
-    return _by_time(book, moments, least, lambda cov, corr: _bisected(cov, _tree_order(np.sqrt(np.maximum((1 - np.clip(corr, -1, 1)) / 2, 0)))))
+def risk_parity_tree(book: DataFrame, moments: DataFrame, least: int, linkage: str = "single") -> DataFrame:
+    """Hierarchical risk parity: markets in the order of their tree (single, average, complete or ward linkage) over
+    sqrt((1 - corr) / 2), whose halves share the weight by inverse variance, and so on down."""
+    if linkage not in LINKAGES:
+        raise ValueError(f"no linkage {linkage}")
+    return _by_time(book, moments, least, lambda cov, corr: _bisected(cov, leaf_order(np.sqrt(np.maximum((1 - np.clip(corr, -1, 1)) / 2, 0)), linkage)))
+
+
+#: Distances of a joined part to the others, from those of its two parts (sizes a, b and c; d their distance): Lance and Williams.
+LINKAGES: dict[str, Callable] = {
+    "single": lambda x, y, d, a, b, c: np.minimum(x, y),
+    "complete": lambda x, y, d, a, b, c: np.maximum(x, y),
+    "average": lambda x, y, d, a, b, c: (a * x + b * y) / (a + b),
+    "ward": lambda x, y, d, a, b, c: np.sqrt(np.maximum(((a + c) * x * x + (b + c) * y * y - c * d * d) / (a + b + c), 0)),
+}
+
+
+def merges(distance: np.ndarray, linkage: str) -> list[tuple[float, int, int]]:
+    """The tree's joins (height, row, row), lowest first, by chains of nearest neighbours: a chain goes on to ever nearer parts, and
+    two that are each other's nearest are joined for good, whatever else is joined. Quadratic time in the rows."""
+    d, n = distance.astype(float).copy(), len(distance)
+    np.fill_diagonal(d, np.inf)
+    size, alive, chain, out = np.ones(n), np.ones(n, bool), [], []
+    while len(out) < n - 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        here = chain[-1]
+        near = int(np.argmin(d[here]))
+        if len(chain) > 1 and d[here, chain[-2]] <= d[here, near]:  # of equals, the one before ends the chain
+            near = chain[-2]
+            del chain[-2:]
+            height = d[here, near]
+            out.append((float(height), min(here, near), max(here, near)))
+            row = LINKAGES[linkage](d[here], d[near], height, size[here], size[near], size)
+            row[~alive] = np.inf
+            alive[near] = False
+            d[near], d[:, near] = np.inf, np.inf
+            row[[here, near]] = np.inf
+            d[here], d[:, here] = row, row
+            size[here] += size[near]
+        else:
+            chain.append(near)
+    return sorted(out, key=lambda m: m[0])
+
+
+def leaf_order(distance: np.ndarray, linkage: str = "single") -> list[int]:
+    """The rows in the order of the tree's leaves: of two parts, the one that was there first stands first."""
+    n = len(distance)
+    parts, part_of, up = {k: [k] for k in range(n)}, list(range(n)), list(range(n))
 
+    def root(k: int) -> int:
+        while up[k] != k:
+            up[k] = k = up[up[k]]
+        return k
 
-def _tree_order(distance: np.ndarray) -> list[int]:
-    n = len(distance)
-    parts: dict[int, list[int]] = {k: [k] for k in range(n)}
-    d = {(i, j): distance[i, j] for i in range(n) for j in range(i + 1, n)}
-    for fresh in range(n, 2 * n - 1):
-        i, j = min(d, key=lambda p: (d[p], p))
-        parts[fresh] = parts.pop(i) + parts.pop(j)
-        near = {k: min(d[min(i, k), max(i, k)], d[min(j, k), max(j, k)]) for k in parts if k != fresh}
-        d = {p: v for p, v in d.items() if i not in p and j not in p} | {(k, fresh): v for k, v in near.items()}
-    return parts.popitem()[1]
+    for fresh, (_, a, b) in enumerate(merges(distance, linkage), n):
+        a, b = root(a), root(b)
+        first, second = sorted((part_of[a], part_of[b]))
+        parts[fresh] = parts.pop(first) + parts.pop(second)
+        up[b], part_of[a] = a, fresh
+    return parts.popitem()[1] if parts else []
 
 
 def _bisected(cov: np.ndarray, order: list[int]) -> np.ndarray:
@@ -101,16 +154,11 @@ def volatility_scale(book: DataFrame, moments: DataFrame, target: float, per_yea
     taken as 0), inside the bounds, in steps down from where it is; high where a covariance is missing or rests on fewer than
     least times."""
     held = book.where("weight <> 0")
-    pairs = moments.groupBy("ts", F.col("a").alias("market")).agg(F.collect_list(F.struct("b", "n", "cov")).alias("pairs"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, w = pdf["market"].tolist(), pdf["weight"].to_numpy(float)
-        place = {m: k for k, m in enumerate(names)}
-        cov = np.full((len(names),) * 2, np.nan)
-        for m, ps in zip(names, pdf["pairs"], strict=True):
-            for p in ps if ps is not None else []:
-                if p["b"] in place and p["n"] >= max(2, least):
-                    cov[place[m], place[p["b"]]] = p["cov"]
+        w = pdf["weight"].to_numpy(float)
+        n, cov, _ = _matrices(pdf)
+        cov = np.where(n >= max(2, least), cov, np.nan)
         value = high
         if np.isfinite(cov).all():
             values, vectors = np.linalg.eigh(cov)
@@ -121,4 +169,4 @@ def volatility_scale(book: DataFrame, moments: DataFrame, target: float, per_yea
         return pd.DataFrame({"ts": pdf["ts"].iloc[:1], "multiplier": [value]})
 
     ts = book.schema["ts"].dataType.simpleString()
-    return held.join(pairs, ["ts", "market"], "left").groupBy("ts").applyInPandas(run, f"ts {ts}, multiplier double")
+    return held.join(products.gathered(moments, ["ts"]), ["ts", "market"], "left").groupBy("ts").applyInPandas(run, f"ts {ts}, multiplier double")

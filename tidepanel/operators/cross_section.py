@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from . import products
+
 def at() -> WindowSpec:
     return Window.partitionBy("ts")
 
@@ -96,19 +98,14 @@ def forward_rank(label: Column, by: tuple[str, ...] = ("ts",)) -> tuple[Column,
 def greedy_uncorrelated(df: DataFrame, ret: str, liquidity: str, threshold: float, window: int, least: int, liquidity_window: int, unit: str = "month") -> DataFrame:
     """period, market: who is kept at each period's last time. By mean liquidity, the greatest first (ties by market), a market is kept
     if its correlation with none that are kept is the threshold or more, over the times of the window at which both are known,
-    at least so many. Pairs over the threshold are found by Spark; the pick of one period is one group of its markets."""
-    days = df.select("ts").distinct().withColumn("__i", F.row_number().over(Window.orderBy("ts")))  # a calendar
-    ends = days.groupBy(F.trunc("ts", unit).alias("period")).agg(F.max("__i").alias("__e"))
-    rows = df.join(days, "ts").select("__i", "market", F.col(ret).alias("__r"), F.col(liquidity).alias("__l"))
-
-    def inside(n: int) -> DataFrame:
-        return rows.join(F.broadcast(ends), (F.col("__i") <= F.col("__e")) & (F.col("__i") > F.col("__e") - n))  # one row a period
-
-    known = inside(window).where("__r is not null").select("period", "__i", "market", "__r")
-    pairs = known.join(known.select("period", "__i", F.col("market").alias("__o"), F.col("__r").alias("__q")), ["period", "__i"]).where("market <> __o")
-    close = pairs.groupBy("period", "market", "__o").agg(F.count("*").alias("__n"), F.try_divide(F.covar_pop("__r", "__q"), F.stddev_pop("__r") * F.stddev_pop("__q")).alias("__c")).where((F.col("__n") >= least) & (F.col("__c") >= threshold))
-    near = close.groupBy("period", "market").agg(F.collect_set("__o").alias("near"))
-    ordered = inside(liquidity_window).groupBy("period", "market").agg(F.avg("__l").alias("liquidity")).join(near, ["period", "market"], "left")
+    at least so many. Pairs over the threshold come from products of blocks; the pick of one period is one group of its markets."""
+    days = df.select("ts").distinct().withColumn("i", F.row_number().over(Window.orderBy("ts")))  # a calendar
+    ends = days.groupBy(F.trunc("ts", unit).alias("period")).agg(F.max("i").alias("e"))
+    rows = df.join(days, "ts").select("i", "market", F.col(ret).alias("x"), F.col(liquidity).alias("__l"))
+    close = products.moments(products.packed(ends, rows, window, ["period"]), window, ["period"], threshold, least)
+    near = close.groupBy("period", "market").agg(F.flatten(F.collect_list("others")).alias("near"))
+    spans = ends.select("period", F.explode(F.sequence(F.col("e") - liquidity_window + 1, F.col("e"))).alias("i"))
+    ordered = spans.join(rows, "i").groupBy("period", "market").agg(F.avg("__l").alias("liquidity")).join(near, ["period", "market"], "left")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: set[str] = set()
