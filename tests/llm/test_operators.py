@@ -542,3 +542,27 @@ def test_pipeline_stages(spark, docs, tmp_path):
         now = after
         counts.append(now.count())
     assert counts[3] == counts[4] and cp.run(spark, str(folder)).count() == counts[4]
+
+
+def test_shares_follow_the_names_for_any_number_of_buckets():
+    rng = np.random.default_rng(0)
+    names = np.sort(rng.integers(0, 2**64, 5000, dtype=np.uint64))
+    for buckets in (1, 7, 4096, 4_000_000):
+        used, cut = recompress._shares(names, buckets)
+        bounds = (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets)
+        every = np.searchsorted(names >> np.uint64(32), bounds)
+        assert used.tolist() == np.flatnonzero(np.diff(every)).tolist() and cut.tolist() == [*every[:-1][np.diff(every) > 0].tolist(), len(names)]
+
+
+def test_repeats_with_more_buckets_than_a_table_may_have(spark, docs, monkeypatch):
+    want = sorted(recompress.remove_repeats(docs).collect(), key=str)
+    monkeypatch.setattr(recompress, "TABLE_BYTES", 1000)
+    monkeypatch.setattr(recompress, "BUCKET_WORDS", 3)
+    monkeypatch.setattr(recompress, "CHUNK_WORDS", 700)
+    before = {t.name for t in spark.catalog.listTables()}
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "5")
+    try:
+        assert sorted(recompress.remove_repeats(docs).collect(), key=str) == want
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
+    assert {t.name for t in spark.catalog.listTables()} == before

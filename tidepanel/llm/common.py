@@ -54,18 +54,17 @@ class Scratch:
 
     def __init__(self) -> None:
         self.paths: list[str] = []
-        self.spark: SparkSession | None = None
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         out = stage(df, name)
-        self.spark = df.sparkSession
         self.paths += [f.rpartition("/")[0] for f in out.inputFiles()[:1]]
         return out
 
     def clear(self) -> None:
+        spark = SparkSession.active()
         for path in self.paths:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         self.paths = []
 
 

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_folder, stage, text_of
+from .common import Scratch, partitions, shared_folder, stage, text_of
 
 WIDTH = 20
 CHUNK_WORDS = 500_000
@@ -194,9 +194,28 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def _shares(sorted_names: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins among ascending 64-bit names; buckets are equal ranges."""
-    return np.searchsorted(sorted_names >> _U(32), (np.arange(buckets + 1, dtype=np.uint64) << _U(32)) // _U(buckets))
+def _shares(sorted_names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that ascending 64-bit names fall into, and where each of those begins, with the end at last. Buckets are equal ranges of
+    the upper 32 bits; the work follows the names, however many buckets there are."""
+    bucket = (((sorted_names >> _U(32)) + _U(1)) * _U(buckets) - _U(1)) >> _U(32)
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    return bucket[first].astype(np.int64), np.r_[first, len(bucket)]
+
+
+def _slices(shares: tuple[np.ndarray, np.ndarray], reply: list[dict] | None) -> Iterator[tuple[dict, slice]]:
+    """A reply's buckets, each with its part of the names."""
+    used, cut = shares
+    for r in reply or []:
+        k = int(np.searchsorted(used, r["bucket"]))
+        yield r, slice(int(cut[k]), int(cut[k + 1]))
+
+
+def _dealt(shares: tuple[np.ndarray, np.ndarray], chunk: int, *columns: np.ndarray, flags: np.ndarray | None = None) -> list[pa.Array]:
+    """A row for each bucket that is used: the bucket, the chunk, the columns' parts as bytes, and the flags' as bits."""
+    used, cut = shares
+    parts = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+    out = [pa.array(used, pa.int32()), pa.array([chunk] * len(used), pa.int64()), *[pa.array([c[a:b].tobytes() for a, b in parts], pa.binary()) for c in columns]]
+    return out if flags is None else [*out, pa.array([np.packbits(flags[a:b]).tobytes() for a, b in parts], pa.binary())]
 
 
 _CHUNK = "chunk long, doc_ids binary, sizes binary, words array<binary>, places binary"
@@ -244,12 +263,10 @@ def _names_in(reply: list[dict] | None, turn: int, buckets: int):
     """A round's reply as a function of the sorted keys of a chunk's runs and pairs: their names, 0 for those that stand once."""
 
     def names(keys: np.ndarray) -> np.ndarray:
-        cut = _shares(keys, buckets)
         out = np.zeros(len(keys), np.uint64)
-        for r in reply or []:
-            k = r["bucket"]
+        for r, part in _slices(_shares(keys, buckets), reply):
             number = np.frombuffer(r["bits"], np.uint32).astype(np.uint64)
-            out[cut[k] : cut[k + 1]] = np.where(number > 0, (_U(turn + 1) << _U(60)) | (_U(k) << _U(32)) | number, _U(0))
+            out[part] = np.where(number > 0, (_U(turn + 1) << _U(60)) | (_U(r["bucket"]) << _U(32)) | number, _U(0))
         return out
 
     return names
@@ -265,11 +282,8 @@ def _symbol_rows(width: int, turn: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
             p = _parsed(r, _chunk_of(r), width, turn, buckets)
-            cut = _shares(p.keys(p.left, p.right, turn), buckets)
-            used = [k for k in range(buckets) if cut[k + 1] > cut[k]]
-            cols = [pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in used], pa.binary()) for x in (p.left, p.right)]
-            many = pa.array([np.packbits(p.many[cut[k] : cut[k + 1]]).tobytes() for k in used], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([r["chunk"]] * len(used), pa.int64()), *cols, many], ["bucket", "chunk", "left", "right", "many"])
+            shares = _shares(p.keys(p.left, p.right, turn), buckets)
+            yield pa.RecordBatch.from_arrays(_dealt(shares, r["chunk"], p.left, p.right, flags=p.many), ["bucket", "chunk", "left", "right", "many"])
 
     return run
 
@@ -301,12 +315,7 @@ def _anchor_rows(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
             names, many = _own_anchors(*_parsed(r, _chunk_of(r), width, ROUNDS, buckets).anchors())
-            cut = _shares(names, buckets)
-            used = [k for k in range(buckets) if cut[k + 1] > cut[k]]
-            yield pa.RecordBatch.from_pydict({
-                "bucket": pa.array(used, pa.int32()), "chunk": pa.array([r["chunk"]] * len(used), pa.int64()),
-                "names": pa.array([names[cut[k] : cut[k + 1]].tobytes() for k in used], pa.binary()), "many": pa.array([np.packbits(many[cut[k] : cut[k + 1]]).tobytes() for k in used], pa.binary()),
-            })
+            yield pa.RecordBatch.from_arrays(_dealt(_shares(names, buckets), r["chunk"], names, flags=many), ["bucket", "chunk", "names", "many"])
 
     return run
 
@@ -336,11 +345,10 @@ def _bits(pdf: pd.DataFrame, flags: np.ndarray, sizes: list[int]) -> pd.DataFram
     return pd.DataFrame(out, columns=["chunk", "bucket", "bits"])
 
 
-def _flags(reply: list[dict] | None, cut: np.ndarray) -> np.ndarray:
-    out = np.zeros(int(cut[-1]), bool)
-    for r in reply or []:
-        k = r["bucket"]
-        out[cut[k] : cut[k + 1]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=int(cut[k + 1] - cut[k]))
+def _flags(reply: list[dict] | None, shares: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    out = np.zeros(int(shares[1][-1]), bool)
+    for r, part in _slices(shares, reply):
+        out[part] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=part.stop - part.start)
     return out
 
 
@@ -369,10 +377,7 @@ def _window_rows(width: int, buckets: int):
             at, high, low, order, first = _candidates(r, chunk, width, buckets)
             lead = order[first]  # the order is stable, so a group's first is its earliest place
             high, low, doc = high[lead], low[lead], chunk.ids[chunk.doc[at[lead]]]
-            cut = _shares(high, buckets)
-            used = [k for k in range(buckets) if cut[k + 1] > cut[k]]
-            cols = [pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in used], pa.binary()) for x in (high, low, doc)]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([r["chunk"]] * len(used), pa.int64()), *cols], ["bucket", "chunk", "high", "low", "doc"])
+            yield pa.RecordBatch.from_arrays(_dealt(_shares(high, buckets), r["chunk"], high, low, doc), ["bucket", "chunk", "high", "low", "doc"])
 
     return run
 
@@ -406,31 +411,36 @@ def _removals(r: dict, chunk: Chunk, width: int, buckets: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _chunk_table(docs: DataFrame) -> DataFrame:
-    """The chunks as a table in the shared folder, bucketed by chunk."""
+def _chunk_table(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The chunks as a table in the shared folder, bucketed by chunk, and its name. It has a bucket for each TABLE_BYTES of text, up
+    to as many as Spark allows a table (spark.sql.sources.bucketing.maxBuckets); beyond that its buckets grow, of which a task reads a
+    chunk at a time."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    name, n = f"chunks_{uuid.uuid4().hex}", max(partitions(spark), int(size // TABLE_BYTES) + 1)
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    name, n = f"chunks_{uuid.uuid4().hex}", min(most, max(partitions(spark), int(size // TABLE_BYTES) + 1))
     rows = source.mapInArrow(_chunks, _CHUNK)
     rows.repartition(n, "chunk").write.bucketBy(n, "chunk").option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256 (and text: the kept words joined by one space)."""
-    chunks = _chunk_table(docs)
+    """One row per document: doc_id, n_words, n_removed, kept_sha256 (and text: the kept words joined by one space). The rows are written,
+    and the table of chunks is dropped with its files."""
+    scratch = Scratch()
+    chunks, name = _chunk_table(docs)
     n_words = chunks.agg(F.sum(F.length("places") / 4)).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), int(n_words // BUCKET_WORDS) + 1)
     reply_type = "chunk long, bucket int, bits binary"
     state = chunks
     for turn in range(ROUNDS):
         asked = state.mapInArrow(_symbol_rows(width, turn, buckets), "bucket int, chunk long, left binary, right binary, many binary")
-        state = state.join(_gathered(asked.groupBy("bucket").applyInPandas(_named, reply_type), f"names{turn}"), "chunk", "left")
+        state = state.join(_gathered(asked.groupBy("bucket").applyInPandas(_named, reply_type), f"names{turn}", scratch), "chunk", "left")
     anchors = state.mapInArrow(_anchor_rows(width, buckets), "bucket int, chunk long, names binary, many binary")
-    state = state.join(_gathered(anchors.groupBy("bucket").applyInPandas(_repeated, reply_type), "anchors"), "chunk", "left")
+    state = state.join(_gathered(anchors.groupBy("bucket").applyInPandas(_repeated, reply_type), "anchors", scratch), "chunk", "left")
     windows = state.mapInArrow(_window_rows(width, buckets), "bucket int, chunk long, high binary, low binary, doc binary")
-    state = state.join(_gathered(windows.groupBy("bucket").applyInPandas(_later, reply_type), "later"), "chunk", "left")
+    state = state.join(_gathered(windows.groupBy("bucket").applyInPandas(_later, reply_type), "later", scratch), "chunk", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
@@ -448,9 +458,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False)
                 cols.append(texts.cast(pa.string()))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text)
 
-    return state.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
+    out = stage(state.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text), "kept-words")
+    docs.sparkSession.sql(f"DROP TABLE {name}")
+    scratch.paths.append(f"{shared_folder(docs.sparkSession)}/{name}")  # a table of a path of its own leaves its files
+    scratch.clear()
+    return out
 
 
-def _gathered(replies: DataFrame, name: str) -> DataFrame:
+def _gathered(replies: DataFrame, name: str, scratch: Scratch) -> DataFrame:
     """A row for each chunk: its replies, one for each bucket at most. Written, as all later steps read them."""
-    return stage(replies, name).groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
+    return scratch.stage(replies, name).groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
