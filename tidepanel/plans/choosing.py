@@ -129,9 +129,15 @@ def average_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xs.average_correlation(_returns(spark, sf_dir), "ret", 4, 3).withColumn("correlation", F.round("correlation", 5))
 
 
-@_registered("")
+@_registered(f"""WITH RECURSIVE {RET}, c AS (SELECT ts, row_number() OVER (ORDER BY ts) AS i FROM (SELECT DISTINCT ts FROM r)), x AS (SELECT i, market, ret, volume FROM r JOIN c USING (ts)), e AS (SELECT date_trunc('month', ts)::DATE AS period, max(i) AS e FROM c GROUP BY 1),
+k AS (SELECT period, market, ret, x.i FROM e JOIN x ON x.i > e.e - 120 AND x.i <= e.e WHERE ret IS NOT NULL), n AS (SELECT a.period, a.market, b.market AS o FROM k a JOIN k b ON a.period = b.period AND a.i = b.i AND a.market <> b.market GROUP BY 1, 2, 3 HAVING count(*) >= 5 AND corr(a.ret, b.ret) >= 0.5),
+nl AS (SELECT period, market, list(o) AS near FROM n GROUP BY 1, 2), q AS (SELECT period, market, avg(volume) AS l FROM e JOIN x ON x.i > e.e - 60 AND x.i <= e.e GROUP BY 1, 2),
+o AS (SELECT q.period, q.market, coalesce(near, []) AS near, row_number() OVER (PARTITION BY q.period ORDER BY l DESC NULLS LAST, q.market) AS p FROM q LEFT JOIN nl USING (period, market)),
+pick AS (SELECT period, p, market, [market] AS kept, true AS sel FROM o WHERE p = 1
+  UNION ALL SELECT o.period, o.p, o.market, CASE WHEN list_has_any(o.near, pick.kept) THEN pick.kept ELSE list_append(pick.kept, o.market) END, NOT list_has_any(o.near, pick.kept) FROM pick JOIN o ON o.period = pick.period AND o.p = pick.p + 1)
+SELECT period, market FROM pick WHERE sel""")
 def uncorrelated_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly picks; no SQL for the greedy order, tested against a plain loop."""
+    """Monthly picks."""
     return xs.greedy_uncorrelated(_returns(spark, sf_dir), "ret", "volume", 0.5, 120, 5, 60)
 
 
