@@ -28,7 +28,7 @@ def test_slots_equal_a_plain_loop(spark):
     markets, n, cooldown, longest, slots = "abcdef", 60, 2, 9, 2
     rows = [("r", t, m, rng.random() < 0.8, rng.random() < 0.95, rng.choice([None, 1.0, 2.0, 3.0]), 1.0 if rng.random() < 0.1 else 0.0) for t in range(n) for m in markets]
     df = spark.createDataFrame(rows, "run_id string, ts int, market string, candidate boolean, eligible boolean, score double, leave double")
-    got = {(r.ts, r.market) for r in universe.held_slots(df, slots, cooldown=cooldown, longest=longest).where("selected").collect()}
+    one, many = ({(r.ts, r.market) for r in universe.held_slots(df, slots, cooldown=cooldown, longest=longest, times=k).where("selected").collect()} for k in (None, 7))
     at, since, rest, want = {(t, m): x for _, t, m, *x in rows}, {}, {}, set()
     for t in range(n):
         for m in list(since):
@@ -40,7 +40,8 @@ def test_slots_equal_a_plain_loop(spark):
         for _, m in free[: slots - len(since)]:
             since[m] = t
         want |= {(t, m) for m in since}
-    assert got == want and want
+    assert one == many == want and want
+    assert universe.held_slots(df.where("false"), slots).count() == 0
 
 
 def test_greedy_pick_equals_a_plain_loop(spark):

@@ -30,7 +30,7 @@ def rows(df: pd.DataFrame) -> list:
 
 
 #: Queries without SQL, each tested against a plain version in test_panel_operators.py.
-WITHOUT_SQL = {"risk_parity_weights", "slot_selection", "volatility_scales"}
+WITHOUT_SQL = {"risk_parity_weights", "volatility_scales"}
 
 
 def test_all_other_queries_have_sql():

@@ -11,7 +11,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..sources.files import written
 from . import cross_section as xs
@@ -140,39 +139,72 @@ def with_coverage(panel: DataFrame, instruments: DataFrame, most: int = 100_000)
     return panel.join(side, "market", "left").withColumn("usage_ok", covered(F.col("ts"), F.col("data_start"), F.col("data_end"))).drop("data_start", "data_end")
 
 
-def held_slots(df: DataFrame, slots: int, descending: bool = True, cooldown: int = 0, longest: int | None = None) -> DataFrame:
+SLOT_TIMES = 2000
+SLOT_STATE = "run_id {run}, market string, entered long, free long"
+
+
+def held_slots(df: DataFrame, slots: int, descending: bool = True, cooldown: int = 0, longest: int | None = None, times: int | None = None) -> DataFrame:
     """selected: who holds one of the slots. df: run_id, ts, market, candidate, eligible, score, leave, every market at every time.
 
     Those who hold stay until they are told to leave, are no longer eligible, or have held longest times; then they wait cooldown
-    times more. Free slots go to the best scores, ties by market. The state is of all markets together, so a run is one group
-    (as many rows as its panel) and runs are dealt out.
+    times more. Free slots go to the best scores, ties by market. The state is of all markets together, so a run goes through time in
+    ranges of `times` times: a range of a run is one group, which gets the state that the range before has left (a row a market) and
+    leaves its own. Each range is written, so a lost executor costs a range; runs are dealt out.
     """
-    schema = StructType([*df.select("run_id", "ts", "market").schema.fields, StructField("selected", BooleanType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        markets = sorted(pdf["market"].unique())
-        wide = {c: pdf.pivot(index="ts", columns="market", values=c).reindex(columns=markets) for c in ("candidate", "eligible", "score", "leave")}
-        eligible, leave = wide["eligible"].fillna(False).to_numpy(bool), wide["leave"].to_numpy(float)
-        score = wide["score"].to_numpy(float) * (-1 if descending else 1)
-        ready = wide["candidate"].fillna(False).to_numpy(bool) & eligible & np.isfinite(score) & (leave == 0)
-        told = ~eligible | (leave != 0)
-        entered, free_from = np.full(len(markets), -1), np.zeros(len(markets), int)
-        taken = np.zeros(ready.shape, bool)
-        for t in range(len(ready)):
-            holding = entered >= 0
-            over = holding & (t - entered >= longest) if longest is not None else np.zeros(len(markets), bool)
-            if (holding & ~over & eligible[t] & ~np.isfinite(leave[t])).any():
+    length = times or SLOT_TIMES
+    calendar = df.select("run_id", "ts").distinct().withColumn("__i", F.row_number().over(Window.partitionBy("run_id").orderBy("ts")) - 1)  # a run's times
+    rows = written(df.join(calendar, ["run_id", "ts"]).withColumn("__r", F.floor(F.col("__i") / length).cast("int")), "slot-ranges")
+    run_type, ts_type = df.schema["run_id"].dataType.simpleString(), df.schema["ts"].dataType.simpleString()
+    fields = f"run_id {run_type}, ts {ts_type}, market string, selected boolean, entered long, free long"
+    state = df.sparkSession.createDataFrame([], SLOT_STATE.format(run=run_type))
+    last = rows.agg(F.max("__r")).first()[0]
+    parts = []
+    for r in range((last if last is not None else -1) + 1):  # each range needs the one before
+        now = rows.where(F.col("__r") == r).groupBy("run_id").cogroup(state.groupBy("run_id")).applyInPandas(_slot_range(slots, descending, cooldown, longest), fields)
+        now = written(now, "slots")
+        parts.append(now.where("selected is not null").select("run_id", "ts", "market", "selected"))
+        state = now.where("selected is null").select("run_id", "market", "entered", "free")
+    if not parts:
+        return df.select("run_id", "ts", "market", F.lit(False).alias("selected"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _slot_range(slots: int, descending: bool, cooldown: int, longest: int | None):
+    """One run's range of times: rows with selected, and at last a row a market with its state (entered: the time's number, -1 for none;
+    free: the number from which on it may enter)."""
+
+    def run(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):  # a run of fewer times is over
+            return before.assign(ts=None, selected=None)[["run_id", "ts", "market", "selected", "entered", "free"]].iloc[:0]
+        markets = sorted({*pdf["market"], *before["market"]})
+        wide = {c: pdf.pivot(index="__i", columns="market", values=c).reindex(columns=markets) for c in ("candidate", "eligible", "score", "leave")}
+        eligible, leave = (wide["eligible"] == True).to_numpy(), wide["leave"].to_numpy(float)  # noqa: E712
+        order = wide["score"].to_numpy(float) * (-1 if descending else 1)
+        ready = (wide["candidate"] == True).to_numpy() & eligible & np.isfinite(order) & (leave == 0)  # noqa: E712
+        held = before.set_index("market").reindex(markets)
+        entered, free = held["entered"].fillna(-1).to_numpy(np.int64), held["free"].fillna(0).to_numpy(np.int64)
+        taken, numbers = np.zeros(ready.shape, bool), wide["score"].index.to_numpy(np.int64)
+        for k, t in enumerate(numbers.tolist()):
+            inside = entered >= 0
+            over = inside & (t - entered >= longest) if longest is not None else np.zeros(len(markets), bool)
+            if (inside & ~over & eligible[k] & ~np.isfinite(leave[k])).any():
                 raise ValueError("a held market has no leave signal")
-            out = holding & (told[t] | over)
-            entered[out], free_from[out] = -1, t + cooldown + 1
-            open_to = np.flatnonzero(ready[t] & (entered < 0) & (free_from <= t))
-            best = open_to[np.argsort(score[t][open_to], kind="stable")][: max(0, slots - int((entered >= 0).sum()))]
-            entered[best] = t
-            taken[t] = entered >= 0
-        days = wide["score"].index
-        return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "ts": np.repeat(days, len(markets)), "market": np.tile(markets, len(days)), "selected": taken.ravel()})
-
-    return df.groupBy("run_id").applyInPandas(run, schema)
+            out = inside & (over | ~eligible[k] | (leave[k] != 0))
+            entered[out], free[out] = -1, t + cooldown + 1
+            room = slots - int((entered >= 0).sum())
+            if room > 0:
+                able = np.flatnonzero(ready[k] & (entered < 0) & (free <= t))
+                entered[able[np.argsort(order[k][able], kind="stable")][:room]] = t
+            taken[k] = entered >= 0
+        days = pdf.drop_duplicates("__i").set_index("__i")["ts"].reindex(numbers).to_numpy()
+        rows = pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "ts": np.repeat(days, len(markets)), "market": np.tile(markets, len(days)), "selected": taken.ravel(), "entered": -1, "free": 0})
+        left = pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "ts": None, "market": markets, "selected": None, "entered": entered, "free": free})
+        return pd.concat([rows.astype({"selected": object, "ts": object}), left.astype({"selected": object, "ts": object})], ignore_index=True)
+
+    return run
 
 
 def screened(panel: DataFrame, screen: DataFrame) -> DataFrame:

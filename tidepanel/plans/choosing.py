@@ -29,9 +29,16 @@ def built_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return universe.build(_grid(spark, sf_dir), SPEC).where("base").select("ts", "market", "base", "selected")
 
 
-@_registered("")
+@_registered(f"""WITH RECURSIVE {SIZE}, {GRID}, t AS (SELECT ts, row_number() OVER (ORDER BY ts) AS i FROM (SELECT DISTINCT ts FROM grid)),
+u AS (SELECT run_id, ts, market, CASE run_id WHEN 'price' THEN price ELSE volume END AS score, price IS NOT NULL AS cand, coalesce(volume < 8, false) AS lv FROM grid CROSS JOIN (VALUES ('price'), ('volume')) v(run_id)),
+d AS (SELECT run_id, i, any_value(u.ts) AS ts, coalesce(list(market ORDER BY score DESC, market) FILTER (cand AND score IS NOT NULL AND NOT lv), []) AS ready, coalesce(list(market) FILTER (lv), []) AS told FROM u JOIN t USING (ts) GROUP BY run_id, i),
+s AS (SELECT run_id, CAST(0 AS BIGINT) AS i, NULL::DATE AS ts, []::STRUCT(m VARCHAR, "at" BIGINT)[] AS active, []::STRUCT(m VARCHAR, "at" BIGINT)[] AS barred FROM (SELECT DISTINCT run_id FROM d)
+  UNION ALL SELECT run_id, i, ts, list_concat(kept, list_transform(list_filter(ready, lambda x: NOT list_contains(list_transform(kept, lambda a: a.m), x) AND NOT list_contains(list_transform(waits, lambda b: b.m), x))[1:5 - len(kept)], lambda x: {{'m': x, 'at': i}})), waits
+  FROM (SELECT run_id, i, ts, ready, kept, list_concat(list_filter(barred, lambda b: b."at" > i), list_transform(gone, lambda a: {{'m': a.m, 'at': i + 3}})) AS waits
+    FROM (SELECT d.run_id, d.i, d.ts, d.ready, s.barred, list_filter(s.active, lambda a: d.i - a."at" < 40 AND NOT list_contains(d.told, a.m)) AS kept, list_filter(s.active, lambda a: NOT (d.i - a."at" < 40 AND NOT list_contains(d.told, a.m))) AS gone FROM s JOIN d ON d.run_id = s.run_id AND d.i = s.i + 1)))
+SELECT run_id, ts, unnest(list_transform(active, lambda a: a.m)) AS market FROM s WHERE i > 0""")
 def slot_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five slots in each of two runs that rank by price and by volume; no SQL, tested against a plain loop."""
+    """Five slots in each of two runs that rank by price and by volume."""
     g = _grid(spark, sf_dir)
     runs = g.withColumn("run_id", F.explode(F.array(F.lit("price"), F.lit("volume"))))
     score = F.when(F.col("run_id") == "price", F.col("price")).otherwise(F.col("volume"))
