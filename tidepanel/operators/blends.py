@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .curves import run, with_returns
+from .curves import performance, recovery, run, with_returns
 from .weights import period_key
 
 
@@ -98,6 +98,20 @@ def trend_exposed(curves: DataFrame, weights: dict[str, float], lookback: int, e
     return held.groupBy("ts").agg(((F.sum(F.col("target") * F.try_divide("value", "base")) + F.first("cash")) * F.first("at")).alias("value"), F.first("turnover").alias("turnover"))
 
 
+def summary(curves: DataFrame, settings: DataFrame, per_year: int) -> DataFrame:
+    """One row a blend: curves (run_id, ts, value) and settings (run_id, mode, weights, turnover). Growth a year is by calendar days, and so is
+    Calmar's ratio; the rest is as performance() and recovery() have it, in percent where a name says so."""
+    ends = curves.groupBy("run_id").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("observations"), F.try_divide(F.max_by("value", "ts"), F.min_by("value", "ts")).alias("__g"))
+    days = F.datediff("end", "start")
+    cagr = F.when((days > 0) & (F.col("__g") > 0), F.pow("__g", 365.25 / days) - 1)
+    made = ends.join(performance(curves, per_year).drop("n", "cagr", "calmar"), "run_id").join(recovery(curves), "run_id").join(settings, "run_id", "left")
+    return made.select(
+        "run_id", "mode", "start", "end", "observations", ((F.col("__g") - 1) * 100).alias("total_return_pct"), (cagr * 100).alias("cagr_pct"), (F.col("vol") * 100).alias("volatility_pct"), (F.col("max_drawdown") * 100).alias("max_drawdown_pct"),
+        "sharpe", "sortino", F.when(F.col("max_drawdown") < 0, cagr / F.abs("max_drawdown")).alias("calmar"), F.col("ulcer").alias("ulcer_pct"), F.col("longest_completed").alias("longest_recovery_bars"), F.col("longest").alias("longest_bars"),
+        F.col("p90").alias("p90_bars"), F.col("current_pct").alias("current_drawdown_pct"), "under_water_pct", "turnover", "weights",
+    )
+
+
 def fold_winners(scores: DataFrame, metric: str = "inside") -> DataFrame:
     """Of each fold (fold, candidate, inside, outside): the candidate with the best inside score, ties by name."""
     best = Window.partitionBy("fold").orderBy(F.col(metric).desc_nulls_last(), "candidate")

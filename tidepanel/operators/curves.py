@@ -145,3 +145,11 @@ def group_benchmark(prices: DataFrame) -> DataFrame:
     w = Window.partitionBy("market").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     grown = F.try_divide(F.last("price", ignorenulls=True).over(w), F.first("price", ignorenulls=True).over(w))
     return prices.withColumn("__g", F.coalesce(grown, F.lit(1.0))).groupBy("ts").agg(F.avg("__g").alias("value"))
+
+
+def market_benchmark(prices: DataFrame, market: str, cash: float) -> DataFrame:
+    """ts, value: the cash grown as one market's price since its first known one; a missing price keeps the last. A dense grid."""
+    own = prices.where(F.col("market") == market).select("ts", "price")
+    so_far = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)  # one market
+    held = own.withColumn("__p", F.last("price", ignorenulls=True).over(so_far)).withColumn("__f", F.first("price", ignorenulls=True).over(so_far))
+    return held.where("__p is not null").select("ts", (F.try_divide("__p", "__f") * cash).alias("value"))

@@ -185,6 +185,21 @@ def bucket_matrix(df: DataFrame, x: str, y: str, label: str, q: int) -> DataFram
     return sides.join(cells, ["x_bucket", "y_bucket"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def cell_summary(df: DataFrame, axes: dict[str, int], label: str) -> DataFrame:
+    """Mean and median label, share above zero and count by the buckets of any number of columns (column: how many), named by the column with
+    _bucket behind; the rows know all the columns and the label. Empty cells are kept: the cells are the product of the axes."""
+    known = df.where(F.col(label).isNotNull())
+    for c in axes:
+        known = known.where(F.col(c).isNotNull())
+    names = [f"{c}_bucket" for c in axes]
+    placed = known.withColumns({f"{c}_bucket": xs.quantile_bucket(F.col(c), q) for c, q in axes.items()})
+    cells = placed.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("mean_label"), F.percentile(label, 0.5).alias("median_label"), F.avg((F.col(label) > 0).cast("double")).alias("positive"))
+    every = df.sparkSession.range(1)
+    for c, q in axes.items():
+        every = every.withColumn(f"{c}_bucket", F.explode(F.sequence(F.lit(1), F.lit(q))))
+    return every.drop("id").join(cells, names, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def adjusted_p(df: DataFrame, p: str, family: list[str]) -> DataFrame:
     """adjusted: Benjamini-Yekutieli within each family; ties by p share the same value."""
     w = Window.partitionBy(*family)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 from ..functions import text
-from ..operators import curves, research, rolling, statements, tables
+from ..operators import blends, curves, research, rolling, statements, tables
 from ..sources import panel
 from .queries import CURVES, SIZE, TYPE, WM, _curves, _r, _registered
 from .selection import FACTOR, _factor
@@ -293,3 +293,26 @@ def winner_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def share_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel.build_panel(spark, sf_dir, "type").withColumn("cap", F.col("volume") * 100).withColumn("ratio", F.round(1 / (1 + F.col("volume")), 8))
     return statements.share_frames(p, "price", "cap", "ratio").select("ts", "market", _r("shares", "shares"), _r("outstanding_cap", "outstanding_cap"), "available")
+
+
+@_registered("""WITH l AS (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2), r AS (SELECT l_partkey, l_suppkey, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS returned FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)
+SELECT l.l_partkey, l.l_suppkey, n, returned FROM l LEFT JOIN r ON l.l_partkey = r.l_partkey AND l.l_suppkey = r.l_suppkey""")
+def one_to_one_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By two keys; a key with two right rows would raise."""
+    lines = panel.read(spark, sf_dir, "lineitem")
+    keys = ["l_partkey", "l_suppkey"]
+    left = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    right = lines.where("l_returnflag = 'R'").groupBy(*keys).agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("returned"))
+    return statements.one_to_one(left, right, keys).select(*keys, "n", "returned")
+
+
+@_registered(f"""WITH {CURVES}, e AS (SELECT run_id, min(ts) AS "start", max(ts) AS "end", count(*) AS observations, arg_max(value, ts) / arg_min(value, ts) AS g, stddev_pop(ret) * sqrt(252) AS vol, min(drawdown) AS mdd, avg(ret) / stddev_pop(ret) * sqrt(252) AS sharpe,
+  avg(ret) / sqrt(avg(least(ret, 0) * least(ret, 0))) * sqrt(252) AS sortino, sqrt(avg(drawdown * drawdown)) * 100 AS ulcer, avg(CASE WHEN drawdown < 0 THEN 1.0 ELSE 0.0 END) * 100 AS under, arg_max(drawdown, ts) * 100 AS now FROM r GROUP BY run_id)
+SELECT run_id, 'held' AS mode, "start", "end", observations, round((g - 1) * 100, 5) AS total_return_pct, round((pow(g, 365.25 / datediff('day', "start", "end")) - 1) * 100, 5) AS cagr_pct, round(vol * 100, 5) AS volatility_pct, round(mdd * 100, 5) AS max_drawdown_pct, round(sharpe, 5) AS sharpe, round(sortino, 5) AS sortino,
+  round(CASE WHEN mdd < 0 THEN (pow(g, 365.25 / datediff('day', "start", "end")) - 1) / abs(mdd) END, 5) AS calmar, round(ulcer, 5) AS ulcer_pct, round(now, 5) AS current_drawdown_pct, round(under, 5) AS under_water_pct, 0.0 AS turnover, run_id AS weights FROM e""")
+def blend_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each curve as a blend of itself alone; the recovery columns are those of drawdown_recovery."""
+    c = _curves(spark, sf_dir)
+    settings = c.select("run_id").distinct().select("run_id", F.lit("held").alias("mode"), F.col("run_id").alias("weights"), F.lit(0.0).alias("turnover"))
+    s = blends.summary(c, settings, 252)
+    return s.select("run_id", "mode", "start", "end", "observations", "turnover", "weights", *[F.round(c, 5).alias(c) for c in ("total_return_pct", "cagr_pct", "volatility_pct", "max_drawdown_pct", "sharpe", "sortino", "calmar", "ulcer_pct", "current_drawdown_pct", "under_water_pct")])

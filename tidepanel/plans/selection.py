@@ -101,6 +101,20 @@ def bucket_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("x_bucket", "y_bucket", "n", _r("mean_label", "mean_label"), _r("median_label", "median_label"), _r("positive", "positive"))
 
 
+_CELL = lambda c, q: f"CAST(1 + floor((row_number() OVER (PARTITION BY ts ORDER BY {c}, market) - 1) * {q} / count(*) OVER (PARTITION BY ts)) AS INTEGER) AS {c}_bucket"
+
+
+@_registered(f"""WITH {SIZE}, {FACTOR}, b AS (SELECT f.*, round(volume * factor, 8) AS amount_ FROM f WHERE factor IS NOT NULL AND label IS NOT NULL AND volume IS NOT NULL), k AS (SELECT label, {_CELL('factor', 3)}, {_CELL('volume', 2)}, {_CELL('amount_', 4)} FROM b),
+s AS (SELECT CAST(x.x AS INTEGER) AS factor_bucket, CAST(y.y AS INTEGER) AS volume_bucket, CAST(z.z AS INTEGER) AS amount__bucket FROM range(1, 4) x(x), range(1, 3) y(y), range(1, 5) z(z)),
+g AS (SELECT factor_bucket, volume_bucket, amount__bucket, count(*) AS n, avg(label) AS m, median(label) AS d, avg(CASE WHEN label > 0 THEN 1.0 ELSE 0.0 END) AS p FROM k GROUP BY 1, 2, 3)
+SELECT s.*, coalesce(n, 0) AS n, round(m, 6) AS mean_label, round(d, 6) AS median_label, round(p, 6) AS positive FROM s LEFT JOIN g USING (factor_bucket, volume_bucket, amount__bucket)""")
+def cell_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three axes."""
+    f = _factor(spark, sf_dir).withColumn("amount_", F.round(F.col("volume") * F.col("factor"), 8))
+    m = research.cell_summary(f, {"factor": 3, "volume": 2, "amount_": 4}, "label")
+    return m.select("factor_bucket", "volume_bucket", "amount__bucket", "n", *[_r(c, c) for c in ("mean_label", "median_label", "positive")])
+
+
 @_registered(f"""WITH {SIZE}, {FACTOR}, t AS (SELECT market, year(ts) % 2 AS family, round(1 / (1 + abs(avg(label) / stddev_samp(label)) * sqrt(count(*))), 8) AS p FROM f WHERE label IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5 AND stddev_samp(label) > 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p) AS i, count(*) OVER (PARTITION BY family) AS m FROM t), h AS (SELECT *, p * m * list_sum(list_transform(range(1, m + 1), lambda v: 1.0::DOUBLE / v)) / i AS raw FROM k)
 SELECT market, family, p, round(least(1.0, min(raw) OVER (PARTITION BY family ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS adjusted FROM h""")

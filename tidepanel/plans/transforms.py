@@ -189,3 +189,12 @@ def drawdown_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT ts, round(avg(grown), 6) AS value FROM g GROUP BY ts""")
 def group_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.group_benchmark(panel.dense_grid(_panel(spark, sf_dir, "brand").select("ts", "market", "price"))).select("ts", _r("value", "value"))
+
+
+@_registered(f"""WITH {BRAND}, {GRID}, g AS (SELECT ts, last_value(price IGNORE NULLS) OVER w AS p, first_value(price IGNORE NULLS) OVER w AS f FROM grid WHERE market = (SELECT min(market) FROM panel) WINDOW w AS (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT ts, round(p / f * 1000, 5) AS value FROM g WHERE p IS NOT NULL""")
+def market_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The market that is first by name."""
+    grid = panel.dense_grid(_panel(spark, sf_dir, "brand").select("ts", "market", "price"))
+    first = panel.read(spark, sf_dir, "part").agg(F.min("p_brand")).first()[0]
+    return curves.market_benchmark(grid, first, 1000.0).select("ts", F.round("value", 5).alias("value"))
