@@ -566,3 +566,17 @@ def test_repeats_with_more_buckets_than_a_table_may_have(spark, docs, monkeypatc
     finally:
         spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_pipeline_stages_of_an_empty_table(spark, empty, docs, tmp_path):
+    import corpus_pipeline as cp
+
+    base = str(tmp_path / "sf")
+    labels(spark, docs).where("doc_id is not null and quality is not null").write.parquet(f"{base}/labels.parquet")
+    spark.createDataFrame([("a", "one two three four five six seven eight nine ten")], "item_id string, text string").write.parquet(f"{base}/benchmark.parquet")
+    now = empty
+    for k, (_, f) in enumerate(cp.STAGES):
+        path = str(tmp_path / f"stage{k}")
+        f(spark, now, base).write.parquet(path)
+        now = spark.read.parquet(path)
+        assert now.count() == 0

@@ -8,7 +8,8 @@ A source at e epochs takes each document floor(e) times whole. The fraction left
 a seeded order until the target is met; the document on the edge is taken in part. The order is dealt into 4096 buckets
 by hash, so no task ever holds one source's documents: bucket totals give each bucket its start.
 
-Null or empty texts have size 0 and are taken 0 times. Null sources form one source, last in order. Repeated ids keep one
+Null or empty texts have size 0 and are taken 0 times. Long texts are counted whole; mixed_documents carries a document's row as one
+struct, so columns of any name pass as they are. Null sources form one source, last in order. Repeated ids keep one
 row each. Sources of size 0 have target 0. An empty table gives an empty result.
 """
 

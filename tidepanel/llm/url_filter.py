@@ -8,7 +8,8 @@ Word counts per class can grow with the table, so only words above a share of al
 broadcast, and the others are joined; no join key is held by more than 1/FREQUENT of the words.
 
 Null urls and urls without '://' have empty host and path, match no rule, and get the verdict of the class prior (allow on
-a tie, or when no url is decided by rule). Repeated rows give a row each. An empty table gives no rows.
+a tie, or when no url is decided by rule). A very long url is judged whole; its work is linear in its length. Columns besides
+page_id and url are not read. Repeated rows give a row each. An empty table gives no rows.
 """
 
 from __future__ import annotations
