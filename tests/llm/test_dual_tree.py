@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tidepanel.llm import dual_tree, queries
@@ -88,6 +89,21 @@ def test_integer_sums_beyond_doubles():
     assert items.best[0][0].tolist() == [(5 << 50) + 2, (5 << 50) + 1]
 
 
+def test_what_a_task_holds_at_once_is_bounded(spark, tmp_path):
+    """One partition of 24 MB of text: its rows and row groups stay small."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(5000)]
+    texts = [" ".join(rng.choices(words, k=1000)) for _ in range(4000)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    blocks = dual_tree.write_blocks(spark.read.parquet(path))
+    groups = [meta.row_group(k) for f in blocks.inputFiles() for meta in [pq.ParquetFile(f.removeprefix("file://")).metadata] for k in range(meta.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == blocks.count()
+    assert max(g.total_byte_size for g in groups) < 2 * dual_tree.ROW_GROUP
+    assert blocks.selectExpr("max(length(at) + length(places) + length(times))").first()[0] < 1 << 20
+    assert blocks.selectExpr("sum(n_docs)", "sum(n_terms)").first() == (4000, 4_000_000)
+
+
 def test_query_equals_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):

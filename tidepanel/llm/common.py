@@ -36,14 +36,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, and what follows reads it instead of computing it anew."""
+def stage(df: DataFrame, name: str, **options: int) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts the lineage, and what follows reads it instead of computing it anew. options
+    are the Parquet writer's."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")  # nothing reads the write's shuffle files after it
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").options(**options).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,12 +1,13 @@
 """Exact ranked search of many items over all documents by two hierarchies.
 
 A document is a sparse vector of one weight a term; an item's score of it is the sum over the item's terms. Documents are read
-in blocks of about BLOCK_BYTES, each a row of a written table (its terms, and its documents' counts by place in that list).
+in blocks of about BLOCK_BYTES, each a row of a written table (its terms, and its documents' counts by place in that list). Rows are
+that small, and the table's row groups are of about ROW_GROUP bytes, so what a task holds at once does not grow with its share of the table.
 Items are dealt to groups of about GROUP_ITEMS by a hash of their rows, with their terms' weights, which come from sums over all
 blocks. A group of items meets every slice of blocks, a block's payload once a group: the stated items against all documents.
 
-Within a slice both sides are trees. A node holds, for each term, the largest weight below it; the sum over terms of the products
-of two nodes' maxima is at least any score below the pair, so the pair is dropped when that lies below the weakest kth score of
+Within a slice both sides are trees, those of documents over TREE_BLOCKS blocks each. A node holds, for each term, the largest weight
+below it; the sum over terms of the products of two nodes' maxima is at least any score below the pair, so the pair is dropped when that lies below the weakest kth score of
 its items. The kth scores that a first share of the slices gives are known to all the others, and nothing that reaches them is dropped, so
 the result is exact. A slice gives k rows an item at most, and past the first share only rows that reach the item's kth score.
 
@@ -28,11 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, stage, text_of, text_slices
+from .common import LOWER, UPPER, stage, text_of, text_slices, tidy
 
 K = 50
-BLOCK_BYTES = 1 << 22
-SLICE_BLOCKS = 4
+BLOCK_BYTES = 1 << 18
+ROW_GROUP = 1 << 24
+SLICE_BLOCKS, SLICE_TERMS = 64, 1 << 22
+TREE_BLOCKS = 16
 GROUP_ITEMS = 1024
 LEAF_DOCS, LEAF_ITEMS, FAN = 32, 16, 8
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -80,12 +83,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 number, docs, texts, size = number + 1, [], [], 0
     if docs:
         yield counted(docs, texts, number)
+    tidy()
 
 
 def write_blocks(docs: DataFrame) -> DataFrame:
     """Writes the blocks and reads them back."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return stage(source.mapInArrow(_blocks, BLOCK).where("n_docs > 0"), "term-blocks")
+    # by default the writer looks at sizes only after 100 rows
+    sizes = {"parquet.block.size": ROW_GROUP, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+    return stage(source.mapInArrow(_blocks, BLOCK).where("n_docs > 0"), "term-blocks", **sizes)
 
 
 def weighted_items(items: DataFrame, blocks: DataFrame, n_docs: int, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -239,6 +245,21 @@ def document_weights(times: np.ndarray, sizes: list[int], counts: np.ndarray, n_
     return (1_000_000_000 * times) // (1000 * times + 20 * np.repeat(m, counts))
 
 
+def _over_items(held: list[tuple[pa.RecordBatch, int]], vocab: pa.Array, n_docs: int, n_terms: int) -> tuple[np.ndarray, ...]:
+    """Blocks' doc_ids, and their weights of the items' terms in compressed rows."""
+    ids, counts, cols, values = [], [], [], []
+    for batch, row in held:
+        here = pc.fill_null(pc.index_in(batch.column("terms")[row].values, value_set=vocab), -1).to_numpy().astype(np.int64)
+        at, place, times = (np.frombuffer(batch.column(c)[row].as_py(), "<u4").astype(np.int64) for c in ("at", "places", "times"))
+        col = here[place]
+        keep = col >= 0
+        ids.append(pc.fill_null(batch.column("docs")[row].values, LAST).to_numpy())
+        counts.append(np.diff(np.r_[0, np.cumsum(keep)][at]))
+        cols.append(col[keep])
+        values.append(document_weights(times, batch.column("sizes")[row].as_py(), np.diff(at), n_docs, n_terms)[keep])
+    return np.concatenate(ids), np.r_[0, np.cumsum(np.concatenate(counts))], np.concatenate(cols), np.concatenate(values)
+
+
 def _search_slice(k: int, n_docs: int, n_terms: int):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         rows = right.to_pylist()
@@ -252,17 +273,10 @@ def _search_slice(k: int, n_docs: int, n_terms: int):
         kind = np.float64 if most < 1 << 53 else np.int64
         heaviest = np.zeros(len(vocab), np.int64)
         np.maximum.at(heaviest, places, np.concatenate(items.weights) if rows else places)
-        for batch in left.to_batches():
-            for row in range(batch.num_rows):
-                terms = batch.column("terms")[row].values
-                here = pc.fill_null(pc.index_in(terms, value_set=vocab), -1).to_numpy().astype(np.int64)
-                at, place, times = (np.frombuffer(batch.column(c)[row].as_py(), "<u4").astype(np.int64) for c in ("at", "places", "times"))
-                ids = pc.fill_null(batch.column("docs")[row].values, LAST).to_numpy()
-                values = document_weights(times, batch.column("sizes")[row].as_py(), np.diff(at), n_docs, n_terms)
-                cols = here[place]
-                keep = cols >= 0
-                docs = Docs(ids, np.r_[0, np.cumsum(keep)][at], cols[keep], values[keep], heaviest)
-                search(items, docs, k, kind)
+        held = [(batch, row) for batch in left.to_batches() for row in range(batch.num_rows)]
+        for lo in range(0, len(held), TREE_BLOCKS):
+            search(items, Docs(*_over_items(held[lo : lo + TREE_BLOCKS], vocab, n_docs, n_terms), heaviest), k, kind)
+        tidy()
         found = [(r["item"], r["item_id"], d, s) for j, r in enumerate(rows) for s, d in zip(items.best[j][0].tolist(), items.best[j][1].tolist(), strict=True)]
         item, name, doc, score = zip(*found, strict=True) if found else ((), (), (), ())
         return pa.table({"item": pa.array(item, pa.string()), "item_id": pa.array(name, right.schema.field("item_id").type), "doc": pa.array(doc, pa.int64()), "score": pa.array(score, pa.int64())})
@@ -277,7 +291,7 @@ def rank(docs: DataFrame, items: DataFrame, k: int = K, item_id: str = "item_id"
     fields = f"item string, item_id {items.schema[item_id].dataType.simpleString()}, doc long, score long"
     if not n_docs:
         return spark.createDataFrame([], fields).select("item_id", F.lit(0).alias("rank"), F.col("doc").alias("doc_id"), "score")
-    n_slices = -(-n_blocks // SLICE_BLOCKS)
+    n_slices = max(-(-n_blocks // SLICE_BLOCKS), n_terms // SLICE_TERMS)  # by terms where long texts make long blocks
     weighted = weighted_items(items, blocks, n_docs, item_id, text)
     listed = weighted.groupBy("item").agg(F.first("item_id").alias("item_id"), F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
     listed = stage(listed, "weighted-items")
